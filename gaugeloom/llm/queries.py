@@ -4,16 +4,78 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugeloom.llm import minhash
+from gaugeloom.llm import minhash, mixing, packing, urlfilter
+
+RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+def ranks_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), ranks_path())
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), 85)
 
 
-QUERIES = {"op6_minhash": op6_minhash}
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(_table(spark, sf_dir, "pages").select("page_id", "url"), RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+QUERIES = {"op3_packing": op3_packing, "op6_minhash": op6_minhash, "op7_url_filter": op7_url_filter, "op9_mixing": op9_mixing}
+
 SQL: dict[str, str] = {}
+
+SQL["op7_url_filter"] = r"""
+WITH rules(verdict, host, path) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+p AS (
+  SELECT page_id,
+    translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path
+  FROM pages),
+fit AS (
+  SELECT p.page_id, p.host, p.path, r.host || r.path AS rule, r.verdict,
+    row_number() OVER (PARTITION BY p.page_id ORDER BY length(r.host || r.path) DESC NULLS LAST) AS nth
+  FROM p LEFT JOIN rules r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path))
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fit WHERE nth = 1
+"""
+
+#: The mix over a table named by {docs}; leaves the rows as CTE ``mixed``.
+MIX_CTES = r"""
+sized AS (
+  SELECT *, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END::BIGINT AS size,
+    md5('0:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key
+  FROM {docs}),
+per AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+    CASE (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w
+  FROM sized GROUP BY source),
+lev AS (
+  SELECT *, (1.5 * sum(source_size) OVER () - (sum(2.0::DOUBLE * source_size) OVER f - 2.0::DOUBLE * source_size)) / (sum(w) OVER () - sum(w) OVER f + w) AS level
+  FROM per WINDOW f AS (ORDER BY 2.0::DOUBLE * source_size / w, source ASC NULLS LAST)),
+tgt AS (
+  SELECT source, source_size,
+    least(2.0::DOUBLE * source_size, coalesce(max(CASE WHEN 2.0::DOUBLE * source_size / w > level THEN level END) OVER () * w, 0)) AS target
+  FROM lev),
+goal AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(round(target) / source_size)::BIGINT ELSE 0 END AS epochs FROM tgt),
+ranked AS (
+  SELECT s.*, g.source_size, g.target, g.epochs, round(g.target)::BIGINT - g.epochs * g.source_size AS rest,
+    sum(size) OVER (PARTITION BY s.source ORDER BY key, s.doc_id) - size AS before
+  FROM sized s JOIN goal g ON s.source IS NOT DISTINCT FROM g.source),
+mixed AS (SELECT *, (epochs * size + greatest(0, least(size, rest - before)))::BIGINT AS taken FROM ranked)
+"""
+SQL["op9_mixing"] = "WITH " + MIX_CTES.format(docs="documents") + "SELECT doc_id, size, source_size, target, taken FROM mixed"
