@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugeloom.llm import minhash, mixing, packing, urlfilter
+from gaugeloom.llm import minhash, mixing, packing, spotsigs, urlfilter
 
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
@@ -79,3 +79,38 @@ ranked AS (
 mixed AS (SELECT *, (epochs * size + greatest(0, least(size, rest - before)))::BIGINT AS taken FROM ranked)
 """
 SQL["op9_mixing"] = "WITH " + MIX_CTES.format(docs="documents") + "SELECT doc_id, size, source_size, target, taken FROM mixed"
+
+
+def op4_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.fingerprints(_table(spark, sf_dir, "documents"))
+
+
+QUERIES["op4_spotsigs"] = op4_spotsigs
+
+_ANCHORS = ", ".join(f"'{a}'" for a in sorted(set(spotsigs.ANCHORS)))
+_SPOTS = r"""
+{name}_w AS (SELECT doc_id, {text} AS t, list_filter(string_split_regex(lower({text}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS ws FROM {source}),
+{name}_c AS (SELECT *, list_transform(ws, lambda w: CASE WHEN w IN ({anchors}) THEN '' ELSE w END) AS cs FROM {name}_w),
+{name}_s AS (
+  SELECT doc_id, t, list_filter(list_transform(range(1, len(cs) + 1), lambda i: CASE WHEN cs[i] = '' AND len(list_filter(cs[i + 1:i + {reach}], lambda x: x <> '')) > 0
+    THEN ws[i] || ' ' || array_to_string(list_filter(cs[i + 1:i + {reach}], lambda x: x <> '')[1:{chain}], ' ') END), lambda s: s IS NOT NULL) AS spots
+  FROM {name}_c),
+{name} AS (
+  SELECT doc_id, CASE WHEN len(spots) > 0 THEN list_sort(list_distinct(list_transform(spots, lambda s: md5(s)[1:8]))) ELSE [md5('=' || t)[1:8]] END AS sigs
+  FROM {name}_s)"""
+_spots = lambda name, text, source: _SPOTS.format(name=name, text=text, source=source, anchors=_ANCHORS, reach=spotsigs.REACH, chain=spotsigs.CHAIN)
+
+SQL["op4_spotsigs"] = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+n AS (
+  SELECT doc_id, text, coalesce(lead(text) OVER o, first_value(text) OVER o) AS next, coalesce(lead(doc_id) OVER o, first_value(doc_id) OVER o) AS next_id
+  FROM d WINDOW o AS (ORDER BY doc_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+e AS (SELECT *, left(text, length(text) - length(text) // 2) || left(next, length(text) // 2) AS edited FROM n),
+{_spots("own", "text", "e")},
+{_spots("ed", "edited", "e")}
+SELECT e.doc_id, length(e.text)::BIGINT AS n_chars, sha256(e.edited) AS edited_sha256,
+  array_to_string(own.sigs, '') AS fingerprint, array_to_string(ed.sigs, '') AS edited_fingerprint,
+  len(list_intersect(own.sigs, ed.sigs))::DOUBLE / (len(own.sigs) + len(ed.sigs) - len(list_intersect(own.sigs, ed.sigs))) AS near_edited,
+  len(list_intersect(own.sigs, nx.sigs))::DOUBLE / (len(own.sigs) + len(nx.sigs) - len(list_intersect(own.sigs, nx.sigs))) AS near_next
+FROM e JOIN own USING (doc_id) JOIN ed USING (doc_id) JOIN own nx ON nx.doc_id = e.next_id
+"""
