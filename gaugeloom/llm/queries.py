@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugeloom.llm import minhash, mixing, packing, spotsigs, urlfilter
+from gaugeloom.llm import licenses, minhash, mixing, packing, spotsigs, urlfilter
 
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
@@ -114,3 +114,28 @@ SELECT e.doc_id, length(e.text)::BIGINT AS n_chars, sha256(e.edited) AS edited_s
   len(list_intersect(own.sigs, nx.sigs))::DOUBLE / (len(own.sigs) + len(nx.sigs) - len(list_intersect(own.sigs, nx.sigs))) AS near_next
 FROM e JOIN own USING (doc_id) JOIN ed USING (doc_id) JOIN own nx ON nx.doc_id = e.next_id
 """
+
+
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
+QUERIES["op10_licenses"] = op10_licenses
+
+_TEMPLATE_ROWS = ", ".join(f"('{name}', '{text}')" for name, text in licenses.TEMPLATES)
+_UPPER_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+SQL["op10_licenses"] = rf"""
+WITH t AS (SELECT license, list_filter(string_split_regex(translate(text, {_UPPER_LOWER}), '[^a-z0-9]+'), lambda x: x <> '') AS ws FROM (VALUES {_TEMPLATE_ROWS}) AS v(license, text)),
+ts AS (SELECT license, len(ws) AS n, unnest(list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')))) AS shingle FROM t),
+tn AS (SELECT license, count(*) AS shingles, CASE WHEN max(n) <= 6 THEN 8 WHEN max(n) <= 12 THEN 16 WHEN max(n) <= 24 THEN 32 WHEN max(n) <= 48 THEN 64 ELSE 128 END AS size FROM ts GROUP BY license),
+d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), {_UPPER_LOWER}), '[^a-z0-9]+'), lambda x: x <> '') AS ws FROM documents),
+ds AS (SELECT doc_id, unnest(range(0, len(ws) - 4)) AS pos, unnest(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) AS shingle FROM d),
+hit AS (SELECT doc_id, pos, shingle, license, shingles, size FROM ds JOIN ts USING (shingle) JOIN tn USING (license)),
+win AS (SELECT *, unnest(range(0, 4)) AS back FROM hit),
+inside AS (SELECT *, (pos // (size // 4) - back) * (size // 4) AS start FROM win),
+held AS (
+  SELECT doc_id, license, start, count(DISTINCT shingle)::DOUBLE / any_value(shingles) AS containment
+  FROM inside WHERE start >= 0 AND pos < start + size - 4 GROUP BY doc_id, license, start)
+SELECT doc_id, license, max(containment) AS containment, min(start)::BIGINT AS first_word, count(*)::BIGINT AS n_windows
+FROM held WHERE containment >= 0.8 GROUP BY doc_id, license
+"""
