@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugeloom.llm import licenses, minhash, mixing, packing, spotsigs, urlfilter
+from gaugeloom.llm import capfilter, licenses, minhash, mixing, packing, spotsigs, urlfilter
 
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
@@ -139,3 +139,21 @@ held AS (
 SELECT doc_id, license, max(containment) AS containment, min(start)::BIGINT AS first_word, count(*)::BIGINT AS n_windows
 FROM held WHERE containment >= 0.8 GROUP BY doc_id, license
 """
+
+
+def op1_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return capfilter.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES["op1_cap_filters"] = op1_cap_filters
+
+SQL["op1_cap_filters"] = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND len(list_filter(embedding, lambda e: e <> 0)) > 0),
+u AS (SELECT *, sqrt(list_inner_product(x, x)) AS norm FROM v),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_inner_product(a.x, b.x) / (a.norm * b.norm) >= 0.98),
+r AS (SELECT a AS id, a AS near FROM l UNION SELECT r.id, l.b FROM r JOIN l ON r.near = l.a)
+SELECT e.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, coalesce(c.c, e.vec_id) AS component_id, e.vec_id = coalesce(c.c, e.vec_id) AS kept
+FROM embeddings e LEFT JOIN (SELECT a, count(*) AS n FROM l GROUP BY a) n ON n.a = e.vec_id LEFT JOIN (SELECT id, min(near) AS c FROM r GROUP BY id) c ON c.id = e.vec_id
+"""
