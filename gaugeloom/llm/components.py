@@ -39,12 +39,20 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
 
 
-def link(rows: DataFrame, nodes: DataFrame, near: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def link(
+    rows: DataFrame,
+    nodes: DataFrame,
+    near: Callable[[str, str], Column],
+    verify: Callable[[DataFrame], DataFrame],
+    refine: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]] | None = None,
+) -> DataFrame:
     """Components (id, comp) of the verified links between ids that share a bucket.
 
     rows: (key, id), the buckets with two ids or more. nodes: one row per id, whatever ``near`` needs.
     near(p, q): a cheap native condition on the columns of aliases p and q that no true link violates.
     verify: (a, b) pairs to the pairs that are links.
+    refine: called once, after the first pass, with the ids of buckets that aren't settled and ``nodes``; gives
+    nodes on which ``near`` can tell more, and the ids that can be linked with no other.
 
     In each pass every bucket offers a few pivots outside its largest component; they are compared with
     the bucket's members of other components. Pairs inside one component need no look, so a bucket of
@@ -77,6 +85,9 @@ def link(rows: DataFrame, nodes: DataFrame, near: Callable[[str, str], Column],
         good = save(verify(pairs))
         if not good.isEmpty():
             comps = components(good if first else good.union(comps.select(F.col("id").alias("a"), F.col("comp").alias("b"))))
+        if first and refine is not None:
+            nodes, alone = refine(live.select("id").distinct(), nodes)
+            rows = save(rows.join(alone, "id", "left_anti"))
         drop(live)
         used, seen = used.union(pivots.select("key", "id")), seen.union(pairs)
         pivots_each, first = pivots_each * 4, False

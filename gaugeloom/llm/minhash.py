@@ -15,8 +15,8 @@ from gaugeloom.llm.shingles import chunks, mix, shingle_sets
 
 #: 64 multiply-add hashes; both the least and the greatest value of each are kept: 128 values.
 HASHES, BANDS, ROWS = 64, 25, 5
-#: Bits in which the 512-bit sketches (4 bits a value) of two linked sets may differ. At a similarity of 0.85 the mean is 38 with a deviation of about 10.
-SKETCH_BITS = 100
+#: Bits in which the 512-bit sketches (4 bits a value) of two linked sets may differ. At a similarity of 0.85 the mean is 38 with a deviation of about 9.
+SKETCH_BITS = 84
 _rng = np.random.Generator(np.random.PCG64(7))
 _A = (_rng.integers(0, 2**63, HASHES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _B = _rng.integers(0, 2**63, HASHES, dtype=np.uint64)
@@ -71,10 +71,24 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_signatures, _SCHEMA)
 
 
-def sketch_near(p: str, q: str) -> Column:
-    """The sketches of aliases p and q differ in few enough bits to be of linked sets."""
-    bits = sum((F.bit_count(F.col(f"{p}.{s}").bitwiseXOR(F.col(f"{q}.{s}"))) for s in SKETCH), F.lit(0))
-    return bits <= SKETCH_BITS
+def _near(percent: int):
+    """No linked pair breaks this: sketches differ in few bits, and the shingles that only one set has are few enough."""
+
+    def near(p: str, q: str) -> Column:
+        bits = sum((F.bit_count(F.col(f"{p}.{s}").bitwiseXOR(F.col(f"{q}.{s}"))) for s in SKETCH), F.lit(0))
+        apart = (F.col(f"{p}.own") + F.col(f"{q}.own")) * (100 + percent) <= (F.col(f"{p}.n") + F.col(f"{q}.n")) * (100 - percent)
+        return (bits <= SKETCH_BITS) & apart
+
+    return near
+
+
+def _all_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = [t.encode() if t else b"" for t in batch.column(1).to_pylist()]
+        for s, e in chunks(texts):
+            sets = list(shingle_sets(texts[s:e]))
+            ids = np.repeat(np.asarray(batch.column(0))[s:e], [len(x) for x in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), _signed(np.concatenate(sets))], names=["id", "shingle"])
 
 
 def _similar(percent: int):
@@ -110,7 +124,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     shared = keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key")
     rows = save(keyed.join(shared, "key"))
     members = rows.select("id").distinct()
-    nodes = classes.select("id", *SKETCH)
+    nodes = classes.select("id", F.col("n_shingles").alias("n"), F.lit(0).cast("long").alias("own"), *SKETCH)
     texts = save(docs.join(members, docs.doc_id == members.id, "left_semi").dropDuplicates(["doc_id"]))
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -118,7 +132,16 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
         return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_similar(percent), "a long, b long")
 
-    comps = link(rows, nodes, sketch_near, verify)
+    def refine(ids: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Count the shingles that no other of ``ids`` has: they lie in the symmetric difference of every pair of theirs."""
+        each = texts.join(ids, F.col("doc_id") == F.col("id"), "left_semi").select("doc_id", "text").mapInArrow(_all_shingles, "id long, shingle long")
+        once = each.groupBy("shingle").agg(F.count("*").alias("df"), F.min("id").alias("id")).where("df = 1")
+        own = save(once.groupBy("id").agg(F.count("*").alias("found")))
+        nodes = save(nodes.join(own, "id", "left").withColumn("own", F.coalesce("found", F.lit(0)).cast("long")).drop("found"))
+        # |A | B| <= |A| / percent for a linked pair, so its difference is at most (100 - percent) / percent of |A|
+        return nodes, nodes.where(F.col("own") * percent > F.col("n") * (100 - percent)).select("id")
+
+    comps = link(rows, nodes, _near(percent), verify, refine)
     of_class = classes.select("n_shingles", "set_a", "set_b", "id").join(comps, "id", "left").select("n_shingles", "set_a", "set_b", F.coalesce("comp", "id").alias("component_id"))
     out = sigs.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set_a")).alias("set_a"), "set_b").join(of_class, ["n_shingles", "set_a", "set_b"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
