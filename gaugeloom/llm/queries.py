@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugeloom.llm import capfilter, licenses, minhash, mixing, packing, spotsigs, urlfilter
+from gaugeloom.llm import capfilter, licenses, minhash, mixing, packing, quality, spotsigs, urlfilter
 
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
@@ -157,3 +157,10 @@ r AS (SELECT a AS id, a AS near FROM l UNION SELECT r.id, l.b FROM r JOIN l ON r
 SELECT e.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, coalesce(c.c, e.vec_id) AS component_id, e.vec_id = coalesce(c.c, e.vec_id) AS kept
 FROM embeddings e LEFT JOIN (SELECT a, count(*) AS n FROM l GROUP BY a) n ON n.a = e.vec_id LEFT JOIN (SELECT id, min(near) AS c FROM r GROUP BY id) c ON c.id = e.vec_id
 """
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+QUERIES["op5_quality"] = op5_quality
