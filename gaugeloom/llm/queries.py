@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gaugeloom.llm import capfilter, licenses, minhash, mixing, packing, quality, spotsigs, urlfilter
+from gaugeloom.llm import capfilter, licenses, lines, minhash, mixing, packing, quality, spotsigs, urlfilter
 
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
@@ -164,3 +165,11 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op5_quality"] = op5_quality
+
+
+def op2_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+QUERIES["op2_fuzzy_lines"] = op2_fuzzy_lines
