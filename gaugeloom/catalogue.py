@@ -1,10 +1,421 @@
-"""The queries over the driver's tables and their SQL."""
+"""The queries over the driver's tables and their SQL, by name."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from gaugeloom.functions import scalar, series
+from gaugeloom.operators import episodes, incidents, rollup, rules, store, upkeep
+from gaugeloom.plans.definitions import load
+from gaugeloom.plans.expression import Names, compile_expression
+from gaugeloom.sources import logs, samples
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+SIX_H = 6 * 3600
+#: The end of the tables' month; 'now' of the queries that need one.
+NOW = 1706659200
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its SQL."""
+
+    def put(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def points(spark: SparkSession, sf_dir: str, entity: str = "event_type") -> DataFrame:
+    return samples.samples_from_events(table(spark, sf_dir, "events"), entity)
+
+
+def log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return samples.log_from_events(table(spark, sf_dir, "events"))
+
+
+def r4(x: Column | str, digits: int = 4) -> Column:
+    """Rounded a little off the ties, alike in both engines."""
+    return F.round((F.col(x) if isinstance(x, str) else x) + F.lit(1e-7), digits)
+
+
+_S = """s AS (SELECT 'events' AS monitor, event_type AS entity_id, 'value' AS metric, CAST(floor(epoch(ts)) AS BIGINT) AS ts, arg_max(value, event_id) AS value
+  FROM events WHERE isfinite(value) GROUP BY event_type, floor(epoch(ts)))"""
+_SU = _S.replace("event_type AS entity_id", "CAST(user_id AS VARCHAR) AS entity_id").replace("GROUP BY event_type", "GROUP BY user_id")
+_R5 = _S + """,
+r5 AS (SELECT monitor, entity_id, metric, ts // 300 * 300 AS bucket, avg(value) AS avg, min(value) AS min, max(value) AS max, arg_max(value, ts) AS last, count(*) AS cnt FROM s GROUP BY ALL)"""
+_R1 = _R5 + """,
+r1 AS (SELECT monitor, entity_id, metric, bucket // 3600 * 3600 AS hour, sum(avg * cnt) / sum(cnt) AS avg, min(min) AS min, max(max) AS max, arg_max(last, bucket) AS last, sum(cnt)::BIGINT AS cnt FROM r5 GROUP BY ALL)"""
+_L = """l AS (SELECT event_id AS id, CAST(floor(epoch(ts)) AS BIGINT) AS ts, 'app' AS source, event_type AS provider, CASE WHEN event_type = 'error' THEN 'E1' END AS event_id,
+  CASE event_type WHEN 'error' THEN 3 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 1 ELSE 0 END AS severity, event_type || ' by user ' || CAST(user_id AS VARCHAR) || ' ' || props AS message FROM events)"""
+_W6 = "WINDOW w AS (PARTITION BY monitor, entity_id ORDER BY ts RANGE BETWEEN 21600 PRECEDING AND CURRENT ROW)"
+_HASH = "substr(sha256(regexp_replace(regexp_replace(trim(regexp_replace(lower({m}), '\\s+', ' ', 'g')), '[0-9a-f]{{8,}}', '#', 'g'), '[0-9]+', '#', 'g')), 1, 16)"
+
+
+# ---- rollups and baselines
+
+
+@query(f"WITH {_R5} SELECT entity_id, bucket, round(avg + 1e-7, 4) AS avg, min, max, last, cnt FROM r5")
+def rollup_5m(spark, sf_dir):
+    return rollup.rollup_5m(points(spark, sf_dir)).select("entity_id", "bucket", r4("avg").alias("avg"), "min", "max", "last", "cnt")
+
+
+@query(f"WITH {_R1} SELECT entity_id, hour AS bucket, round(avg + 1e-7, 4) AS avg, min, max, last, cnt FROM r1")
+def rollup_1h_weighted(spark, sf_dir):
+    return rollup.rollup_1h(rollup.rollup_5m(points(spark, sf_dir))).select("entity_id", "bucket", r4("avg").alias("avg"), "min", "max", "last", "cnt")
+
+
+@query(f"WITH {_R5} SELECT entity_id, bucket, cnt FROM r5 WHERE bucket < ({NOW} - 86400 - 30) // 300 * 300")
+def rollup_5m_complete(spark, sf_dir):
+    return rollup.rollup_5m(points(spark, sf_dir), NOW - 86400).select("entity_id", "bucket", "cnt")
+
+
+_Q = 2.0 ** (-300 / (3 * 86400))
+_EWMA = _R5 + f""",
+n AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY bucket) AS n FROM r5),
+e AS (SELECT entity_id, bucket, n, pow({_Q!r}, n::DOUBLE) * sum(avg * CASE WHEN n = 1 THEN pow({_Q!r}, -1.0::DOUBLE) ELSE {1 - _Q!r} * pow({_Q!r}, -n::DOUBLE) END) OVER (PARTITION BY entity_id ORDER BY bucket) AS level FROM n)"""
+
+
+@query(f"WITH {_EWMA} SELECT entity_id, bucket, round(level + 1e-7, 4) AS level, n AS updates FROM e")
+def baseline_history(spark, sf_dir):
+    rows = rollup.baselines(rollup.rollup_5m(points(spark, sf_dir)))
+    return rows.select("entity_id", "bucket", r4("level").alias("level"), F.col("updates").cast("long").alias("updates"))
+
+
+@query(f"WITH {_EWMA} SELECT entity_id, max(bucket) AS bucket, round(arg_max(level, bucket) + 1e-7, 4) AS level, max(n) AS updates FROM e GROUP BY entity_id")
+def baseline_ewma(spark, sf_dir):
+    rows = rollup.latest_baselines(rollup.baselines(rollup.rollup_5m(points(spark, sf_dir))))
+    return rows.select("entity_id", "bucket", r4("level").alias("level"), F.col("updates").cast("long").alias("updates"))
+
+
+@query(f"WITH {_EWMA} SELECT entity_id, max(n) >= 240 AS ready, round(least(max(n) / 240.0::DOUBLE, 1) + 1e-7, 4) AS coverage FROM e GROUP BY entity_id")
+def baseline_ready(spark, sf_dir):
+    rows = rollup.latest_baselines(rollup.baselines(rollup.rollup_5m(points(spark, sf_dir))))
+    return rows.select("entity_id", "ready", r4("coverage").alias("coverage"))
+
+
+@query(
+    f"WITH {_EWMA}, b AS (SELECT entity_id, bucket + 300 AS at, CASE WHEN n >= 240 THEN level END AS level FROM e) "
+    "SELECT s.entity_id, s.ts, round(b.level + 1e-7, 4) AS baseline FROM s ASOF LEFT JOIN b ON s.entity_id = b.entity_id AND s.ts >= b.at"
+)
+def baseline_as_of(spark, sf_dir):
+    p = points(spark, sf_dir)
+    return rollup.with_baseline(p, rollup.baselines(rollup.rollup_5m(p))).select("entity_id", "ts", r4("baseline").alias("baseline"))
+
+
+# ---- trailing windows
+
+
+@query(f"WITH {_SU} SELECT entity_id, ts, round(avg(value) OVER w + 1e-7, 4) AS avg_6h, min(value) OVER w AS min_6h, max(value) OVER w AS max_6h FROM s {_W6}")
+def win_avg_min_max(spark, sf_dir):
+    w, v = series.trailing(SIX_H), F.col("value")
+    return points(spark, sf_dir, "user_id").select("entity_id", "ts", r4(series.avg(v, w)).alias("avg_6h"), series.low(v, w).alias("min_6h"), series.high(v, w).alias("max_6h"))
+
+
+@query(
+    f"WITH {_S} SELECT entity_id, ts, CASE WHEN count(*) OVER w >= 2 THEN round(last(value) OVER w - first(value) OVER w + 1e-7, 4) END AS delta, "
+    "CASE WHEN count(*) OVER w >= 2 AND max(ts) OVER w > min(ts) OVER w THEN round(greatest(last(value) OVER w - first(value) OVER w, 0) / (max(ts) OVER w - min(ts) OVER w) + 1e-7, 4) END AS rate "
+    f"FROM s {_W6}"
+)
+def win_delta_rate(spark, sf_dir):
+    w, v = series.trailing(SIX_H), F.col("value")
+    return points(spark, sf_dir).select("entity_id", "ts", r4(series.delta(v, w)).alias("delta"), r4(series.rate(v, w, F.col("ts"))).alias("rate"))
+
+
+@query(f"WITH {_S} SELECT entity_id, ts, CASE WHEN count(*) OVER w >= 3 THEN round(regr_slope(value, ts) OVER w * 3600 + 1e-7, 4) END AS slope_h FROM s {_W6}")
+def win_slope(spark, sf_dir):
+    return points(spark, sf_dir).select("entity_id", "ts", r4(series.slope(F.col("value"), series.trailing(SIX_H), F.col("ts")) * 3600).alias("slope_h"))
+
+
+@query(
+    f"WITH {_S}, u AS (SELECT *, coalesce(CAST(value > lag(value) OVER (PARTITION BY entity_id ORDER BY ts) AS INT), 0) AS up FROM s) "
+    f"SELECT entity_id, ts, CASE WHEN count(*) OVER w >= 2 THEN round((sum(up) OVER w - first(up) OVER w) / (count(*) OVER w - 1)::DOUBLE + 1e-7, 4) END AS monot FROM u {_W6}"
+)
+def win_monot(spark, sf_dir):
+    rows = points(spark, sf_dir).withColumn("_up", series.rises(F.col("value")))
+    return rows.select("entity_id", "ts", r4(series.monot(F.col("_up"), F.col("value"), series.trailing(SIX_H))).alias("monot"))
+
+
+@query(f"WITH {_S} SELECT entity_id, ts, CASE WHEN count(*) OVER w >= 2 THEN round(least(greatest((max(ts) OVER w - min(ts) OVER w) / 21600.0::DOUBLE, 0), 1) + 1e-7, 4) END AS coverage FROM s {_W6}")
+def win_coverage(spark, sf_dir):
+    return points(spark, sf_dir).select("entity_id", "ts", r4(series.coverage(F.col("value"), series.trailing(SIX_H), F.col("ts"), SIX_H)).alias("coverage"))
+
+
+@query(f"WITH {_S}, g AS (SELECT *, CASE WHEN ts % 3 > 0 THEN value END AS v FROM s) SELECT entity_id, ts, greatest(ts - max(CASE WHEN v IS NOT NULL THEN ts END) OVER w, 0) AS age, last(v IGNORE NULLS) OVER w AS latest FROM g WINDOW w AS (PARTITION BY entity_id ORDER BY ts)")
+def metric_age(spark, sf_dir):
+    rows = points(spark, sf_dir).withColumn("v", F.when(F.col("ts") % 3 > 0, F.col("value")))
+    return rows.select("entity_id", "ts", series.age(F.col("v"), F.col("ts")).alias("age"), series.last(F.col("v")).alias("latest"))
+
+
+# ---- the rule language
+
+_NAMES = Names(frozenset({"value", "part"}), frozenset({"kind"}), {"limit": 50}, keys=("event_id",))
+
+
+def _expressions(spark: SparkSession, sf_dir: str, **texts: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("event_id", samples.epoch(F.col("ts")).alias("ts"), "value", F.when(F.col("event_id") % 3 > 0, (F.col("event_id") % 7 - 3).cast("double")).alias("part"), F.col("event_type").alias("kind"))
+    return rows.select("event_id", *(compile_expression(t, _NAMES).column.alias(n) for n, t in texts.items()))
+
+
+_X = "x AS (SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS ts, value, CASE WHEN event_id % 3 > 0 THEN (event_id % 7 - 3)::DOUBLE END AS part, event_type AS kind FROM events)"
+
+
+@query(
+    f"WITH {_X} SELECT event_id, round(100 * value / nullif(part, 0) + 1e-7, 4) AS share, CASE WHEN part IS NOT NULL THEN greatest(least(value, 40), part) END AS clamped, coalesce(part, -1) AS filled, abs(part) AS absolute FROM x"
+)
+def scalar_pct_clamp_coalesce(spark, sf_dir):
+    rows = _expressions(spark, sf_dir, share="pct(value, part)", clamped="clamp(value, part, 40)", filled="coalesce(part, -1)", absolute="abs(part)")
+    return rows.withColumn("share", r4("share"))
+
+
+@query(f"WITH {_X} SELECT event_id, regexp_matches(kind, '^(err|sign)') AS severe, contains(kind, 'chase') AS bought, kind IN ('view', 'click') AS light FROM x")
+def scalar_strings_regex(spark, sf_dir):
+    return _expressions(spark, sf_dir, severe="matches(kind, '^(err|sign)')", bought="contains(kind, 'chase')", light="kind in ['view', 'click']")
+
+
+@query(
+    f"WITH {_X}, m AS (SELECT event_id, ts % 86400 // 60 AS minute, (ts // 86400 + 3) % 7 AS day FROM x) "
+    "SELECT event_id, minute >= 540 AND minute < 1020 AS office, minute >= 1350 OR minute < 375 AS night, (['mon', 'tue', 'wed', 'thu', 'fri', 'sat', 'sun'])[day + 1] AS day FROM m"
+)
+def time_during_dow(spark, sf_dir):
+    return _expressions(spark, sf_dir, office="during('09:00-17:00')", night="during('22:30-06:15')", day="dow()")
+
+
+@query(f"WITH {_L} SELECT id, {_HASH.format(m='message')} AS hash FROM l")
+def msg_hash(spark, sf_dir):
+    return log(spark, sf_dir).select("id", scalar.msg_hash(F.col("message")).alias("hash"))
+
+
+@query(
+    f"WITH {_X} SELECT event_id, part > 0 AND value > 50 AS both_hold, part > 0 OR value > 50 AS one_holds, NOT (part > 0) AS not_holds, "
+    "CASE WHEN part > 0 AND value > 50 THEN 'true' WHEN (part > 0 AND value > 50) IS NULL THEN 'unknown' ELSE 'false' END AS outcome FROM x"
+)
+def tribool_rules(spark, sf_dir):
+    rows = _expressions(spark, sf_dir, both_hold="part > 0 and value > limit", one_holds="part > 0 or value > limit", not_holds="not part > 0")
+    return rows.withColumn("outcome", F.when(F.col("both_hold").isNull(), "unknown").when(F.col("both_hold"), "true").otherwise("false"))
+
+
+@query(f"WITH {_X} SELECT event_id, CASE WHEN part IS NOT NULL THEN 0 < part AND part < value AND value <= 50 END AS chained FROM x")
+def chained_cmp(spark, sf_dir):
+    return _expressions(spark, sf_dir, chained="0 < part < value <= limit")
+
+
+@query(f"WITH {_X} SELECT event_id, CASE WHEN part IS NOT NULL THEN 1 IN (part, 1) END AS inside, CASE WHEN part IS NOT NULL THEN part NOT IN (1, 2) END AS outside, NULL::BOOLEAN AS never FROM x")
+def in_list_null(spark, sf_dir):
+    return _expressions(spark, sf_dir, inside="1 in [part, 1]", outside="part not in [1, 2]", never="part in [1, None]")
+
+
+@query(f"WITH {_X} SELECT event_id, round(value - nullif(part, 0) * floor(value / nullif(part, 0)) + 1e-7, 4) AS rest, round(-value - nullif(part, 0) * floor(-value / nullif(part, 0)) + 1e-7, 4) AS negative FROM x")
+def floored_mod(spark, sf_dir):
+    rows = _expressions(spark, sf_dir, rest="value % part", negative="-value % part")
+    return rows.select("event_id", r4("rest").alias("rest"), r4("negative").alias("negative"))
+
+
+@query(f"WITH {_X} SELECT event_id, CASE WHEN part > 0 THEN value WHEN part IS NOT NULL THEN -part END AS chosen FROM x")
+def ifexp(spark, sf_dir):
+    return _expressions(spark, sf_dir, chosen="value if part > 0 else -part")
+
+
+# ---- definitions
+
+_DEFINITION = """
+schema = 1
+[monitor]
+name = "values"
+source = "disk"
+interval = "60s"
+[parameters]
+high = 85
+[[derived]]
+name = "rising"
+expr = "monot(used_pct, '6h')"
+[[derived]]
+name = "mean"
+expr = "avg(used_pct, '6h')"
+[[derived]]
+name = "above"
+expr = "used_pct - mean"
+[[rule]]
+name = "warn"
+group = "level"
+when = "used_pct >= high"
+severity = "warning"
+confirm_cycles = 2
+clear_cycles = 2
+[[rule]]
+name = "error"
+group = "level"
+when = "used_pct >= 95"
+severity = "error"
+[[rule]]
+name = "far"
+when = "above > 30 and rising > 0.4"
+severity = "notice"
+"""
+
+
+def _evaluated(spark: SparkSession, sf_dir: str, text: str = _DEFINITION) -> tuple[DataFrame, object]:
+    definition = load(text)
+    ticks = points(spark, sf_dir, "user_id").select("monitor", "entity_id", "ts", F.col("value").alias("used_pct"))
+    return rules.evaluate(ticks, definition), definition
+
+
+_U = _SU + """,
+d AS (SELECT entity_id, ts, value, avg(value) OVER w AS mean, CASE WHEN count(*) OVER w >= 2 THEN (sum(up) OVER w - first(up) OVER w) / (count(*) OVER w - 1)::DOUBLE END AS rising
+  FROM (SELECT *, coalesce(CAST(value > lag(value) OVER (PARTITION BY entity_id ORDER BY ts) AS INT), 0) AS up FROM s)
+  WINDOW w AS (PARTITION BY entity_id ORDER BY ts RANGE BETWEEN 21600 PRECEDING AND CURRENT ROW))"""
+
+
+@query(f"WITH {_U} SELECT entity_id, ts, round(rising + 1e-7, 4) AS rising, round(mean + 1e-7, 4) AS mean, round(value - mean + 1e-7, 4) AS above FROM d")
+def derived_topo(spark, sf_dir):
+    rows, _ = _evaluated(spark, sf_dir)
+    return rows.select("entity_id", "ts", r4("rising").alias("rising"), r4("mean").alias("mean"), r4("above").alias("above"))
+
+
+_OUT = _U + """,
+o AS (SELECT entity_id, ts, 'warn' AS rule, 'level' AS grp, 2 AS severity, 2 AS confirm, 2 AS clear, CASE WHEN value >= 85 THEN 'true' ELSE 'false' END AS outcome FROM d
+  UNION ALL SELECT entity_id, ts, 'error', 'level', 3, 1, 1, CASE WHEN value >= 95 THEN 'true' ELSE 'false' END FROM d
+  UNION ALL SELECT entity_id, ts, 'far', 'far', 1, 1, 1, CASE WHEN value - mean > 30 AND rising > 0.4 THEN 'true' WHEN (value - mean > 30 AND rising > 0.4) IS NULL THEN 'unknown' ELSE 'false' END FROM d)"""
+
+
+@query(f"WITH {_OUT} SELECT entity_id, ts, rule, severity, outcome FROM o")
+def rule_outcomes(spark, sf_dir):
+    rows, definition = _evaluated(spark, sf_dir)
+    return rules.outcomes(rows, definition).select("entity_id", "ts", "rule", "severity", "outcome")
+
+
+@query(f"WITH {_SU} SELECT entity_id, ts, value AS used_pct FROM s WHERE NOT (value < 20)")
+def exempt_filter(spark, sf_dir):
+    rows, _ = _evaluated(spark, sf_dir, _DEFINITION.replace("schema = 1\n", 'schema = 1\nexempt = ["used_pct < 20"]\n'))
+    return rows.where("not exempt").select("entity_id", "ts", "used_pct")
+
+
+def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, definition = _evaluated(spark, sf_dir)
+    return incidents.confirmed(rules.outcomes(rows, definition))
+
+
+_CONF = _OUT + """,
+b AS (SELECT *, CASE WHEN outcome <> 'unknown' THEN outcome END AS known, last(CASE WHEN outcome <> 'unknown' THEN outcome END IGNORE NULLS) OVER (PARTITION BY entity_id, rule ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM o),
+i AS (SELECT *, sum(CASE WHEN known IS NOT NULL AND (before IS NULL OR before <> known) THEN 1 ELSE 0 END) OVER (PARTITION BY entity_id, rule ORDER BY ts) AS run FROM b),
+m AS (SELECT *, count(known) OVER (PARTITION BY entity_id, rule, run ORDER BY ts) AS nth FROM i),
+c AS (SELECT entity_id, ts, rule, grp, severity, outcome, coalesce(last(CASE WHEN known = 'true' AND nth >= confirm THEN TRUE WHEN known = 'false' AND nth >= clear THEN FALSE END IGNORE NULLS) OVER (PARTITION BY entity_id, rule ORDER BY ts), FALSE) AS confirmed FROM m)"""
+
+
+@query(f"WITH {_CONF} SELECT entity_id, ts, rule, confirmed FROM c")
+def confirm_state(spark, sf_dir):
+    return _states(spark, sf_dir).select("entity_id", "ts", "rule", "confirmed")
+
+
+_LADDER = _CONF + """,
+v AS (SELECT entity_id, grp, ts, coalesce(max(CASE WHEN confirmed THEN severity END), -1) AS severity FROM c GROUP BY ALL),
+w AS (SELECT *, coalesce(lag(severity) OVER (PARTITION BY entity_id, grp ORDER BY ts), -1) AS was FROM v),
+k AS (SELECT *, CASE WHEN was < 0 AND severity >= 0 THEN 'open' WHEN was >= 0 AND severity < 0 THEN 'clear' WHEN severity > was THEN 'escalate' WHEN severity < was THEN 'downgrade' END AS kind FROM w),
+t AS (SELECT entity_id, grp, ts, severity, kind, sum(CASE WHEN kind = 'open' THEN 1 ELSE 0 END) OVER (PARTITION BY entity_id, grp ORDER BY ts)::BIGINT AS incident FROM k WHERE kind IS NOT NULL)"""
+
+
+@query(f"WITH {_LADDER} SELECT entity_id, grp, ts, kind, severity, incident FROM t")
+def ladder_transitions(spark, sf_dir):
+    return incidents.ladder(_states(spark, sf_dir)).select("entity_id", "grp", "ts", "kind", "severity", "incident")
+
+
+@query(
+    f"WITH {_LADDER}, f AS (SELECT *, sum(CASE WHEN kind = 'clear' THEN 1 ELSE 0 END) OVER (PARTITION BY entity_id, grp ORDER BY ts RANGE BETWEEN 600 PRECEDING AND CURRENT ROW) AS clears FROM t) "
+    "SELECT entity_id, grp, ts, incident, clears >= 3 AS flapping FROM f WHERE kind = 'open'"
+)
+def flap_opens(spark, sf_dir):
+    return incidents.flapping(incidents.ladder(_states(spark, sf_dir))).select("entity_id", "grp", "ts", "incident", "flapping")
+
+
+@query(
+    f"WITH {_LADDER} SELECT entity_id, grp, incident, min(ts) AS opened_ts, max(CASE WHEN kind = 'clear' THEN ts END) AS cleared_ts, max(severity) AS peak_severity, count(*) AS changes, "
+    "CASE WHEN max(CASE WHEN kind = 'clear' THEN ts END) IS NULL THEN 'open' ELSE 'cleared' END AS state FROM t GROUP BY ALL"
+)
+def incident_summary(spark, sf_dir):
+    return incidents.summary(incidents.ladder(_states(spark, sf_dir))).select("entity_id", "grp", "incident", "opened_ts", "cleared_ts", "peak_severity", "changes", "state")
+
+
+@query(f"WITH {_LADDER} SELECT entity_id, grp, incident, ts, kind, row_number() OVER (PARTITION BY entity_id, grp, incident ORDER BY ts) AS seq FROM t")
+def incident_history(spark, sf_dir):
+    return incidents.histories(incidents.ladder(_states(spark, sf_dir))).select("entity_id", "grp", "incident", "ts", "kind", F.col("seq").cast("long").alias("seq"))
+
+
+@query()
+def incident_fold(spark, sf_dir):
+    return incidents.notifications(incidents.levels(_states(spark, sf_dir)))
+
+
+@query(f"WITH {_SU}, a AS (SELECT entity_id, ts, lead(ts) OVER (PARTITION BY entity_id ORDER BY ts) AS back FROM s) SELECT entity_id, ts AS last_seen, ts + 86401 AS gone_ts, back AS back_ts FROM a WHERE coalesce(back, {NOW}) - ts > 86400")
+def entity_gone(spark, sf_dir):
+    return incidents.gone(points(spark, sf_dir, "user_id"), NOW, 86400).select("entity_id", "last_seen", "gone_ts", "back_ts")
+
+
+@query()
+def promotion_slots(spark, sf_dir):
+    rows = points(spark, sf_dir, "user_id").where("value > 80").select("monitor", (F.floor(F.col("ts") / 3600) * 3600).alias("ts"), "entity_id").distinct()
+    return rules.promotions(rows)
+
+
+# ---- log events
+
+
+@query(f"WITH {_L} SELECT id FROM l WHERE severity >= 2 OR regexp_matches(message, 'user 1[0-9] ')")
+def store_filter(spark, sf_dir):
+    rows = log(spark, sf_dir)
+    return episodes.store_filter(rows, scalar.matches(F.col("message"), "user 1[0-9] "), 2).select("id")
+
+
+@query(
+    f"WITH {_L}, k AS (SELECT *, CASE WHEN lag(id) OVER w IS NOT NULL AND provider = lag(provider) OVER w AND event_id IS NOT DISTINCT FROM lag(event_id) OVER w AND severity = lag(severity) OVER w AND substr(message, 1, 14) = lag(substr(message, 1, 14)) OVER w THEN 0 ELSE 1 END AS new FROM l WINDOW w AS (ORDER BY id)), "
+    "g AS (SELECT *, sum(new) OVER (ORDER BY id) AS run FROM k) SELECT min(id) AS id, any_value(provider) AS provider, count(*) AS repeat_count, min(ts) AS first_ts, max(ts) AS last_ts FROM g GROUP BY run"
+)
+def adjacent_coalesce(spark, sf_dir):
+    rows = log(spark, sf_dir).withColumn("message", F.substring("message", 1, 14))
+    return episodes.coalesce_repeats(rows).select("id", "provider", "repeat_count", "first_ts", "last_ts")
+
+
+@query(f"WITH {_L} SELECT id, ts // 86400 * 86400 AS day, row_number() OVER (PARTITION BY provider, ts // 60 ORDER BY id) <= 1 AS stored FROM l")
+def storm_guard(spark, sf_dir):
+    return episodes.storm_guard(log(spark, sf_dir), 1).select("id", (F.floor(F.col("ts") / 86400) * 86400).alias("day"), "stored")
+
+
+@query(
+    f"WITH {_L}, p AS (SELECT provider, ts // 60 * 60 AS minute, count(*) AS n FROM l GROUP BY ALL HAVING count(*) > 1), "
+    "q AS (SELECT *, CASE WHEN minute - lag(minute) OVER (PARTITION BY provider ORDER BY minute) = 60 THEN 0 ELSE 1 END AS start FROM p), "
+    "r AS (SELECT *, sum(start) OVER (PARTITION BY provider ORDER BY minute)::BIGINT AS storm FROM q) SELECT provider, storm, min(minute) AS start_ts, max(minute) + 60 AS end_ts, sum(n - 1)::BIGINT AS collapsed FROM r GROUP BY ALL"
+)
+def storm_runs(spark, sf_dir):
+    return episodes.storms(log(spark, sf_dir), 1).select("provider", "storm", "start_ts", "end_ts", "collapsed")
+
+
+@query(f"WITH {_L} SELECT id, round(count(*) OVER (PARTITION BY provider ORDER BY ts RANGE BETWEEN 59 PRECEDING AND CURRENT ROW) / 60.0::DOUBLE + 1e-7, 4) AS rate_per_s FROM l")
+def event_rate_60s(spark, sf_dir):
+    return episodes.arrival_rate(log(spark, sf_dir)).select("id", r4("rate_per_s").alias("rate_per_s"))
+
+
+@query(
+    f"WITH {_L}, k AS (SELECT *, provider || ':' || coalesce(event_id, {_HASH.format(m='message')}) AS key FROM l), "
+    "g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY key ORDER BY ts, id) <= 1800 THEN 0 ELSE 1 END AS start FROM k), "
+    "h AS (SELECT *, sum(start) OVER (PARTITION BY key ORDER BY ts, id)::BIGINT AS episode FROM g) SELECT key, episode, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS occurrences, max(severity) AS severity FROM h GROUP BY ALL"
+)
+def episodes_sessions(spark, sf_dir):
+    return episodes.sessions(log(spark, sf_dir), 1800)
+
+
+@query()
+def episode_fold(spark, sf_dir):
+    rows = log(spark, sf_dir).where("severity >= 2")
+    key = scalar.episode_key(F.col("provider"), F.col("event_id"), F.col("message"))
+    return episodes.episodes(rows.groupBy(key.alias("key"), "ts").agg(F.count("*").alias("count")), confirm=2, clear_after=7200)
