@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from gaugeloom.llm.scratch import save
 
+#: Tables with a row a source are broadcast up to so many sources.
+BROADCAST_SOURCES = 100_000
 #: A word is a run of bytes that aren't ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -53,18 +55,20 @@ def cuts(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1
     per = d.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     goal = F.round("target").cast("long")
     per = save(targets(per, weights, share, most).withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(goal / F.col("source_size"))).otherwise(0)).withColumn("rest", goal - F.col("epochs") * F.col("source_size")))
+    few = per.count() <= BROADCAST_SOURCES
+    small = F.broadcast if few else lambda df: df
     ranges = per.select(F.col("source").alias("s"), F.greatest(F.lit(1), F.ceil(F.col("n") / rows_per_range)).alias("ranges"), "rest")
     u = F.conv(F.substring("key", 1, 8), 16, 10).cast("double") / 2**32
-    d = d.join(ranges, F.col("source").eqNullSafe(F.col("s"))).withColumn("range", F.floor(u * F.col("ranges")))
+    d = d.join(small(ranges), F.col("source").eqNullSafe(F.col("s"))).withColumn("range", F.floor(u * F.col("ranges")))
     by_range = d.groupBy("source", "rest", "range").agg(F.sum("size").alias("words"))
     upto = F.sum("words").over(W.partitionBy("source").orderBy("range"))
     holds_cut = by_range.withColumn("before", upto - F.col("words")).where("before <= rest and rest < before + words").select(F.col("source").alias("s"), F.col("range").alias("r"), "before")
-    inside = d.select("source", "rest", "range", "key", "size").join(holds_cut, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r")))
+    inside = d.select("source", "rest", "range", "key", "size").join(small(holds_cut), F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r")))
     same = inside.groupBy("source", "rest", "before", "key").agg(F.sum("size").alias("words"), F.count("*").alias("rows"))
     upto = F.col("before") + F.sum("words").over(W.partitionBy("source").orderBy("key")) - F.col("words")
     cut = same.withColumn("start", upto).where("start <= rest and rest < start + words")
     cut = cut.select(F.col("source").alias("s"), F.col("key").alias("cut_key"), F.floor((F.col("rest") - F.col("start")) / F.col("rows")).alias("cut_words"))
-    return per.join(cut, F.col("source").eqNullSafe(F.col("s")), "left").select("source", "source_size", "target", "epochs", "cut_key", "cut_words")
+    return save(per.join(cut, F.col("source").eqNullSafe(F.col("s")), "left").select("source", "source_size", "target", "epochs", "cut_key", "cut_words"))
 
 
 def mix(docs: DataFrame, seed: str = "0", **how) -> DataFrame:
@@ -77,6 +81,7 @@ def mix(docs: DataFrame, seed: str = "0", **how) -> DataFrame:
     docs = docs.drop("size", "source_size", "target", "taken")
     plan = cuts(docs, seed=seed, **how).withColumnRenamed("source", "_s")
     size, key = n_words(F.col("text")), order_key(seed)
+    plan = F.broadcast(plan) if plan.count() <= BROADCAST_SOURCES else plan
     out = docs.withColumns({"size": size, "_key": key}).join(plan, F.col("source").eqNullSafe(F.col("_s")))
     once = F.when(F.col("_key") < F.col("cut_key"), F.col("size")).when(F.col("_key") == F.col("cut_key"), F.least("size", "cut_words")).otherwise(0)
     return out.withColumn("taken", F.col("epochs") * F.col("size") + once).drop("_s", "_key", "cut_key", "cut_words", "epochs")
