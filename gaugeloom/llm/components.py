@@ -17,26 +17,30 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     joined back on the vertex, so that a vertex with very many neighbours never needs them in one task.
     """
     now = save(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    mark = _mark(now)
     for _ in range(rounds):
+        if _settled(now):
+            break
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        step = large.distinct()
+        step = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         low = step.groupBy("a").agg(F.min("b").alias("m"))
         small = step.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        after = save(small.union(low.select("a", F.col("m").alias("b"))).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+        after = save(small.union(low.select("a", F.col("m").alias("b"))).distinct())
         drop(now)
-        now, before, mark = after, mark, _mark(after)
-        if mark == before:
-            break
+        now = after
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return now.select(F.col("a").alias("id"), F.col("b").alias("comp")).union(now.select(F.col("b").alias("id"), F.col("b").alias("comp")).distinct())
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
+def _settled(edges: DataFrame) -> bool:
+    """Whether every id has one edge to a smaller one, which has none: all point at the least of their component."""
+    ends = edges.select(F.col("a").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select(F.col("b").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up = 1 and down = 1)").isEmpty()
+
+
+#: Pivots that a bucket offers in each pass; None: all that are left.
+PASSES = (1, 16, None)
 
 
 def link(
@@ -54,29 +58,32 @@ def link(
     refine: called once, after the first pass, with the ids of buckets that aren't settled and ``nodes``; gives
     nodes on which ``near`` can tell more, and the ids that can be linked with no other.
 
-    In each pass every bucket offers a few pivots outside its largest component; they are compared with
-    the bucket's members of other components. Pairs inside one component need no look, so a bucket of
-    m close copies costs about m comparisons and not m squared. Passes go on, with more pivots each,
-    until every member outside the largest component of its bucket has been a pivot there: then each
-    pair of the bucket was compared or lies in one component.
+    In each pass every bucket offers some pivots outside its largest component; they are compared with the
+    bucket's members of other components. Pairs inside one component need no look, so the first passes join
+    most of a bucket of close copies by few comparisons. In the last pass all members outside the largest
+    component are pivots: then each pair of the bucket was compared or lies in one component.
     """
     spark = rows.sparkSession
     rows = save(rows)
     comps = spark.createDataFrame([], "id long, comp long")
-    used = spark.createDataFrame([], "key long, id long")
     seen = spark.createDataFrame([], "a long, b long")
-    pivots_each, first = 1, True
-    while True:
+    for pivots_each in PASSES:
+        first = pivots_each == PASSES[0]
         held = rows.withColumn("comp", F.col("id")) if first else rows.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        sizes = held.groupBy("key", "comp").agg(F.count("*").alias("n"))
-        main = sizes.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("key", "main")
+        if first:  # all components are single ids
+            main = held.groupBy("key").agg(F.max("id").alias("main"))
+        else:
+            sizes = held.groupBy("key", "comp").agg(F.count("*").alias("n"))
+            main = sizes.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("key", "main")
         live = save(held.join(main, "key"))
-        free = live.where("comp <> main") if first else live.where("comp <> main").join(used, ["key", "id"], "left_anti")
-        part = F.pmod(F.xxhash64("id"), F.lit(pivots_each))
-        pivots = save(free.groupBy("key", part.alias("part")).agg(F.min_by(F.struct("id", "comp"), F.xxhash64("id", "key")).alias("p")).select("key", "p.id", "p.comp"))
-        if pivots.isEmpty():
-            drop(live)
-            return comps
+        if live.isEmpty():
+            break
+        free = live.where("comp <> main")
+        if pivots_each is None:
+            pivots = free.select("key", "id", "comp")
+        else:
+            part = F.pmod(F.xxhash64("id"), F.lit(pivots_each))
+            pivots = free.groupBy("key", part.alias("part")).agg(F.min_by(F.struct("id", "comp"), F.xxhash64("id", "key")).alias("p")).select("key", "p.id", "p.comp")
         p = pivots.withColumnRenamed("comp", "p_comp").join(nodes, "id").withColumnRenamed("id", "p_id").alias("p")
         q = live.select("key", "id", "comp").join(nodes, "id").alias("q")
         pairs = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p_comp") != F.col("comp")) & near("p", "q"))
@@ -89,5 +96,5 @@ def link(
             nodes, alone = refine(live.select("id").distinct(), nodes)
             rows = save(rows.join(alone, "id", "left_anti"))
         drop(live)
-        used, seen = used.union(pivots.select("key", "id")), seen.union(pairs)
-        pivots_each, first = pivots_each * 4, False
+        seen = seen.union(pairs)
+    return comps
