@@ -419,3 +419,350 @@ def episode_fold(spark, sf_dir):
     rows = log(spark, sf_dir).where("severity >= 2")
     key = scalar.episode_key(F.col("provider"), F.col("event_id"), F.col("message"))
     return episodes.episodes(rows.groupBy(key.alias("key"), "ts").agg(F.count("*").alias("count")), confirm=2, clear_after=7200)
+
+
+# ---- what is stored
+
+
+@query(f"WITH {_SU} SELECT entity_id, min(ts) AS first_seen, max(ts) AS last_seen, CASE WHEN {NOW} - max(ts) > 86400 THEN max(ts) + 86401 END AS gone_ts FROM s GROUP BY entity_id")
+def entity_lifecycle(spark, sf_dir):
+    return upkeep.lifecycle(points(spark, sf_dir, "user_id"), NOW, 86400).select("entity_id", "first_seen", "last_seen", "gone_ts")
+
+
+_GONE = f"e AS (SELECT entity_id, max(ts) AS last_seen FROM s GROUP BY entity_id HAVING {NOW} - max(ts) > 43200)"
+
+
+@query(f"WITH {_SU}, {_GONE} SELECT entity_id FROM e WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.entity_id = e.entity_id AND s.ts >= {NOW} - 172800) AND NOT EXISTS (SELECT 1 FROM s WHERE s.entity_id = e.entity_id AND s.value > 99.5)")
+def reap_anti(spark, sf_dir):
+    p = points(spark, sf_dir, "user_id")
+    live = p.where("value > 99.5").select("monitor", "entity_id", F.lit("open").alias("state")).distinct()
+    return upkeep.reap(upkeep.lifecycle(p, NOW, 43200), upkeep.prune(p, "raw", NOW), live).select("entity_id")
+
+
+@query("SELECT c.c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
+def orphans(spark, sf_dir):
+    parents = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return upkeep.orphans(table(spark, sf_dir, "customer"), parents, ["c_custkey"]).select("c_custkey")
+
+
+@query(
+    f"WITH {_SU}, m AS (SELECT 'u' || entity_id[1:1] AS monitor, entity_id, max(ts) AS seen FROM s GROUP BY ALL), v AS (SELECT event_type AS monitor, count(DISTINCT user_id) AS series FROM events GROUP BY 1), "
+    "n AS (SELECT monitor FROM m UNION SELECT monitor FROM v) "
+    f"SELECT n.monitor, coalesce(sum(CASE WHEN seen >= {NOW} - 86400 THEN 1 ELSE 0 END), 0)::BIGINT AS present, coalesce(sum(CASE WHEN seen < {NOW} - 86400 THEN 1 ELSE 0 END), 0)::BIGINT AS gone, coalesce(any_value(series), 0)::BIGINT AS series, (SELECT count(*) FROM n) AS monitors "
+    "FROM n LEFT JOIN m ON m.monitor = n.monitor LEFT JOIN v ON v.monitor = n.monitor GROUP BY n.monitor"
+)
+def monitor_attribution(spark, sf_dir):
+    entities = upkeep.lifecycle(points(spark, sf_dir, "user_id"), NOW, 86400).withColumn("monitor", F.concat(F.lit("u"), F.substring("entity_id", 1, 1)))
+    kept = table(spark, sf_dir, "events").select(F.col("event_type").alias("monitor"), "user_id").distinct()
+    return upkeep.attribution(entities, kept)
+
+
+@query(f"WITH {_SU} SELECT entity_id, round(avg(value) + 1e-7, 4) AS used FROM s WHERE ts BETWEEN {NOW - 20 * 86400} AND {NOW} GROUP BY entity_id ORDER BY avg(value) DESC, entity_id LIMIT 20")
+def top_consumers(spark, sf_dir):
+    return store.top_consumers(points(spark, sf_dir, "user_id"), "value", NOW - 20 * 86400, NOW, 20).select("entity_id", r4("used").alias("used"))
+
+
+@query(f"WITH {_SU} SELECT entity_id, round(max(value) - min(value) + 1e-7, 4) AS used FROM s WHERE ts BETWEEN {NOW - 20 * 86400} AND {NOW} GROUP BY entity_id ORDER BY max(value) - min(value) DESC, entity_id LIMIT 20")
+def top_spread(spark, sf_dir):
+    return store.top_consumers(points(spark, sf_dir, "user_id"), "value", NOW - 20 * 86400, NOW, 20, spread=True).select("entity_id", r4("used").alias("used"))
+
+
+_HOURLY = "h AS (SELECT ts // 3600 * 3600 AS ts, entity_id, max(value) AS a, min(value) AS b FROM s GROUP BY ALL)"
+
+
+@query(f"WITH {_SU}, {_HOURLY}, r AS (SELECT *, row_number() OVER (PARTITION BY ts ORDER BY a DESC, entity_id) AS ra, row_number() OVER (PARTITION BY ts ORDER BY b DESC, entity_id) AS rb FROM h) SELECT ts, entity_id FROM r WHERE ra <= 5 OR rb <= 5")
+def topn_union(spark, sf_dir):
+    hourly = points(spark, sf_dir, "user_id").groupBy((F.floor(F.col("ts") / 3600) * 3600).alias("ts"), "entity_id").agg(F.max("value").alias("a"), F.min("value").alias("b"))
+    return rules.top_union(hourly, ["a", "b"], 5)
+
+
+@query(f"WITH {_SU} SELECT entity_id, max(ts) AS ts, arg_max(value, ts) AS value FROM s GROUP BY entity_id")
+def latest_per_key(spark, sf_dir):
+    return store.latest(points(spark, sf_dir, "user_id")).select("entity_id", "ts", "value")
+
+
+@query(f"WITH {_SU}, n AS (SELECT entity_id, max(ts) AS ts, arg_max(value, ts) AS value FROM s GROUP BY entity_id) SELECT 'u' || entity_id[1:1] AS monitor, entity_id, ts, value FROM n WHERE ts >= {NOW} - 86400 QUALIFY row_number() OVER (PARTITION BY entity_id[1:1] ORDER BY value DESC, ts DESC, entity_id) = 1")
+def glance_latest(spark, sf_dir):
+    newest = store.latest(points(spark, sf_dir, "user_id")).withColumn("monitor", F.concat(F.lit("u"), F.substring("entity_id", 1, 1)))
+    return store.glance(newest, NOW, 86400).select("monitor", "entity_id", "ts", "value")
+
+
+@query(f"WITH {_SU} SELECT DISTINCT entity_id, metric FROM s WHERE entity_id > '120' ORDER BY entity_id LIMIT 25")
+def keyset_page(spark, sf_dir):
+    catalog = samples.series_of(points(spark, sf_dir, "user_id"))
+    return store.page(catalog, ("events", "120", "value"), 25).select("entity_id", "metric")
+
+
+@query("SELECT event_id, user_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 20")
+def keep_last_n(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    return store.keep_last(rows, ["user_id"], [F.desc("ts"), F.desc("event_id")], 20).select("event_id", "user_id")
+
+
+@query("SELECT event_type AS entity_id, CAST(floor(epoch(ts)) AS BIGINT) // 60 * 60 AS ts, arg_max(value, event_id) AS value FROM events GROUP BY ALL")
+def last_write_wins(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select(F.lit("events").alias("monitor"), F.col("event_type").alias("entity_id"), F.lit("value").alias("metric"), (F.floor(samples.epoch(F.col("ts")) / 60) * 60).alias("ts"), "value", "event_id")
+    return samples.last_write(rows, "event_id").select("entity_id", "ts", "value")
+
+
+@query(f"WITH {_R1} SELECT entity_id, bucket AS ts, round(avg + 1e-7, 4) AS value, '5m' AS tier FROM r5 WHERE bucket BETWEEN {NOW - 5 * 86400} AND {NOW}")
+def series_tier(spark, sf_dir):
+    p = points(spark, sf_dir)
+    fives = rollup.rollup_5m(p)
+    rows = store.series(p, fives, rollup.rollup_1h(fives), "events", "value", NOW - 5 * 86400, NOW, NOW, False)
+    return rows.withColumn("value", r4("value"))
+
+
+@query(f"WITH {_R1} SELECT entity_id, hour AS ts, max AS value, '1h' AS tier FROM r1 WHERE hour BETWEEN {NOW - 12 * 86400} AND {NOW}")
+def series_tier_hours(spark, sf_dir):
+    p = points(spark, sf_dir)
+    fives = rollup.rollup_5m(p)
+    return store.series(p, fives, rollup.rollup_1h(fives), "events", "value", NOW - 12 * 86400, NOW, NOW, False, "max")
+
+
+@query(f"WITH {_SU} SELECT DISTINCT entity_id FROM s WHERE ts BETWEEN {NOW - 86400} AND {NOW}")
+def observed_entities(spark, sf_dir):
+    p = points(spark, sf_dir, "user_id")
+    return store.observed(p, samples.series_of(p), NOW - 86400, NOW).select("entity_id")
+
+
+@query(
+    f"WITH {_SU}, n AS (SELECT entity_id, count(*) AS points FROM s GROUP BY entity_id ORDER BY entity_id LIMIT 50), w AS (SELECT *, least(points, 60) AS wanted, sum(least(points, 60)) OVER (ORDER BY entity_id) AS upto FROM n) "
+    "SELECT entity_id, points, greatest(0, least(wanted, 2000 - (upto - wanted)))::BIGINT AS budget, greatest(0, least(wanted, 2000 - (upto - wanted))) < points AS truncated FROM w"
+)
+def bounded_response(spark, sf_dir):
+    counts = points(spark, sf_dir, "user_id").groupBy("entity_id").agg(F.count("*").alias("points"))
+    return store.bounded(counts, 50, 60, 2000)
+
+
+@query(f"WITH {_SU} SELECT entity_id, arg_max(value, ts) AS current, round(arg_max(value, ts) - arg_min(value, ts) + 1e-7, 4) AS change, min(value) AS min, max(value) AS max, CASE WHEN arg_max(value, ts) > arg_min(value, ts) THEN 'rising' WHEN arg_max(value, ts) < arg_min(value, ts) THEN 'falling' ELSE 'steady' END AS direction FROM s GROUP BY entity_id")
+def series_summary(spark, sf_dir):
+    return store.summary(points(spark, sf_dir, "user_id")).withColumn("change", r4("change"))
+
+
+@query(f"WITH {_R1}, g AS (SELECT entity_id, hour AS ts, max AS value, lead(hour) OVER (PARTITION BY entity_id ORDER BY hour) AS next FROM r1) SELECT entity_id, ts, value FROM g UNION ALL SELECT entity_id, ts + 3600, NULL FROM g WHERE next - ts > 5400")
+def gap_points(spark, sf_dir):
+    hours = rollup.rollup_1h(rollup.rollup_5m(points(spark, sf_dir)))
+    return store.gaps(hours.select("entity_id", F.col("bucket").alias("ts"), F.col("max").alias("value")), 3600)
+
+
+@query(
+    f"WITH {_R1}, g AS (SELECT entity_id, hour AS ts, CASE WHEN hour - lag(hour) OVER (PARTITION BY entity_id ORDER BY hour) = 3600 THEN 0 ELSE 1 END AS start FROM r1), "
+    "h AS (SELECT *, sum(start) OVER (PARTITION BY entity_id ORDER BY ts)::BIGINT AS run FROM g) SELECT entity_id, run, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS points FROM h GROUP BY ALL"
+)
+def runs(spark, sf_dir):
+    hours = rollup.rollup_1h(rollup.rollup_5m(points(spark, sf_dir)))
+    return store.runs(hours.select("entity_id", F.col("bucket").alias("ts")), 3600)
+
+
+@query(
+    f"WITH {_S}, g AS (SELECT entity_id, ts, CASE WHEN count(*) OVER w >= 3 THEN regr_slope(value, ts) OVER w * 3600 END AS rate, 100 - value AS remaining FROM s {_W6}) "
+    "SELECT entity_id, ts, round(CASE WHEN rate > 0.5 THEN remaining / rate END + 1e-7, 4) AS hours FROM g WHERE rate IS NOT NULL"
+)
+def trend_projection(spark, sf_dir):
+    p = points(spark, sf_dir)
+    rate = p.withColumn("rate", series.slope(F.col("value"), series.trailing(SIX_H), F.col("ts")) * 3600).where("rate is not null")
+    rate = rate.select("entity_id", "ts", F.when(F.col("rate") > 0.5, F.col("rate")).otherwise(0.0).alias("value"))
+    left = p.select("entity_id", "ts", (100 - F.col("value")).alias("value"))
+    return store.projection(rate, left).select("entity_id", "ts", r4("hours").alias("hours"))
+
+
+@query(f"WITH {_R1} SELECT entity_id, hour AS ts, min, max FROM r1 WHERE hour % 10800 = 0")
+def envelope(spark, sf_dir):
+    hours = rollup.rollup_1h(rollup.rollup_5m(points(spark, sf_dir))).withColumnRenamed("bucket", "ts")
+    return store.envelope(hours.select("entity_id", "ts", "min", "max"), hours.where("ts % 10800 = 0"))
+
+
+@query()
+def lttb(spark, sf_dir):
+    return store.downsample(points(spark, sf_dir, "user_id"), 20)
+
+
+_CASES = "i AS (SELECT id, ts AS opened_ts FROM l WHERE provider = 'error' AND id % 10 = 0)"
+
+
+@query(f"WITH {_L}, {_CASES} SELECT i.id AS incident, l.id, l.ts - i.opened_ts AS offset_s FROM i JOIN l ON l.ts BETWEEN i.opened_ts - 600 AND i.opened_ts + 600")
+def incident_context(spark, sf_dir):
+    rows = log(spark, sf_dir)
+    cases = rows.where("provider = 'error' and id % 10 = 0").select(F.col("id").alias("incident"), F.col("ts").alias("opened_ts"))
+    return store.context(cases, rows.select("id", "ts")).select("incident", "id", (F.col("ts") - F.col("opened_ts")).alias("offset_s"))
+
+
+@query(
+    "WITH t AS (SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT) // 86400 AS day FROM events GROUP BY ALL), d AS (SELECT DISTINCT day FROM t), u AS (SELECT DISTINCT user_id FROM events) "
+    "SELECT u.user_id, d.day, CASE WHEN t.user_id IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE AS present FROM u CROSS JOIN d LEFT JOIN t ON t.user_id = u.user_id AND t.day = d.day"
+)
+def watchlist_presence(spark, sf_dir):
+    seen = table(spark, sf_dir, "events").select("user_id", F.floor(samples.epoch(F.col("ts")) / 86400).alias("day")).distinct()
+    days = seen.agg(F.min("day").alias("lo"), F.max("day").alias("hi"))
+    users = seen.groupBy("user_id").agg(F.max("day").alias("_d")).select("user_id", F.lit(1).alias("one"))
+    expected = users.join(F.broadcast(days.withColumn("one", F.lit(1))), "one").select("user_id", F.explode(F.sequence("lo", "hi")).alias("day"))  # one row of days
+    return samples.watch(expected, seen, ["user_id", "day"])
+
+
+@query("SELECT user_id, count(*) AS conn_total, count(*) FILTER (WHERE event_type = 'view') AS conn_established, count(*) FILTER (WHERE event_type = 'click') AS conn_time_wait, count(*) FILTER (WHERE event_type = 'error') AS conn_listen FROM events GROUP BY user_id")
+def connection_counts(spark, sf_dir):
+    names = {"view": "ESTABLISHED", "click": "TIME_WAIT", "error": "LISTEN"}
+    rows = table(spark, sf_dir, "events").select("user_id", scalar.from_map(F.col("event_type"), names).alias("status"))
+    return samples.connection_counts(rows, ["user_id"])
+
+
+_CHANNELS = "(VALUES ('file', 4), ('desktop', 2), ('mail', 3)) AS c(channel, min_severity)"
+
+
+def _notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log(spark, sf_dir).where("severity >= 1").select(F.col("id").alias("notification_id"), "ts", "severity", F.col("provider").alias("title"))
+
+
+def _channels(spark: SparkSession) -> DataFrame:
+    return spark.sql("SELECT * FROM (VALUES ('file', 4), ('desktop', 2), ('mail', 3)) AS c(channel, min_severity)")
+
+
+@query(f"WITH {_L} SELECT l.id AS notification_id, c.channel FROM l JOIN {_CHANNELS} ON l.severity >= c.min_severity OR c.channel = 'file' WHERE l.severity >= 1")
+def fanout(spark, sf_dir):
+    return upkeep.fan_out(_notes(spark, sf_dir), _channels(spark)).select("notification_id", "channel")
+
+
+@query(
+    f"WITH {_L}, f AS (SELECT l.ts, l.severity, l.provider AS title, c.channel FROM l JOIN {_CHANNELS} ON l.severity >= c.min_severity OR c.channel = 'file' WHERE l.severity BETWEEN 1 AND 2 AND (l.ts % 86400 // 60 >= 1320 OR l.ts % 86400 // 60 < 420)) "
+    "SELECT channel, ts // 86400 AS day, count(*) AS n, max(severity) AS severity, array_to_string(list_sort(list_distinct(list(title))), ', ') AS titles FROM f GROUP BY ALL"
+)
+def quiet_digest(spark, sf_dir):
+    return upkeep.digest(upkeep.fan_out(_notes(spark, sf_dir), _channels(spark)), "22:00-07:00")
+
+
+@query(
+    "WITH a AS (SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS ts, (event_id % 8)::INT AS attempts, CASE WHEN event_id % 5 = 0 THEN 700 END AS retry_after, CAST(floor(epoch(ts)) AS BIGINT) - event_id % 9 * 10000 AS created FROM events), "
+    "b AS (SELECT *, ts + greatest(([30, 120, 600, 3600, 21600])[least(greatest(attempts, 1), 5)], coalesce(retry_after, 0)) AS due FROM a) SELECT event_id, CASE WHEN due - created <= 86400 THEN due END AS next_ts FROM b"
+)
+def retry_schedule(spark, sf_dir):
+    ts, e = samples.epoch(F.col("ts")), F.col("event_id")
+    return table(spark, sf_dir, "events").select("event_id", upkeep.next_attempt(ts, e % 8, F.when(e % 5 == 0, 700), ts - e % 9 * 10000).alias("next_ts"))
+
+
+@query(
+    f"WITH {_L}, f AS (SELECT l.ts, l.severity, c.channel, CASE l.id % 3 WHEN 0 THEN 'pending' WHEN 1 THEN 'sent' ELSE 'failed' END AS state, l.ts + 3600 AS next_ts FROM l JOIN {_CHANNELS} ON l.severity >= c.min_severity OR c.channel = 'file' WHERE l.severity >= 1) "
+    f"SELECT channel, count(*) FILTER (WHERE state = 'pending') AS pending, count(*) FILTER (WHERE state = 'pending' AND severity > 2 AND next_ts <= {NOW}) AS due, count(*) FILTER (WHERE state = 'pending' AND severity <= 2) AS quiet_held, count(*) FILTER (WHERE state = 'failed') AS failed, max(CASE WHEN state = 'pending' THEN {NOW} - ts END) AS oldest_age FROM f GROUP BY channel"
+)
+def backlog(spark, sf_dir):
+    rows = upkeep.fan_out(_notes(spark, sf_dir), _channels(spark))
+    state = F.element_at(F.array(F.lit("pending"), F.lit("sent"), F.lit("failed")), (F.col("notification_id") % 3 + 1).cast("int"))
+    return upkeep.backlog(rows.withColumns({"state": state, "next_ts": F.col("ts") + 3600}), NOW, "22:00-07:00")
+
+
+@query(
+    f"WITH {_SU}, b AS (SELECT entity_id, ts AS at, value FROM s WHERE ts % 7 = 0), t AS (SELECT DISTINCT entity_id, ts // 3600 * 3600 AS ts FROM s) "
+    "SELECT t.entity_id, t.ts, b.value FROM t ASOF LEFT JOIN b ON t.entity_id = b.entity_id AND t.ts >= b.at"
+)
+def scenario_asof(spark, sf_dir):
+    p = points(spark, sf_dir, "user_id")
+    lines = p.where("ts % 7 = 0").select("entity_id", F.col("ts").alias("at"), "value")
+    ticks = p.select("entity_id", (F.floor(F.col("ts") / 3600) * 3600).alias("ts")).distinct()
+    return samples.state_in_force(ticks, lines, ["entity_id"], "value").select("entity_id", "ts", "value")
+
+
+@query(f"WITH {_R5} SELECT entity_id, bucket FROM r5 WHERE bucket >= {NOW} - CASE WHEN entity_id IN ('error', 'purchase') THEN 2592000 ELSE 604800 END")
+def retention_prune(spark, sf_dir):
+    fives = rollup.rollup_5m(points(spark, sf_dir))
+    return upkeep.prune(fives, "5m", NOW, "bucket", F.col("entity_id").isin("error", "purchase")).select("entity_id", "bucket")
+
+
+@query(
+    "WITH d AS (SELECT CASE WHEN event_type = 'view' THEN 1 WHEN event_type = 'click' THEN 2 ELSE 3 END AS step, CAST(floor(epoch(ts)) AS BIGINT) // 86400 AS day, count(*) * 35 AS bytes FROM events GROUP BY ALL), "
+    "t AS (SELECT *, sum(bytes) OVER () - (SELECT sum(bytes) // 2 FROM d) AS over_by, sum(bytes) OVER (ORDER BY step, day) - bytes AS before FROM d) SELECT step, day, bytes, before < over_by AS dropped FROM t"
+)
+def budget_degrade(spark, sf_dir):
+    step = F.when(F.col("event_type") == "view", 1).when(F.col("event_type") == "click", 2).otherwise(3)
+    days = table(spark, sf_dir, "events").groupBy(step.alias("step"), F.floor(samples.epoch(F.col("ts")) / 86400).alias("day")).agg((F.count("*") * 35).alias("bytes"))
+    half = F.floor(F.sum("bytes").over(W.partitionBy()) / 2)
+    before = F.sum("bytes").over(W.orderBy("step", "day")) - F.col("bytes")
+    return days.withColumn("dropped", before < F.sum("bytes").over(W.partitionBy()) - half)
+
+
+@query(
+    f"WITH {_L}, h AS (SELECT provider, id, ts, severity, row_number() OVER (PARTITION BY provider ORDER BY id) AS seq, count(*) OVER (PARTITION BY provider) AS n FROM l), "
+    "k AS (SELECT provider, seq, ts, ts AS last_ts, 1 AS count, 'event' AS kind FROM h WHERE NOT (n > 500 AND seq <= 100) UNION ALL SELECT provider, min(seq), min(ts), max(ts), count(*), 'collapsed' FROM h WHERE n > 500 AND seq <= 100 GROUP BY provider) "
+    "SELECT provider, seq, ts, last_ts, count::BIGINT AS count, kind FROM k"
+)
+def history_cap(spark, sf_dir):
+    rows = log(spark, sf_dir).select("provider", "ts", "severity", F.lit("event").alias("kind"), F.row_number().over(W.partitionBy("provider").orderBy("id")).cast("long").alias("seq"))
+    return upkeep.fold_history(rows, ["provider"]).select("provider", "seq", "ts", "last_ts", "count", "kind")
+
+
+@query(
+    "WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS place, count(*) OVER (PARTITION BY event_type) AS n FROM events) "
+    "SELECT event_type, max(CASE WHEN place = round_even(0.5::DOUBLE * (n - 1), 0) THEN value END) AS p50, max(CASE WHEN place = round_even(0.95::DOUBLE * (n - 1), 0) THEN value END) AS p95, max(value) AS p100 FROM r GROUP BY event_type"
+)
+def percentile_nearest_rank(spark, sf_dir):
+    return store.nearest_rank(table(spark, sf_dir, "events"), "event_type", "value")
+
+
+@query(
+    "WITH c AS (SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT) // 86400 * 86400 AS ts, event_type AS metric, count(*) AS n FROM events WHERE event_type IN ('view', 'click') GROUP BY ALL), "
+    "r AS (SELECT *, sum(n) OVER (PARTITION BY user_id, metric ORDER BY ts) AS value FROM c), b AS (SELECT user_id, ts FROM r GROUP BY ALL HAVING count(*) = 2), "
+    "x AS (SELECT r.* FROM r JOIN b USING (user_id, ts)) SELECT user_id::VARCHAR AS entity_id, metric, round(CASE WHEN max(ts) > min(ts) THEN (arg_max(value, ts) - arg_min(value, ts)) * 86400 / (max(ts) - min(ts))::DOUBLE END + 1e-7, 4) AS per_day FROM x GROUP BY ALL"
+)
+def stage_rates(spark, sf_dir):
+    day = (F.floor(samples.epoch(F.col("ts")) / 86400) * 86400).alias("ts")
+    daily = table(spark, sf_dir, "events").where(F.col("event_type").isin("view", "click")).groupBy(F.col("user_id").cast("string").alias("entity_id"), day, F.col("event_type").alias("metric")).agg(F.count("*").alias("n"))
+    grown = daily.withColumn("value", F.sum("n").over(W.partitionBy("entity_id", "metric").orderBy("ts")).cast("double"))
+    return store.stage_rates(grown, ["view", "click"]).select("entity_id", "metric", r4(F.col("rate") * 86400).alias("per_day"))
+
+
+@query(
+    "WITH p AS (SELECT 'u' || (user_id % 7) AS monitor, max(CASE event_type WHEN 'error' THEN 3 WHEN 'purchase' THEN 2 ELSE 0 END) AS state, count(*) % 5 = 0 AS unknown, count(*) % 3 = 0 AS disabled FROM events GROUP BY 1) "
+    "SELECT monitor, CASE WHEN unknown THEN 'unknown' WHEN disabled THEN 'disabled' WHEN state >= 3 THEN 'error' WHEN state >= 2 THEN 'warning' ELSE 'clear' END AS health FROM p"
+)
+def health_states(spark, sf_dir):
+    state = F.when(F.col("event_type") == "error", 3).when(F.col("event_type") == "purchase", 2).otherwise(0)
+    rows = table(spark, sf_dir, "events").groupBy(F.concat(F.lit("u"), (F.col("user_id") % 7).cast("string")).alias("monitor")).agg(F.max(state).alias("state"), F.count("*").alias("n"))
+    return rows.select("monitor", upkeep.health(F.col("state"), F.lit(False), F.col("n") % 5 == 0, F.col("n") % 3 == 0).alias("health"))
+
+
+@query("SELECT event_id, 'event ' || event_type || ' at ' || printf('%.2f', value) || ' of ' || CASE WHEN event_id % 4 > 0 THEN printf('%.0f', (event_id % 4)::DOUBLE) ELSE 'n/a' END AS message FROM events")
+def render_message(spark, sf_dir):
+    part = F.when(F.col("event_id") % 4 > 0, F.col("event_id") % 4)
+    return table(spark, sf_dir, "events").select("event_id", scalar.render(["event ", (F.col("event_type"), None), " at ", (F.col("value"), 2), " of ", (part, 0)]).alias("message"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 4 > 0 THEN json_extract_string(props, '$.k') END AS k, CASE WHEN event_id % 4 = 0 THEN 'not json' END AS malformed FROM events")
+def attrs_json(spark, sf_dir):
+    text = F.when(F.col("event_id") % 4 > 0, F.col("props")).otherwise("not json")
+    rows = table(spark, sf_dir, "events").select("event_id", logs.attrs_of(text).alias("m"))
+    return rows.select("event_id", F.col("m")["k"].alias("k"), F.col("m")["malformed"].alias("malformed"))
+
+
+# ---- raw inputs made from the events
+
+
+@query(
+    "SELECT 'c' || event_id AS cursor, CAST(floor(epoch(ts)) AS BIGINT) AS ts, ([4, 4, 4, 3, 2, 1, 0, 0])[event_id % 8 + 1] AS severity, event_type AS provider, 'value ' || value::VARCHAR AS message FROM events WHERE event_id % 11 > 0"
+)
+def parse_journal(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    line = F.to_json(F.struct(
+        F.when(F.col("event_id") % 11 > 0, F.concat(F.lit("c"), F.col("event_id").cast("string"))).alias("__CURSOR"), (samples.epoch(F.col("ts")) * 1_000_000 + 5).cast("string").alias("__REALTIME_TIMESTAMP"),
+        (F.col("event_id") % 8).cast("string").alias("PRIORITY"), F.col("event_type").alias("SYSLOG_IDENTIFIER"), F.concat(F.lit("value "), F.col("value").cast("string")).alias("MESSAGE"),
+    ))
+    return logs.parse_journal(e.select(line.alias("value"))).select("cursor", "ts", "severity", "provider", "message")
+
+
+@query("SELECT CAST(floor(epoch(ts)) AS BIGINT) AS ts, (([4, 3, 2, 0, 0])[event_id % 5 + 1]) AS severity, event_type AS provider, CAST(event_id AS VARCHAR) AS event_id, 'user=' || user_id || '; kind=' || event_type AS message FROM events")
+def parse_xml(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    time = F.date_format(F.timestamp_seconds(samples.epoch(F.col("ts"))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    xml = F.format_string(
+        "<Event xmlns='urn:e'><System><Provider Name='%s'/><EventID>%d</EventID><Level>%d</Level><TimeCreated SystemTime='%s'/></System><EventData><Data Name='user'>%d</Data><Data Name='kind'>%s</Data></EventData></Event>",
+        F.col("event_type"), F.col("event_id"), F.col("event_id") % 5 + 1, time, F.col("user_id"), F.col("event_type"),
+    )
+    return logs.parse_event_xml(e.select(xml.alias("value"))).select("ts", "severity", "provider", "event_id", "message")
+
+
+@query(
+    "SELECT event_id, 'load one' AS label, value, '' AS unit, 80.0::DOUBLE AS warn, 90.0::DOUBLE AS crit FROM events UNION ALL SELECT event_id, 'size', user_id::DOUBLE, 'KB', NULL, NULL FROM events WHERE event_id % 2 = 0"
+)
+def parse_perfdata(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    twice = F.when(F.col("event_id") % 2 == 1, F.concat(F.lit(" size=1KB size="), F.col("user_id").cast("string"), F.lit("KB"))).otherwise(F.concat(F.lit(" size="), F.col("user_id").cast("string"), F.lit("KB")))
+    out = F.concat(F.lit("OK fine|'load one'="), F.col("value").cast("string"), F.lit(";80;90;0;100"), twice)
+    return logs.parse_perfdata(e.select("event_id", out.alias("output")), keys=("event_id",)).select("event_id", "label", "value", "unit", "warn", "crit")

@@ -86,7 +86,10 @@ def clean_message(message: Column, limit: int = 2048) -> Column:
 
 
 def render(template: list, limit: int = 200) -> Column:
-    """A message of literal texts and (column, digits or None) fields; 'n/a' where a field is null."""
+    """A message of literal texts and (column, digits or None) fields; 'n/a' where a field is null.
+
+    Halves of the decimal digits shown by Spark round up.
+    """
     parts = []
     for part in template:
         if isinstance(part, str):
