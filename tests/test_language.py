@@ -11,6 +11,8 @@ NAMES = Names(frozenset({"a", "b", "c"}), frozenset({"name"}), {"limit": 5, "zon
 ROWS = [(1.0, 2.0, None, "abc"), (None, 0.0, 3.0, ""), (-7.0, 3.0, 7.0, None), (5.0, -3.0, 0.5, "Out of memory"), (0.0, None, None, "x")]
 
 
+pytestmark = pytest.mark.usefixtures("spark")
+
 def frame(spark, rows=ROWS):
     data = [("m", f"e{i}", 1000 + i, *r) for i, r in enumerate(rows)]
     return spark.createDataFrame(data, "monitor string, entity_id string, ts long, a double, b double, c double, name string")
