@@ -38,11 +38,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about CHUNK bytes each."""
+def chunks(texts: list[bytes], most: int = CHUNK) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of up to ``most`` bytes each, or one longer text."""
     start = size = 0
     for i, t in enumerate(texts):
-        if size and size + len(t) > CHUNK:
+        if size and size + len(t) > most:
             yield start, i
             start, size = i, 0
         size += len(t)

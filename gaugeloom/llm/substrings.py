@@ -17,7 +17,9 @@ from gaugeloom.llm.scratch import save
 from gaugeloom.llm.shingles import chunks, mix
 
 #: Bytes of text whose anchors one bucket gathers, and which one part of the documents holds.
-BUCKET_BYTES, PART_BYTES = 24_000_000, 8_000_000
+BUCKET_BYTES, PART_BYTES = 16_000_000, 6_000_000
+#: Bytes of text whose anchors a task holds at a time.
+HELD_BYTES = 10_000_000
 #: Where doc_id is null: after all others.
 LAST = 2**63 - 1
 
@@ -45,39 +47,43 @@ def _undiff(data: bytes) -> np.ndarray:
 
 
 def _entries(n_buckets: int):
-    """Per batch: for each bucket of anchors one row with all their runs; and, of runs that a smaller document in the batch has, just the places."""
+    """Per HELD_BYTES of a batch: for each bucket of anchors one row with all their runs; and, of runs that a smaller document among them has, just the places."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, addr = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-            texts = [t.encode() if t else b"" for t in batch.column(2).to_pylist()]
-            found = [(a[0] + s, *a[1:]) for s, e in chunks(texts) for a in [anchors(texts[s:e])]]
-            if not found:
-                continue
-            text, lo, hi, anchor, run = (np.concatenate(x) for x in zip(*found, strict=True))
-            anchor, run = anchor & np.uint64((1 << 48) - 1), run >> np.uint64(24)
-            # the same run in a smaller document of the batch settles it here
-            order = np.lexsort((doc[text], run, anchor))
-            new = np.ones(len(order), bool)
-            new[1:] = (anchor[order][1:] != anchor[order][:-1]) | (run[order][1:] != run[order][:-1])
-            least = doc[text[order]][np.flatnonzero(new)][np.cumsum(new) - 1] if len(order) else doc[:0]
-            later = np.zeros(len(order), bool)
-            later[order] = doc[text[order]] > least
-            rows = []
-            bucket = (mix(anchor) % np.uint64(n_buckets)).astype(np.int64)
-            for kind, some in ((0, ~later), (1, later)):
-                at = np.flatnonzero(some)
-                b = bucket[at] if kind == 0 else np.full(len(at), int(addr[0]) % n_buckets)
-                at = at[np.argsort(b, kind="stable")]
-                for part in np.split(at, np.flatnonzero(np.diff(np.sort(b))) + 1):
-                    if not len(part):
-                        continue
-                    t, count = np.unique(text[part], return_counts=True)
-                    rows.append({
-                        "bucket": int(b.min() if kind else bucket[part[0]]), "kind": kind, "doc": doc[t].astype("<i8").tobytes(), "addr": addr[t].astype("<i8").tobytes(), "count": count.astype("<i4").tobytes(),
-                        "lo": _diffs(lo[part]), "span": (hi - lo)[part].astype(np.uint8).tobytes(), "anchor": _pack(anchor[part], 6) if kind == 0 else b"", "run": _pack(run[part], 5) if kind == 0 else b"",
-                    })
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), *((c, pa.binary()) for c in ("doc", "addr", "count", "lo", "span", "anchor", "run"))]))
+            ids, addrs = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            encoded = [t.encode() if t else b"" for t in batch.column(2).to_pylist()]
+            for s, e in chunks(encoded, HELD_BYTES):
+                yield from rows_of(ids[s:e], addrs[s:e], encoded[s:e])
+
+    def rows_of(doc: np.ndarray, addr: np.ndarray, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
+        found = [(a[0] + s, *a[1:]) for s, e in chunks(texts) for a in [anchors(texts[s:e])]]
+        if not found:
+            return
+        text, lo, hi, anchor, run = (np.concatenate(x) for x in zip(*found, strict=True))
+        anchor, run = anchor & np.uint64((1 << 48) - 1), run >> np.uint64(24)
+        # the same run in a smaller document of the batch settles it here
+        order = np.lexsort((doc[text], run, anchor))
+        new = np.ones(len(order), bool)
+        new[1:] = (anchor[order][1:] != anchor[order][:-1]) | (run[order][1:] != run[order][:-1])
+        least = doc[text[order]][np.flatnonzero(new)][np.cumsum(new) - 1] if len(order) else doc[:0]
+        later = np.zeros(len(order), bool)
+        later[order] = doc[text[order]] > least
+        rows = []
+        bucket = (mix(anchor) % np.uint64(n_buckets)).astype(np.int64)
+        for kind, some in ((0, ~later), (1, later)):
+            at = np.flatnonzero(some)
+            b = bucket[at] if kind == 0 else np.full(len(at), int(addr[0]) % n_buckets)
+            at = at[np.argsort(b, kind="stable")]
+            for part in np.split(at, np.flatnonzero(np.diff(np.sort(b))) + 1):
+                if not len(part):
+                    continue
+                t, count = np.unique(text[part], return_counts=True)
+                rows.append({
+                    "bucket": int(b.min() if kind else bucket[part[0]]), "kind": kind, "doc": doc[t].astype("<i8").tobytes(), "addr": addr[t].astype("<i8").tobytes(), "count": count.astype("<i4").tobytes(),
+                    "lo": _diffs(lo[part]), "span": (hi - lo)[part].astype(np.uint8).tobytes(), "anchor": _pack(anchor[part], 6) if kind == 0 else b"", "run": _pack(run[part], 5) if kind == 0 else b"",
+                })
+        yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), *((c, pa.binary()) for c in ("doc", "addr", "count", "lo", "span", "anchor", "run"))]))
 
     return work
 
