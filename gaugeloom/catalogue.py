@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gaugeloom.functions import scalar, series
-from gaugeloom.operators import episodes, incidents, rollup, rules, store, upkeep
+from gaugeloom.operators import episodes, incidents, lookups, rollup, rules, store, upkeep
 from gaugeloom.plans.definitions import load
 from gaugeloom.plans.expression import Names, compile_expression
 from gaugeloom.sources import logs, samples
@@ -766,3 +766,143 @@ def parse_perfdata(spark, sf_dir):
     twice = F.when(F.col("event_id") % 2 == 1, F.concat(F.lit(" size=1KB size="), F.col("user_id").cast("string"), F.lit("KB"))).otherwise(F.concat(F.lit(" size="), F.col("user_id").cast("string"), F.lit("KB")))
     out = F.concat(F.lit("OK fine|'load one'="), F.col("value").cast("string"), F.lit(";80;90;0;100"), twice)
     return logs.parse_perfdata(e.select("event_id", out.alias("output")), keys=("event_id",)).select("event_id", "label", "value", "unit", "warn", "crit")
+
+
+# ---- lists, searches and summaries
+
+
+def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return upkeep.lifecycle(points(spark, sf_dir, "user_id"), NOW, 86400)
+
+
+_ENT = f"en AS (SELECT entity_id, min(ts) AS first_seen, max(ts) AS last_seen, CASE WHEN {NOW} - max(ts) > 86400 THEN max(ts) + 86401 END AS gone_ts FROM s GROUP BY entity_id)"
+
+
+@query(f"WITH {_SU}, {_ENT} SELECT 'proc:' || entity_id || ':7' AS entity_id, last_seen FROM en WHERE entity_id = '12' UNION ALL (SELECT 'proc:' || entity_id || ':7', last_seen FROM en WHERE contains('proc:' || entity_id || ':7', 'oc:1') ORDER BY last_seen DESC, 'proc:' || entity_id || ':7' LIMIT 20)")
+def find_entities(spark, sf_dir):
+    rows = _entities(spark, sf_dir).select(F.concat(F.lit("proc:"), F.col("entity_id"), F.lit(":7")).alias("entity_id"), "last_seen")
+    return lookups.find_entities(rows, "12").union(lookups.find_entities(rows, "OC:1"))
+
+
+@query(f"WITH {_L} SELECT id, ts, severity FROM l WHERE ts BETWEEN {NOW - 20 * 86400} AND {NOW} AND severity >= 2 AND provider = 'error' ORDER BY ts DESC, id DESC LIMIT 200")
+def list_events(spark, sf_dir):
+    return lookups.list_events(log(spark, sf_dir), NOW - 20 * 86400, NOW, 2, "error").select("id", "ts", "severity")
+
+
+def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return incidents.summary(incidents.ladder(_states(spark, sf_dir)))
+
+
+_SUM = _LADDER + """,
+su AS (SELECT entity_id, grp, incident, min(ts) AS opened_ts, max(ts) AS last_change_ts, max(CASE WHEN kind = 'clear' THEN ts END) AS cleared_ts, max(severity) AS peak_severity FROM t GROUP BY ALL)"""
+
+
+@query(f"WITH {_SUM} SELECT entity_id, grp, incident FROM su WHERE cleared_ts IS NULL AND last_change_ts >= {NOW - 10 * 86400}")
+def list_incidents(spark, sf_dir):
+    return lookups.list_incidents(_cases(spark, sf_dir), "open", "events", NOW - 10 * 86400).select("entity_id", "grp", "incident")
+
+
+@query(f"WITH {_SUM} SELECT entity_id, grp, incident FROM su WHERE (cleared_ts IS NULL OR cleared_ts >= {NOW - 10 * 86400}) AND opened_ts <= {NOW - 9 * 86400}")
+def incidents_overlapping(spark, sf_dir):
+    return lookups.overlapping(_cases(spark, sf_dir), NOW - 10 * 86400, NOW - 9 * 86400).select("entity_id", "grp", "incident")
+
+
+@query(f"WITH {_SU}, {_ENT} SELECT entity_id, last_seen FROM en WHERE gone_ts IS NULL AND last_seen >= {NOW} - 43200")
+def list_entities(spark, sf_dir):
+    return lookups.list_entities(_entities(spark, sf_dir), True, NOW - 43200).select("entity_id", "last_seen")
+
+
+@query("SELECT count(DISTINCT user_id) AS series, FALSE AS durable FROM events WHERE isfinite(value)")
+def cohort_durability(spark, sf_dir):
+    return lookups.cohort(samples.series_of(points(spark, sf_dir, "user_id")), "events", "value")
+
+
+@query(f"WITH {_SU} SELECT entity_id, least(count(*), 40) AS points FROM s WHERE ts BETWEEN {NOW - 20 * 86400} AND {NOW} GROUP BY entity_id")
+def point_counts(spark, sf_dir):
+    return lookups.point_counts(points(spark, sf_dir, "user_id"), NOW - 20 * 86400, NOW, 40)
+
+
+@query(f"WITH {_SU} SELECT entity_id, round(min(value) - CASE WHEN max(value) > min(value) THEN (max(value) - min(value)) * 0.05::DOUBLE ELSE 1 END + 1e-7, 4) AS lo, round(max(value) + CASE WHEN max(value) > min(value) THEN (max(value) - min(value)) * 0.05::DOUBLE ELSE 1 END + 1e-7, 4) AS hi FROM s GROUP BY entity_id")
+def y_domain(spark, sf_dir):
+    return lookups.y_domain(points(spark, sf_dir, "user_id"), ["entity_id"]).select("entity_id", r4("lo").alias("lo"), r4("hi").alias("hi"))
+
+
+@query(f"WITH {_SUM} SELECT (SELECT {NOW} - max(ts) FROM s) AS tick_age, (SELECT count(*) FROM s) AS samples, count(*) AS open_incidents, CASE WHEN max(peak_severity) >= 3 THEN 2 WHEN max(peak_severity) >= 1 THEN 1 ELSE 0 END AS exit_code FROM su WHERE cleared_ts IS NULL")
+def status(spark, sf_dir):
+    return lookups.status(points(spark, sf_dir, "user_id"), _cases(spark, sf_dir), NOW)
+
+
+_HEALTH = SQL["health_states"]
+
+
+@query(f"WITH h AS ({_HEALTH}) SELECT count(*) FILTER (WHERE health IN ('error', 'warning', 'unknown', 'config-error')) AS attention, count(*) FILTER (WHERE health = 'clear') AS clear, count(*) FILTER (WHERE health = 'disabled') AS disabled FROM h")
+def dashboard_summary(spark, sf_dir):
+    return lookups.dashboard(health_states(spark, sf_dir))
+
+
+@query(f"WITH h AS ({_HEALTH}) SELECT monitor, health, row_number() OVER (ORDER BY list_position(['error', 'warning', 'unknown', 'config-error', 'disabled', 'clear'], health), monitor) AS place FROM h")
+def tile_order(spark, sf_dir):
+    return lookups.tiles(health_states(spark, sf_dir)).withColumn("place", F.col("place").cast("long"))
+
+
+@query(
+    f"WITH {_SU}, g AS (SELECT entity_id, ts, CASE WHEN ts % 5 > 0 THEN value END AS value FROM s), k AS (SELECT *, row_number() OVER w - 1 AS nth, value IS NULL AS gap, lag(value IS NULL) OVER w AS before, lead(value IS NULL) OVER w AS after FROM g WINDOW w AS (PARTITION BY entity_id ORDER BY ts)) "
+    "SELECT entity_id, ts, value FROM k WHERE nth % 10 = 0 OR gap IS DISTINCT FROM before OR gap IS DISTINCT FROM after"
+)
+def projection_cap(spark, sf_dir):
+    rows = points(spark, sf_dir, "user_id").select("entity_id", "ts", F.when(F.col("ts") % 5 > 0, F.col("value")).alias("value"))
+    return lookups.thin(rows, 10, ["entity_id"])
+
+
+@query(f"WITH {_SU} SELECT entity_id, ts // 86400 AS day, count(*) AS points FROM s GROUP BY ALL HAVING count(*) < 3")
+def sparse_days(spark, sf_dir):
+    return lookups.sparse(points(spark, sf_dir, "user_id").withColumn("day", F.floor(F.col("ts") / 86400)), ["entity_id", "day"], 3)
+
+
+@query(f"WITH {_R1.replace('event_type', 'user_id::VARCHAR')}, v AS (SELECT entity_id FROM s GROUP BY entity_id HAVING {NOW} - max(ts) > 86400 AND max(ts) + 86401 < {NOW} - 172800) SELECT entity_id, hour AS bucket FROM r1 WHERE entity_id NOT IN (SELECT entity_id FROM v)")
+def expire_gone(spark, sf_dir):
+    hours = rollup.rollup_1h(rollup.rollup_5m(points(spark, sf_dir, "user_id")))
+    return lookups.expire_gone(hours, _entities(spark, sf_dir), NOW, 172800).select("entity_id", "bucket")
+
+
+@query(
+    "WITH c AS (SELECT event_type, CAST(floor(epoch(ts)) AS BIGINT) // 7200 * 7200 AS ts, sum(CASE WHEN value > 90 THEN 1 ELSE 0 END)::BIGINT AS more FROM events GROUP BY ALL), g AS (SELECT event_type, ts, more, sum(CASE WHEN more <= 0 THEN 1 ELSE 0 END) OVER (PARTITION BY event_type ORDER BY ts) AS calm FROM c) "
+    "SELECT event_type, min(ts) AS start_ts, max(ts) AS end_ts, sum(more)::BIGINT AS lost FROM g WHERE more > 0 GROUP BY event_type, calm"
+)
+def overflow_episodes(spark, sf_dir):
+    per = table(spark, sf_dir, "events").groupBy("event_type", (F.floor(samples.epoch(F.col("ts")) / 7200) * 7200).alias("ts")).agg(F.count_if(F.col("value") > 90).alias("more"))
+    grown = per.withColumn("dropped", F.sum("more").over(W.partitionBy("event_type").orderBy("ts")))
+    return lookups.overflow_episodes(grown.select("event_type", "ts", "dropped"), ["event_type"])
+
+
+@query("SELECT user_id, CASE WHEN user_id % 7 = 0 THEN 'unknown_metric' WHEN count(*) FILTER (WHERE value > 97) = 0 THEN 'no_data_in_range' WHEN count(*) FILTER (WHERE value > 97 AND event_type = 'view') = 0 THEN 'filtered_out' END AS reason FROM events GROUP BY user_id")
+def empty_reasons(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count_if(F.col("value") > 97).alias("n"), F.count_if((F.col("value") > 97) & (F.col("event_type") == "view")).alias("k"))
+    return rows.select("user_id", lookups.empty_reason(F.col("user_id") % 7 != 0, F.col("n") > 0, F.col("k") > 0).alias("reason"))
+
+
+@query(f"WITH {_L} SELECT id, '{{\"kind\":\"open\",\"monitor\":\"events\",\"entity\":\"' || provider || '\",\"severity\":' || severity || ',\"title\":\"t' || id || '\",\"ts\":' || ts || '}}' AS body FROM l WHERE severity >= 2")
+def webhook_payload(spark, sf_dir):
+    rows = log(spark, sf_dir).where("severity >= 2")
+    return rows.select("id", lookups.payload(F.lit("open"), F.lit("events"), F.col("provider"), F.col("severity"), F.concat(F.lit("t"), F.col("id").cast("string")), F.col("ts")).alias("body"))
+
+
+@query(f"WITH {_S}, {_L} SELECT (SELECT min(ts) FROM s) AS oldest, max(ts) AS last_degraded, count(*) AS degradations FROM l WHERE id % 100 = 0")
+def retention_recovery(spark, sf_dir):
+    told = log(spark, sf_dir).withColumn("message", F.when(F.col("id") % 100 == 0, F.concat(F.lit("degraded: "), F.col("message"))).otherwise(F.col("message")))
+    return lookups.recovery(told, points(spark, sf_dir))
+
+
+@query(f"WITH {_S} SELECT DISTINCT monitor, metric, entity_id FROM s")
+def metric_catalog(spark, sf_dir):
+    return samples.series_of(points(spark, sf_dir)).select("monitor", "metric", "entity_id")
+
+
+@query("SELECT count(DISTINCT user_id) AS live FROM events WHERE isfinite(value)")
+def live_series(spark, sf_dir):
+    return samples.series_of(points(spark, sf_dir, "user_id")).agg(F.count_distinct("series_id").alias("live"))
+
+
+@query()
+def action_rate_limit(spark, sf_dir):
+    return lookups.action_runs(log(spark, sf_dir).select(F.col("provider").alias("action"), "ts"), 7200)
