@@ -84,9 +84,14 @@ def link(
         else:
             part = F.pmod(F.xxhash64("id"), F.lit(pivots_each))
             pivots = free.groupBy("key", part.alias("part")).agg(F.min_by(F.struct("id", "comp"), F.xxhash64("id", "key")).alias("p")).select("key", "p.id", "p.comp")
-        p = pivots.withColumnRenamed("comp", "p_comp").join(nodes, "id").withColumnRenamed("id", "p_id").alias("p")
-        q = live.select("key", "id", "comp").join(nodes, "id").alias("q")
-        pairs = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p_comp") != F.col("comp")) & near("p", "q"))
+        told = nodes
+        if pivots_each is None:  # a pair is made once: in the least bucket of both, and there not in both orders
+            told = nodes.join(live.groupBy("id").agg(F.collect_set("key").alias("keys")), "id")  # as many keys as an id has bands
+            once = (F.array_min(F.array_intersect("p.keys", "q.keys")) == F.col("p.key")) & ((F.col("comp") == F.col("main")) | (F.col("p_id") < F.col("q.id")))
+        p = pivots.withColumnRenamed("comp", "p_comp").join(told, "id").withColumnRenamed("id", "p_id").alias("p")
+        q = live.select("key", "id", "comp", "main").join(told, "id").alias("q")
+        on = (F.col("p.key") == F.col("q.key")) & (F.col("p_comp") != F.col("comp")) & near("p", "q")
+        pairs = p.join(q, on if pivots_each is not None else on & once)
         pairs = pairs.select(F.least("p_id", F.col("q.id")).alias("a"), F.greatest("p_id", F.col("q.id")).alias("b")).distinct()
         pairs = save(pairs if first else pairs.join(seen, ["a", "b"], "left_anti"))
         good = save(verify(pairs))
