@@ -171,3 +171,17 @@ def test_vectors(spark):
     assert capfilter.near_vectors(df.limit(0)).count() == 0
     twice = spark.createDataFrame([(3, [1.0, 0.0], 1), (3, [1.0, 0.0], 1), (4, [1.0, 0.001], 1), (None, [1.0, 0.0], 1)], "vec_id long, embedding array<double>, label int")
     assert sorted((r.vec_id or 0, r.n_links) for r in capfilter.near_vectors(twice).collect()) == [(0, 0), (3, 2), (3, 2), (4, 2)]
+
+
+def test_each_vector_has_filters_and_near_ones_share_some():
+    rng = np.random.Generator(np.random.PCG64(17))
+    a = rng.standard_normal((2000, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = rng.standard_normal(a.shape)
+    b -= (b * a).sum(1, keepdims=True) * a
+    b = 0.98 * a + np.sqrt(1 - 0.98**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    for n in (2000, 50000):
+        code = capfilter.code_for(64, n)
+        own, other = code.decode(a), code.decode(b)
+        assert min(map(len, own)) >= 28
+        assert sum(len(np.intersect1d(x, y)) > 0 for x, y in zip(own, other, strict=True)) >= 0.998 * len(a)
