@@ -107,3 +107,10 @@ def test_history_folds(spark):
     assert [(r.seq, r["count"], r.kind) for r in got] == [(1, 3, "collapsed"), (4, 1, "x"), (5, 1, "x"), (6, 1, "x"), (7, 1, "x")]
     assert (got[0].last_ts, got[0].severity_min, got[0].severity) == (3, 1, 2)
     assert upkeep.fold_history(df, ["k"]).count() == 7
+
+
+def test_digest_names_all_titles(spark):
+    rows = [("mail", DAY + 60 * i, 1 + i % 2, f"title {i:02}") for i in range(45)] + [("mail", DAY, 3, "error"), ("mail", DAY + 43200, 1, "noon")]
+    got = upkeep.digest(spark.createDataFrame(rows, "channel string, ts long, severity int, title string"), "22:00-07:00").collect()
+    assert [(r.channel, r.day, r.n, r.severity) for r in got] == [("mail", 1, 45, 2)]
+    assert got[0].titles == ", ".join(f"title {i:02}" for i in range(45))
