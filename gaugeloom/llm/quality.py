@@ -142,8 +142,27 @@ def held_out(doc_id: str) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> AttentionMil | None:
-    """A model from at most ``train_docs`` labelled documents, chosen by hash, that aren't held out; None where none has a label."""
+def thinned(per_text: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the passages to train on, about ``most`` at most, and how many each text has of them.
+
+    Every text keeps some: those with more passages than an equal share of what shorter ones leave keep that
+    many, spread evenly. All stay where there are ``most`` or fewer.
+    """
+    size = np.sort(per_text)
+    rest = most - np.append(0, np.cumsum(size)[:-1])
+    share = rest // np.arange(len(size), 0, -1)
+    over = np.flatnonzero(size > share)
+    keep = np.minimum(per_text, max(1, share[over[0]])) if len(over) else per_text
+    begin = np.cumsum(per_text) - per_text
+    nth = np.arange(keep.sum()) - np.repeat(np.cumsum(keep) - keep, keep)
+    return np.repeat(begin, keep) + nth * np.repeat(per_text, keep) // np.repeat(keep, keep), keep
+
+
+def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_passages: int = TRAIN_PASSAGES) -> AttentionMil | None:
+    """A model from at most ``train_docs`` labelled documents, chosen by hash, that aren't held out; None where none has a label.
+
+    Where they have more than ``train_passages`` passages, the longest train on fewer of theirs; see :func:`thinned`.
+    """
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
     known = known.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("quality").cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(train_docs)
@@ -158,9 +177,9 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> A
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["id", "x"]).drop_duplicates("id")
         per_text = pdf["x"].map(len).to_numpy() // (2 * DIMS)
-        upto = per_text.cumsum() <= max(TRAIN_PASSAGES, per_text[0])
-        x = np.frombuffer(b"".join(pdf["x"][upto]), "<f2").reshape(-1, DIMS).astype(np.float32)
-        model = AttentionMil().fit(x, per_text[upto], pdf["label"].to_numpy(np.float32)[upto])
+        rows, per_text = thinned(per_text, train_passages)
+        x = np.frombuffer(b"".join(pdf["x"]), "<f2").reshape(-1, DIMS)[rows].astype(np.float32)
+        model = AttentionMil().fit(x, per_text, pdf["label"].to_numpy(np.float32))
         return pd.DataFrame({"model": [model.to_bytes()]})
 
     made = texts.mapInArrow(features, "id long, label int, x binary").groupBy().applyInPandas(fit, "model binary").collect()

@@ -50,3 +50,19 @@ def test_held_out_accuracy_and_odd_rows(spark):
     assert np.mean([r.predicted == truth[r.doc_id] for r in out]) > 0.9
     assert quality.judge(docs.limit(0), table).count() == 0
     assert {r.score for r in quality.judge(docs, table.limit(0)).collect()} == {0.5}
+
+
+def test_all_labelled_documents_train_beside_an_oversized_one(spark):
+    rows, keep = quality.thinned(np.array([100, 2, 5]), 15)
+    assert keep.tolist() == [8, 2, 5] and rows.tolist() == [0, 12, 25, 37, 50, 62, 75, 87, 100, 101, 102, 103, 104, 105, 106]
+    rows, keep = quality.thinned(np.array([4, 2, 5]), 11)
+    assert keep.tolist() == [4, 2, 5] and rows.tolist() == list(range(11))
+    assert quality.thinned(np.array([4, 2, 5]), 2)[1].tolist() == [1, 1, 1]
+    rng = random.Random(6)
+    text = lambda n, good: " ".join(w if good else w.upper() + "!!" for w in ("".join(rng.choices("etaoinshr", k=5)) for _ in range(n)))
+    docs = [(i, text(20000 if i == min(j for j in range(99) if zlib.crc32(str(j).encode()) % 5) else 80, i % 2 == 0)) for i in range(200)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 2 == 0)) for i, _ in docs], "doc_id long, quality int")
+    model = quality.train(df, labels, train_passages=300)
+    got = model.score([t.encode() for _, t in docs])
+    assert np.mean((got >= 0.5) == np.array([i % 2 == 0 for i, _ in docs])) >= 0.95
