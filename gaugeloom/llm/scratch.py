@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -40,6 +41,12 @@ def drop(df: DataFrame) -> None:
         _delete(df.sparkSession, path)
 
 
+def free(spark: SparkSession) -> None:
+    """Let Spark's cleaner take the shuffle files of plans that no one holds any more, which it else does when the driver's memory fills."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
