@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,8 +44,10 @@ def drop(df: DataFrame) -> None:
 
 def free(spark: SparkSession) -> None:
     """Let Spark's cleaner take the shuffle files of plans that no one holds any more, which it else does when the driver's memory fills."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the first lets Python's handles go
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def _delete(spark: SparkSession, path: str) -> None:
