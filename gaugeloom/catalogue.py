@@ -173,7 +173,7 @@ _X = "x AS (SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS ts, value, CASE
 
 
 @query(
-    f"WITH {_X} SELECT event_id, round(100 * value / nullif(part, 0) + 1e-7, 4) AS share, CASE WHEN part IS NOT NULL THEN greatest(least(value, 40), part) END AS clamped, coalesce(part, -1) AS filled, abs(part) AS absolute FROM x"
+    f"WITH {_X} SELECT event_id, round(100 * value / nullif(part, 0) + 1e-7, 4) AS share, CASE WHEN part IS NOT NULL THEN least(greatest(value, part), 40) END AS clamped, coalesce(part, -1) AS filled, abs(part) AS absolute FROM x"
 )
 def scalar_pct_clamp_coalesce(spark, sf_dir):
     rows = _expressions(spark, sf_dir, share="pct(value, part)", clamped="clamp(value, part, 40)", filled="coalesce(part, -1)", absolute="abs(part)")
@@ -364,8 +364,8 @@ def entity_gone(spark, sf_dir):
 
 @query()
 def promotion_slots(spark, sf_dir):
-    rows = points(spark, sf_dir, "user_id").where("value > 80").select("monitor", (F.floor(F.col("ts") / 3600) * 3600).alias("ts"), "entity_id").distinct()
-    return rules.promotions(rows)
+    rows = points(spark, sf_dir, "user_id").select("monitor", (F.floor(F.col("ts") / 3600) * 3600).alias("ts"), "entity_id", "value")
+    return rules.promotions(rows.where("value > 80").select("monitor", "ts", "entity_id").distinct(), rows.select("monitor", "ts"))
 
 
 # ---- log events
@@ -378,12 +378,11 @@ def store_filter(spark, sf_dir):
 
 
 @query(
-    f"WITH {_L}, k AS (SELECT *, CASE WHEN lag(id) OVER w IS NOT NULL AND provider = lag(provider) OVER w AND event_id IS NOT DISTINCT FROM lag(event_id) OVER w AND severity = lag(severity) OVER w AND substr(message, 1, 14) = lag(substr(message, 1, 14)) OVER w THEN 0 ELSE 1 END AS new FROM l WINDOW w AS (ORDER BY id)), "
+    f"WITH {_L}, k AS (SELECT *, CASE WHEN lag(id) OVER w IS NOT NULL AND provider = lag(provider) OVER w AND event_id IS NOT DISTINCT FROM lag(event_id) OVER w AND severity = lag(severity) OVER w AND message = lag(message) OVER w THEN 0 ELSE 1 END AS new FROM l WINDOW w AS (ORDER BY id)), "
     "g AS (SELECT *, sum(new) OVER (ORDER BY id) AS run FROM k) SELECT min(id) AS id, any_value(provider) AS provider, count(*) AS repeat_count, min(ts) AS first_ts, max(ts) AS last_ts FROM g GROUP BY run"
 )
 def adjacent_coalesce(spark, sf_dir):
-    rows = log(spark, sf_dir).withColumn("message", F.substring("message", 1, 14))
-    return episodes.coalesce_repeats(rows).select("id", "provider", "repeat_count", "first_ts", "last_ts")
+    return episodes.coalesce_repeats(log(spark, sf_dir)).select("id", "provider", "repeat_count", "first_ts", "last_ts")
 
 
 @query(f"WITH {_L} SELECT id, ts // 86400 * 86400 AS day, row_number() OVER (PARTITION BY provider, ts // 60 ORDER BY id) <= 1 AS stored FROM l")
@@ -567,10 +566,11 @@ def trend_projection(spark, sf_dir):
     return store.projection(rate, left).select("entity_id", "ts", r4("hours").alias("hours"))
 
 
-@query(f"WITH {_R1} SELECT entity_id, hour AS ts, min, max FROM r1 WHERE hour % 10800 = 0")
+@query(f"WITH {_R1} SELECT entity_id, hour AS ts, min, max FROM r1 QUALIFY hour = max(hour) OVER (PARTITION BY entity_id, hour // 86400)")
 def envelope(spark, sf_dir):
     hours = rollup.rollup_1h(rollup.rollup_5m(points(spark, sf_dir))).withColumnRenamed("bucket", "ts")
-    return store.envelope(hours.select("entity_id", "ts", "min", "max"), hours.where("ts % 10800 = 0"))
+    shown = hours.groupBy("entity_id", F.floor(F.col("ts") / 86400)).agg(F.max("ts").alias("ts"))  # the last point of each day
+    return store.envelope(hours.select("entity_id", "ts", "min", "max"), hours.join(shown, ["entity_id", "ts"], "left_semi"))
 
 
 @query()
@@ -578,13 +578,13 @@ def lttb(spark, sf_dir):
     return store.downsample(points(spark, sf_dir, "user_id"), 20)
 
 
-_CASES = "i AS (SELECT id, ts AS opened_ts FROM l WHERE provider = 'error' AND id % 10 = 0)"
+_CASES = "i AS (SELECT id, ts AS opened_ts FROM l WHERE provider = 'error')"
 
 
 @query(f"WITH {_L}, {_CASES} SELECT i.id AS incident, l.id, l.ts - i.opened_ts AS offset_s FROM i JOIN l ON l.ts BETWEEN i.opened_ts - 600 AND i.opened_ts + 600")
 def incident_context(spark, sf_dir):
     rows = log(spark, sf_dir)
-    cases = rows.where("provider = 'error' and id % 10 = 0").select(F.col("id").alias("incident"), F.col("ts").alias("opened_ts"))
+    cases = rows.where("provider = 'error'").select(F.col("id").alias("incident"), F.col("ts").alias("opened_ts"))
     return store.context(cases, rows.select("id", "ts")).select("incident", "id", (F.col("ts") - F.col("opened_ts")).alias("offset_s"))
 
 
@@ -624,8 +624,8 @@ def fanout(spark, sf_dir):
 
 
 @query(
-    f"WITH {_L}, f AS (SELECT l.ts, l.severity, l.provider AS title, c.channel FROM l JOIN {_CHANNELS} ON l.severity >= c.min_severity OR c.channel = 'file' WHERE l.severity BETWEEN 1 AND 2 AND (l.ts % 86400 // 60 >= 1320 OR l.ts % 86400 // 60 < 420)) "
-    "SELECT channel, ts // 86400 AS day, count(*) AS n, max(severity) AS severity, array_to_string(list_sort(list_distinct(list(title))), ', ') AS titles FROM f GROUP BY ALL"
+    f"WITH {_L}, f AS (SELECT l.id, l.ts, l.severity, l.provider AS title, c.channel FROM l JOIN {_CHANNELS} ON l.severity >= c.min_severity OR c.channel = 'file' WHERE l.severity BETWEEN 1 AND 2 AND (l.ts % 86400 // 60 >= 1320 OR l.ts % 86400 // 60 < 420)) "
+    "SELECT channel, (ts - 79200) // 86400 AS day, count(*) AS n, max(severity) AS severity, string_agg(title, '; ' ORDER BY ts, id) AS titles FROM f GROUP BY ALL"
 )
 def quiet_digest(spark, sf_dir):
     return upkeep.digest(upkeep.fan_out(_notes(spark, sf_dir), _channels(spark)), "22:00-07:00")
@@ -651,12 +651,12 @@ def backlog(spark, sf_dir):
 
 
 @query(
-    f"WITH {_SU}, b AS (SELECT entity_id, ts AS at, value FROM s WHERE ts % 7 = 0), t AS (SELECT DISTINCT entity_id, ts // 3600 * 3600 AS ts FROM s) "
+    f"WITH {_SU}, b AS (SELECT entity_id, ts AS at, value FROM s), t AS (SELECT DISTINCT entity_id, ts // 3600 * 3600 AS ts FROM s) "
     "SELECT t.entity_id, t.ts, b.value FROM t ASOF LEFT JOIN b ON t.entity_id = b.entity_id AND t.ts >= b.at"
 )
 def scenario_asof(spark, sf_dir):
     p = points(spark, sf_dir, "user_id")
-    lines = p.where("ts % 7 = 0").select("entity_id", F.col("ts").alias("at"), "value")
+    lines = p.select("entity_id", F.col("ts").alias("at"), "value")
     ticks = p.select("entity_id", (F.floor(F.col("ts") / 3600) * 3600).alias("ts")).distinct()
     return samples.state_in_force(ticks, lines, ["entity_id"], "value").select("entity_id", "ts", "value")
 
@@ -674,9 +674,7 @@ def retention_prune(spark, sf_dir):
 def budget_degrade(spark, sf_dir):
     step = F.when(F.col("event_type") == "view", 1).when(F.col("event_type") == "click", 2).otherwise(3)
     days = table(spark, sf_dir, "events").groupBy(step.alias("step"), F.floor(samples.epoch(F.col("ts")) / 86400).alias("day")).agg((F.count("*") * 35).alias("bytes"))
-    half = F.floor(F.sum("bytes").over(W.partitionBy()) / 2)
-    before = F.sum("bytes").over(W.orderBy("step", "day")) - F.col("bytes")
-    return days.withColumn("dropped", before < F.sum("bytes").over(W.partitionBy()) - half)
+    return upkeep.degrade(days, days.agg(F.floor(F.sum("bytes") / 2)).first()[0])
 
 
 @query(
@@ -710,11 +708,11 @@ def stage_rates(spark, sf_dir):
 
 
 @query(
-    "WITH p AS (SELECT 'u' || (user_id % 7) AS monitor, max(CASE event_type WHEN 'error' THEN 3 WHEN 'purchase' THEN 2 ELSE 0 END) AS state, count(*) % 5 = 0 AS unknown, count(*) % 3 = 0 AS disabled FROM events GROUP BY 1) "
-    "SELECT monitor, CASE WHEN unknown THEN 'unknown' WHEN disabled THEN 'disabled' WHEN state >= 3 THEN 'error' WHEN state >= 2 THEN 'warning' ELSE 'clear' END AS health FROM p"
+    "WITH p AS (SELECT 'u' || (user_id % 7) AS monitor, max(CASE event_type WHEN 'error' THEN 3 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 0 END) AS state, count(*) % 5 = 0 AS unknown, count(*) % 3 = 0 AS disabled FROM events GROUP BY 1) "
+    "SELECT monitor, CASE WHEN unknown THEN 'unknown' WHEN disabled THEN 'disabled' WHEN state >= 3 THEN 'error' WHEN state IS NOT NULL THEN 'warning' ELSE 'clear' END AS health FROM p"
 )
 def health_states(spark, sf_dir):
-    state = F.when(F.col("event_type") == "error", 3).when(F.col("event_type") == "purchase", 2).otherwise(0)
+    state = F.when(F.col("event_type") == "error", 3).when(F.col("event_type") == "purchase", 2).when(F.col("event_type") == "signup", 0)
     rows = table(spark, sf_dir, "events").groupBy(F.concat(F.lit("u"), (F.col("user_id") % 7).cast("string")).alias("monitor")).agg(F.max(state).alias("state"), F.count("*").alias("n"))
     return rows.select("monitor", upkeep.health(F.col("state"), F.lit(False), F.col("n") % 5 == 0, F.col("n") % 3 == 0).alias("health"))
 
@@ -827,7 +825,7 @@ def y_domain(spark, sf_dir):
     return lookups.y_domain(points(spark, sf_dir, "user_id"), ["entity_id"]).select("entity_id", r4("lo").alias("lo"), r4("hi").alias("hi"))
 
 
-@query(f"WITH {_SUM} SELECT (SELECT {NOW} - max(ts) FROM s) AS tick_age, (SELECT count(*) FROM s) AS samples, count(*) AS open_incidents, CASE WHEN max(peak_severity) >= 3 THEN 2 WHEN max(peak_severity) >= 1 THEN 1 ELSE 0 END AS exit_code FROM su WHERE cleared_ts IS NULL")
+@query(f"WITH {_SUM} SELECT (SELECT {NOW} - max(ts) FROM s) AS tick_age, (SELECT count(*) FROM s) AS samples, count(*) AS open_incidents, CASE WHEN max(peak_severity) >= 3 THEN 2 WHEN max(peak_severity) >= 0 THEN 1 ELSE 0 END AS exit_code FROM su WHERE cleared_ts IS NULL")
 def status(spark, sf_dir):
     return lookups.status(points(spark, sf_dir, "user_id"), _cases(spark, sf_dir), NOW)
 

@@ -35,8 +35,8 @@ def roundv(x: Column, digits: int) -> Column:
 
 
 def clamp(x: Column, low: Column, high: Column) -> Column:
-    """x between low and high; null where any of the three is."""
-    return F.when(x.isNotNull() & low.isNotNull() & high.isNotNull(), F.greatest(F.least(x, high), low))
+    """x between low and high; high where low is above it; null where any of the three is."""
+    return F.when(x.isNotNull() & low.isNotNull() & high.isNotNull(), F.least(F.greatest(x, low), high))
 
 
 def matches(text: Column, pattern: str) -> Column:

@@ -48,9 +48,10 @@ def storms(log: DataFrame, limit: int = STORM) -> DataFrame:
 
 
 def arrival_rate(log: DataFrame, span: int = 60, keys: tuple[str, ...] = ("provider",)) -> DataFrame:
-    """Adds ``rate_per_s`` over the last ``span`` seconds, repeats counted."""
+    """Adds ``rate_per_s`` over the last ``span`` seconds; a row with a ``repeat_count`` counts as often."""
     window = W.partitionBy(*keys).orderBy("ts").rangeBetween(-span + 1, 0)
-    return log.withColumn("rate_per_s", F.count("*").over(window) / span)
+    times = F.coalesce("repeat_count", F.lit(1)) if "repeat_count" in log.columns else F.lit(1)
+    return log.withColumn("rate_per_s", F.sum(times).over(window) / span)
 
 
 def sessions(log: DataFrame, quiet: int) -> DataFrame:
@@ -66,7 +67,8 @@ def step_episode(state: dict, ts: int, count: int, confirm: int, confirm_span: i
     """One match of an episode's key at ``ts``: events (kind, ts). Pure; ``state`` is empty before the first match.
 
     It opens once ``confirm`` matches lie within ``confirm_span``; a quiet time over ``clear_after`` clears it at
-    its end; while open it notifies again each ``cooldown``, four times as long while it flaps.
+    its end; while open it notifies again each ``cooldown``, four times as long while it flaps. ``pending`` holds no more
+    than ``confirm`` times, however often a match repeats.
     """
     out: list[tuple[str, int]] = []
     if state.get("open") and ts - state["last"] > clear_after:
@@ -80,7 +82,7 @@ def step_episode(state: dict, ts: int, count: int, confirm: int, confirm_span: i
             state["notified"] = ts
             out.append(("renotify", ts))
         return out
-    pending = [t for t in state.get("pending", []) if ts - t <= confirm_span] + [ts] * count
+    pending = [t for t in state.get("pending", []) if ts - t <= confirm_span] + [ts] * min(count, confirm)
     state["pending"] = pending[-confirm:]
     if len(pending) >= confirm:
         flapping = sum(ts - t <= 600 for t in state.get("clears", [])) >= 3
@@ -89,18 +91,29 @@ def step_episode(state: dict, ts: int, count: int, confirm: int, confirm_span: i
     return out
 
 
-def episodes(matches: DataFrame, confirm: int = 1, confirm_span: int = 3600, cooldown: int = 3600, clear_after: int = 1800) -> DataFrame:
-    """matches: (key, ts, count). The episodes' events (key, kind, ts) in ingest order, keys folded as they stream by."""
+def end_episode(state: dict, now: int, clear_after: int) -> list[tuple[str, int]]:
+    """The clear of an episode that has been quiet for longer than ``clear_after`` at ``now``."""
+    return [("clear", state["last"] + clear_after)] if state.get("open") and now - state["last"] > clear_after else []
+
+
+def episodes(matches: DataFrame, confirm: int = 1, confirm_span: int = 3600, cooldown: int = 3600, clear_after: int = 1800, now: int | None = None) -> DataFrame:
+    """matches: (key, ts, count), with ``id`` where ingest order isn't that of ts. The episodes' events (key, kind, ts), keys
+    folded as they stream by; those quiet for long enough at ``now`` are cleared."""
+    order = ["id"] if "id" in matches.columns else ["ts"]
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, state = None, {}
+        ended = lambda: [(key, *e) for e in end_episode(state, now, clear_after)] if now is not None else []
         for pdf in batches:
             out = []
             for r in pdf.itertuples(index=False):
                 if r.key != key:
+                    out += ended()
                     key, state = r.key, {}
                 out += [(key, *e) for e in step_episode(state, r.ts, r.n, confirm, confirm_span, cooldown, clear_after)]
             yield pd.DataFrame(out, columns=["key", "kind", "ts"])
+        if last := ended():
+            yield pd.DataFrame(last, columns=["key", "kind", "ts"])
 
-    dealt = matches.select("key", "ts", F.col("count").alias("n")).repartition("key").sortWithinPartitions("key", "ts")
+    dealt = matches.select("key", "ts", F.col("count").alias("n"), *(c for c in order if c != "ts")).repartition("key").sortWithinPartitions("key", *order)
     return dealt.mapInPandas(work, "key string, kind string, ts long")

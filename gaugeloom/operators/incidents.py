@@ -70,19 +70,21 @@ def step(state: dict, now: int, severity: int, owner_true: bool, acked: bool = F
     opened = state.get("severity", -1)
     if opened < 0 <= severity:
         recent = [t for t in state.get("clears", []) if now - FLAP_SPAN <= t]
-        state.update(severity=severity, peak=severity, last=now, tier=0, flapping=len(recent) >= FLAP_CLEARS, acked=False, opened=now)
+        flaps = len(recent) >= FLAP_CLEARS  # then it starts with the longest wait
+        state.update(severity=severity, peak=severity, last=now, tier=len(BACKOFF) - 1 if flaps else 0, flapping=flaps, acked=False, opened=now)
         out.append(("open", severity))
     elif opened >= 0 > severity:
         state["clears"] = [*state.get("clears", []), now][-5:]
         state["severity"] = -1
-        out.append(("recover", opened))
+        out.append(("recover", 0))
     elif opened >= 0:
         state["acked"] = state["acked"] or acked
         if severity > opened:
             state.update(severity=severity, peak=max(severity, state["peak"]), last=now, tier=0, acked=False)
             out.append(("escalate", severity))
+        elif severity < opened:
+            state["severity"] = severity  # a downgrade is silent
         else:
-            state["severity"] = severity
             wait = BACKOFF[min(state["tier"], len(BACKOFF) - 1)]
             if owner_true and not state["acked"] and max(0, now - state["last"]) >= wait:
                 state.update(last=now, tier=state["tier"] + 1)

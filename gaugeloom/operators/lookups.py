@@ -70,7 +70,7 @@ def status(samples: DataFrame, incidents: DataFrame, now: int) -> DataFrame:
     """One row: age of the last tick, samples, open incidents, and the exit code that their severities ask for."""
     ticks = samples.agg((F.lit(now) - F.max("ts")).alias("tick_age"), F.count("*").alias("samples"))
     live = incidents.where("state = 'open'").agg(F.count("*").alias("open_incidents"), F.coalesce(F.max("peak_severity"), F.lit(-1)).alias("_worst"))
-    code = F.when(F.col("_worst") >= 3, 2).when(F.col("_worst") >= 1, 1).otherwise(0)
+    code = F.when(F.col("_worst") >= 3, 2).when(F.col("_worst") >= 0, 1).otherwise(0)
     return ticks.withColumn("_k", F.lit(1)).join(live.withColumn("_k", F.lit(1)), "_k").withColumn("exit_code", code).drop("_k", "_worst")
 
 

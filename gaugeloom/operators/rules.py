@@ -99,8 +99,9 @@ def promote_step(state: dict, ts: int, matching: list[str], slots: int = MAX_PRO
     return events
 
 
-def promotions(matches: DataFrame) -> DataFrame:
-    """matches: (monitor, ts, entity_id) where the promotion rule is true. Sticky slots, one sequence a monitor.
+def promotions(matches: DataFrame, ticks: DataFrame | None = None) -> DataFrame:
+    """matches: (monitor, ts, entity_id) where the promotion rule is true; ticks: (monitor, ts) of all ticks, those without a
+    match too, at which slots may fall free. Sticky slots, one sequence a monitor.
 
     The state is at most 10 slots a monitor; ticks come in time order from Spark's sort and are read in batches.
     """
@@ -116,10 +117,14 @@ def promotions(matches: DataFrame) -> DataFrame:
                     if r.monitor != monitor:
                         state = {}
                     monitor, ts, names = r.monitor, r.ts, []
-                names.append(r.entity_id)
+                if r.entity_id is not None:
+                    names.append(r.entity_id)
             yield pd.DataFrame(out, columns=["monitor", "ts", "entity_id", "kind"])
         if ts is not None:
             yield pd.DataFrame([(monitor, *e) for e in promote_step(state, ts, names)], columns=["monitor", "ts", "entity_id", "kind"])
 
-    dealt = matches.select("monitor", "ts", "entity_id").repartition("monitor").sortWithinPartitions("monitor", "ts", "entity_id")
+    rows = matches.select("monitor", "ts", "entity_id")
+    if ticks is not None:
+        rows = rows.union(ticks.select("monitor", "ts", F.lit(None).cast("string")).distinct())
+    dealt = rows.repartition("monitor").sortWithinPartitions("monitor", "ts", "entity_id")
     return dealt.mapInPandas(work, "monitor string, ts long, entity_id string, kind string")

@@ -48,8 +48,8 @@ def attribution(entities: DataFrame, series: DataFrame) -> DataFrame:
 
 
 def health(state: Column, problem: Column, unknown: Column, disabled: Column) -> Column:
-    """A monitor's state: config-error, unknown, disabled, error, warning or clear, the first that holds. state: greatest open severity."""
-    return F.when(problem, "config-error").when(unknown, "unknown").when(disabled, "disabled").when(state >= 3, "error").when(state >= 2, "warning").otherwise("clear")
+    """A monitor's state: config-error, unknown, disabled, error, warning or clear, the first that holds. state: greatest open severity, null without open incidents."""
+    return F.when(problem, "config-error").when(unknown, "unknown").when(disabled, "disabled").when(state >= 3, "error").when(state.isNotNull(), "warning").otherwise("clear")
 
 
 def fold_history(history: DataFrame, keys: list[str], most: int = HISTORY_MOST, fold: int = HISTORY_FOLD) -> DataFrame:
@@ -89,11 +89,14 @@ def quiet(ts: Column, window: str) -> Column:
 
 
 def digest(deliveries: DataFrame, window: str) -> DataFrame:
-    """One digest a channel and day of what quiet hours hold back: severities up to warning."""
+    """One digest a channel and night (by the day on which its quiet hours begin) of what they hold back: severities up to
+    warning, all titles by time."""
     held = deliveries.where(quiet(F.col("ts"), window) & (F.col("severity") <= 2))
-    day = F.floor(F.col("ts") / DAY).alias("day")
-    titles = F.array_join(F.array_sort(F.collect_set("title")), ", ")
-    return held.groupBy("channel", day).agg(F.count("*").alias("n"), F.max("severity").alias("severity"), titles.alias("titles"))
+    begins = (int(window[:2]) * 60 + int(window[3:5])) * 60
+    night = F.floor((F.col("ts") - begins) / DAY).alias("day")
+    by_time = F.array_sort(F.collect_list(F.struct("ts", "notification_id", "title")))  # one channel's notes of one night
+    titles = F.array_join(F.transform(by_time, lambda x: x["title"]), "; ")
+    return held.groupBy("channel", night).agg(F.count("*").alias("n"), F.max("severity").alias("severity"), titles.alias("titles"))
 
 
 def backlog(deliveries: DataFrame, now: int, window: str) -> DataFrame:

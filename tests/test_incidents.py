@@ -57,13 +57,24 @@ def test_backoff_escalation_ack_and_recovery():
     assert incidents.step(state, 6000, 4, True) == [("escalate", 4)]
     assert incidents.step(state, 6060, 4, True, acked=True) == []
     assert incidents.step(state, 60_000, 4, True) == []
-    assert incidents.step(state, 60_060, -1, False) == [("recover", 4)]
+    assert incidents.step(state, 60_060, 2, True) == []  # a downgrade is silent, whatever the backoff says
+    assert incidents.step(state, 60_120, -1, False) == [("recover", 0)]
     assert incidents.step({}, 5, -1, False) == []
     state = {}
     incidents.step(state, 0, 2, True)
     assert incidents.step(state, 400, 2, False) == []
 
 
+def test_a_flapping_incident_starts_with_the_longest_wait():
+    state, out = {}, []
+    for now in range(0, 600, 60):
+        out += incidents.step(state, now, 2 if now % 120 == 0 else -1, True)
+    assert state["clears"] == [60, 180, 300, 420, 540]
+    assert incidents.step(state, 600, 2, True) == [("open", 2)] and state["flapping"]
+    assert incidents.step(state, 600 + 21_540, 2, True) == []
+    assert incidents.step(state, 600 + 21_600, 2, True) == [("renotify", 2)]
+
+
 def test_notifications_fold_each_group(spark):
     rows = [("m", f"e{k}", "g", t, 2 if t < 1500 else -1, True) for k in range(30) for t in range(0, 1800, 60)]
     got = incidents.notifications(spark.createDataFrame(rows, "monitor string, entity_id string, grp string, ts long, severity int, owner_true boolean")).collect()
@@ -93,6 +104,13 @@ def test_promotions_of_each_monitor(spark):
     assert len(got) == 24
 
 
+def test_slots_fall_free_at_ticks_without_matches(spark):
+    matches = spark.createDataFrame([("m", 0, "p")], "monitor string, ts long, entity_id string")
+    ticks = spark.createDataFrame([("m", t) for t in range(0, 3600, 60)], "monitor string, ts long")
+    got = [(r.ts, r.entity_id, r.kind) for r in rules.promotions(matches, ticks).orderBy("ts").collect()]
+    assert got == [(0, "p", "promoted"), (1860, "p", "demoted")]
+
+
 def test_top_union(spark):
     df = spark.createDataFrame([(0, f"p{i}", float(i), float(10 - i)) for i in range(10)], "ts long, entity_id string, cpu double, rss double")
     assert {r.entity_id for r in rules.top_union(df, ["cpu", "rss"], 2).collect()} == {"p9", "p8", "p0", "p1"}
@@ -123,3 +141,15 @@ def test_episode_steps():
     for ts in (0, 10, 20, 4000, 9000):
         out += episodes.step_episode(state, ts, 1, confirm=2, confirm_span=60, cooldown=3600, clear_after=4500)
     assert out == [("open", 10), ("renotify", 4000), ("clear", 8500)]
+
+
+def test_episodes_in_ingest_order_end_with_the_data(spark):
+    rows = [("k", 20, 1, 1), ("k", 10, 1000, 2), ("j", 5000, 1, 3)]
+    df = spark.createDataFrame(rows, "key string, ts long, count long, id long")
+    got = sorted((r.key, r.kind, r.ts) for r in episodes.episodes(df, confirm=3, clear_after=1800, now=4000).collect())
+    assert got == [("k", "clear", 1810), ("k", "open", 10)]
+
+
+def test_arrival_rate_counts_repeats(spark):
+    df = spark.createDataFrame([("p", 0, 30), ("p", 30, None), ("p", 70, 5)], "provider string, ts long, repeat_count long")
+    assert [round(r.rate_per_s * 60, 6) for r in episodes.arrival_rate(df).orderBy("ts").collect()] == [30, 31, 6]
