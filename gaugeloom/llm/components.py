@@ -10,21 +10,27 @@ from pyspark.sql import functions as F
 from gaugeloom.llm.scratch import drop, save
 
 
+#: A vertex is a hub with over one in so many of the rows; so there are fewer hubs than that.
+HUBS = 500
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Rows (id, comp) for every id in ``edges`` (a, b: long): comp is the smallest id reachable from it.
 
     Alternates large-star and small-star steps, each a minimum per vertex (combined before the shuffle)
-    joined back on the vertex, so that a vertex with very many neighbours never needs them in one task.
+    joined back on the vertex. Vertices with over a HUBS-th of all rows, of which there are fewer than HUBS, have
+    their minimum broadcast, so that one with very many neighbours never needs them in one task.
     """
     now = save(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     for _ in range(rounds):
         if _settled(now):
             break
+        n = now.count()
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        step = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        low = step.groupBy("a").agg(F.min("b").alias("m"))
-        small = step.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+        step = _with_least(both.where("b > a"), least, 2 * n).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        low = step.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = _with_least(step, low, n).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         after = save(small.union(low.select("a", F.col("m").alias("b"))).distinct())
         drop(now)
         now = after
@@ -33,6 +39,14 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return now.select(F.col("a").alias("id"), F.col("b").alias("comp")).union(now.select(F.col("b").alias("id"), F.col("b").alias("comp")).distinct())
 
 
+def _with_least(rows: DataFrame, least: DataFrame, total: int) -> DataFrame:
+    """``rows`` (a, b) with m of ``least`` (a, m, n), where n counts the rows of a among ``total``."""
+    hubs = least.where(F.col("n") * HUBS > total)
+    held = rows.join(F.broadcast(hubs.select("a", F.col("m").alias("hub_m"))), "a", "left")
+    rest = held.where("hub_m is null").select("a", "b").join(least.where(F.col("n") * HUBS <= total).select("a", "m"), "a")
+    return held.where("hub_m is not null").select("a", "b", F.col("hub_m").alias("m")).union(rest.select("a", "b", "m"))
+
+
 def _settled(edges: DataFrame) -> bool:
     """Whether every id has one edge to a smaller one, which has none: all point at the least of their component."""
     ends = edges.select(F.col("a").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select(F.col("b").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("down")))
