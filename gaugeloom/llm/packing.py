@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -16,30 +18,48 @@ from gaugeloom.llm.scratch import save
 
 #: Above so many rows the plan isn't broadcast; it has a row for each step of the packing, whatever the number of pieces.
 PLAN_ROWS = 200_000
+#: Characters of a run of blanks, letters, digits or others from which a text is encoded by the slower library.
+LONG_RUN = 20_000
+_RUN = re.compile(r"\s{%d}|[^\W\d_]{%d}|\d{%d}|[^\w\s]{%d}|_{%d}" % ((LONG_RUN,) * 5))
 
 
 @lru_cache(maxsize=2)
 def encoder(ranks_path: str):
-    """The byte-level BPE of a .tiktoken file of ranks; its ids are those of the tokenizers file of the same vocabulary. No string is special."""
+    """Texts to ids by the byte-level BPE of a .tiktoken file of ranks: the ids of the tokenizers file of the same vocabulary.
+
+    Strings that the vocabulary lists as special are their own tokens, as in that file. Texts with a run of over
+    LONG_RUN characters of one kind go to that file itself, as the pattern of the other can't take them.
+    """
     import base64
 
     import public_tokenizers
     import tiktoken
+    import tokenizers
 
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    whole = tokenizers.Tokenizer.from_file(str(Path(ranks_path).with_suffix(".json")))
+    special = {t.content: i for i, t in whole.get_added_tokens_decoder().items()}
+    ranks = {token: rank for token, rank in ranks.items() if token.decode("utf-8", "replace") not in special}
+    fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+
+    def encode(text: str) -> np.ndarray:
+        if _RUN.search(text):
+            return np.array(whole.encode(text, add_special_tokens=False).ids, "<u4")
+        return fast.encode_to_numpy(text, allowed_special="all")
+
+    return encode
 
 
 def pieces(docs: DataFrame, ranks_path: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
     """Rows (doc_id, piece, start, length, ids_crc32): a document's ids and ``end_id``; only longer ones are cut, the first piece may be shorter."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(ranks_path).encode_to_numpy
+        encode = encoder(ranks_path)
         for batch in batches:
             rows: tuple[list, ...] = ([], [], [], [], [])
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.append(encode(text.as_py() or "", disallowed_special=()), end_id).astype("<u4")
+                ids = np.append(encode(text.as_py() or ""), end_id).astype("<u4")
                 edges = [0, *range((len(ids) - 1) % capacity + 1, len(ids) + 1, capacity)]
                 for i, (s, e) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
                     for column, value in zip(rows, (doc_id, i, s, e - s, zlib.crc32(ids[s:e].tobytes())), strict=True):

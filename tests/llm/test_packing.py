@@ -66,8 +66,7 @@ def test_reduction_keeps_the_optimum():
 
 def test_pieces_round_trip(spark):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    texts = ["", None, "Hello  world\n\n x", "ab " * 2000, "é<|endoftext|>", "word " * 1023, "word " * 1024, "a" * 5000] + [f"n{i} " * (i * 7 % 90) for i in range(200)]
+    texts = ["", None, "Hello  world\n\n x", "ab " * 2000, "é<|endoftext|>", "a <|endoftext|> b", "word " * 1023, "word " * 1024, "a" * 5000] + [f"n{i} " * (i * 7 % 90) for i in range(200)]
     df = spark.createDataFrame([(i, x, 1) for i, x in enumerate(texts)] + [(3, texts[3], 1), (None, "x", 1)], "doc_id long, text string, piece int")
     rows = packing.pack(df, RANKS, rows_per_bucket=20).collect()
     own = defaultdict(list)
@@ -89,3 +88,12 @@ def test_pieces_round_trip(spark):
             end += length
         assert end <= 1024
     assert packing.pack(df.limit(0), RANKS).count() == 0
+
+
+def test_ids_of_long_runs_are_those_of_the_vocabulary():
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encode = packing.encoder(RANKS)
+    for text in ("\n" * 60_000, " " * 60_000 + "x", "a" * 30_000, "7" * 30_000, "!" * 30_000, "_" * 30_000, "\n " * 30_000, "é" * 30_000, "\n" * 19_999 + "x"):
+        assert encode(text).tolist() == t.encode(text, add_special_tokens=False).ids
+    for text in ("\n", " ", "a"):
+        assert len(encode(text * 2_000_000)) > 0
