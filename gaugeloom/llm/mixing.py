@@ -76,15 +76,19 @@ def mix(docs: DataFrame, seed: str = "0", **how) -> DataFrame:
 
     A source's taken words come to its rounded target, less a word for rows that share the cut's doc_id. No
     document gives over twice its size. Null text has no words; null source is a source. Rows without doc_id
-    share one key. Columns that have the names of the new ones are replaced. Empty tables give empty results.
+    share one key. Columns that have the names of the new ones are replaced, those of any other name stay. Empty tables give empty results.
     """
-    docs = docs.drop("size", "source_size", "target", "taken")
-    plan = cuts(docs, seed=seed, **how).withColumnRenamed("source", "_s")
-    size, key = n_words(F.col("text")), order_key(seed)
+    new = ["size", "source_size", "target", "taken"]
+    names = [c for c in docs.columns if c.lower() not in new]
+    plan = cuts(docs.select("doc_id", "text", "source"), seed=seed, **how)
+    plan = plan.select(F.struct("*").alias("plan"))
     plan = F.broadcast(plan) if plan.count() <= BROADCAST_SOURCES else plan
-    out = docs.withColumns({"size": size, "_key": key}).join(plan, F.col("source").eqNullSafe(F.col("_s")))
-    once = F.when(F.col("_key") < F.col("cut_key"), F.col("size")).when(F.col("_key") == F.col("cut_key"), F.least("size", "cut_words")).otherwise(0)
-    return out.withColumn("taken", F.col("epochs") * F.col("size") + once).drop("_s", "_key", "cut_key", "cut_words", "epochs")
+    # what is there already stays in one column, so that no name can clash
+    held = docs.select(F.struct(*(docs[f"`{c}`"] for c in names)).alias("row"), n_words(F.col("text")).alias("size"), order_key(seed).alias("key"), F.col("source").alias("source"))
+    out = held.join(plan, F.col("source").eqNullSafe(F.col("plan.source")))
+    once = F.when(F.col("key") < F.col("plan.cut_key"), F.col("size")).when(F.col("key") == F.col("plan.cut_key"), F.least("size", "plan.cut_words")).otherwise(0)
+    taken = F.col("plan.epochs") * F.col("size") + once
+    return out.select(*(F.col("row").getField(c).alias(c) for c in names), "size", "plan.source_size", "plan.target", taken.alias("taken"))
 
 
 def take(mixed: DataFrame) -> DataFrame:

@@ -185,3 +185,17 @@ def test_each_vector_has_filters_and_near_ones_share_some():
         own, other = code.decode(a), code.decode(b)
         assert min(map(len, own)) >= 28
         assert sum(len(np.intersect1d(x, y)) > 0 for x, y in zip(own, other, strict=True)) >= 0.998 * len(a)
+
+
+def test_columns_of_any_name_stay(spark):
+    from gaugeloom.llm import lines
+
+    names = ["epochs", "cut_key", "_key", "key", "plan", "row", "a.b", "Taken", "removed", "_id", "text_hash", "line"]
+    rows = [(1, "a b c d e f", "s", *range(len(names))), (2, "a b c d e f", "s", *range(len(names)))]
+    df = spark.createDataFrame(rows, ["doc_id", "text", "source", *names])
+    mixed = mixing.mix(df)
+    assert mixed.columns == ["doc_id", "text", "source", *(n for n in names if n != "Taken"), "size", "source_size", "target", "taken"]
+    assert sum(r.taken for r in mixed.collect()) == 18 and mixed.first()["a.b"] == 6
+    once = lines.dedup_lines(df)
+    assert once.columns == ["doc_id", "text", "source", *names, "n_lines", "n_removed"]
+    assert sorted((r.doc_id, r.text, r.removed, r.n_removed) for r in once.collect()) == [(1, "a b c d e f", 8, 0), (2, "", 8, 1)]
