@@ -58,26 +58,45 @@ def edited(text: Column, donor: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), n - half), F.substring(donor, F.lit(1), half))
 
 
-def with_next(docs: DataFrame, ids_per_range: int | None = None) -> DataFrame:
-    """(doc_id, text, range, donor): rows dealt by ranges of doc_id, and into each range, marked donor, a copy of
+#: Ranges of ids that rows are dealt to, at most; as many again for rows without one.
+RANGES = 4096
+
+
+def _nth(place: Column, at: list[int]) -> Column:
+    """How many of the rising numbers ``at`` the place comes up to, by halving steps."""
+    held, steps = F.lit(at), F.array(*(F.lit(2**i) for i in range(len(at).bit_length() - 1, -1, -1)))
+    return F.aggregate(steps, F.lit(0), lambda n, step: n + F.when(F.coalesce(F.get(held, n + step - 1) <= place, F.lit(False)), step).otherwise(0))
+
+
+def in_ranges(docs: DataFrame, least: int = 64) -> DataFrame:
+    """``docs`` with place (doc_id; a hash of the text without one), placeless (whether there is no doc_id) and range.
+
+    Ranges rise with (not placeless, place). They are cut at quantiles of the places, so they hold about as many
+    rows each however the ids lie; rows of one place share a range. Only the cuts, up to RANGES, come to the driver.
+    """
+    docs = docs.withColumn("placeless", F.col("doc_id").isNull()).withColumn("place", F.coalesce("doc_id", F.xxhash64("text")))
+    k = max(1, min(RANGES, docs.count() // least))
+    shares = [i / k for i in range(1, k)] or [0.5]
+    cuts = docs.groupBy("placeless").agg(F.percentile_approx("place", shares, 4 * RANGES).alias("cuts")).collect()  # two rows
+    number = F.lit(0)
+    for placeless, at in cuts:
+        number = F.when(F.col("placeless") == placeless, _nth(F.col("place"), at) + (0 if placeless else 2 * RANGES)).otherwise(number)
+    return docs.withColumn("range", number)
+
+
+def with_next(docs: DataFrame, least: int = 64) -> DataFrame:
+    """(doc_id, text, range, place, donor): rows dealt by ranges of doc_id, and into each range, marked donor, a copy of
     the row that comes next after its last one by descending doc_id (after the very last: the first).
 
-    A range spans a fixed number of ids, so it never holds more rows than that while ids are unique. Only the
-    heads of the ranges are put in one order, not the rows.
+    Only the heads of the ranges are put in one order, not the rows; their number is bounded.
     """
-    place = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
-    if ids_per_range is None:
-        ids_per_range = min(65_536, max(64, docs.count() // 4096))
-    docs = docs.withColumn("_place", place).withColumn("range", F.floor(F.col("_place") / ids_per_range))
-    heads = docs.groupBy("range").agg(F.max("_place").alias("head"))
-    # ordered in coarse blocks, whose own heads are far fewer
-    heads = heads.withColumn("block", F.floor(F.col("range") / 4096))
-    blocks = heads.groupBy("block").agg(F.max_by("range", "range").alias("first"), F.max("head").alias("block_head"))
-    in_order = W.orderBy(F.col("block").desc())
-    blocks = blocks.withColumn("after", F.coalesce(F.lead("block_head").over(in_order), F.max("block_head").over(W.partitionBy()))).select("block", "after")
-    down = W.partitionBy("block").orderBy(F.col("range").desc())
-    gives = heads.join(blocks, "block").select(F.coalesce(F.lead("head").over(down), F.col("after")).alias("_place"), F.col("range").alias("to"))
-    donors = docs.drop("range").join(gives, "_place").withColumnRenamed("to", "range")
+    docs = in_ranges(docs, least)
+    heads = docs.groupBy("range", "placeless").agg(F.max("place").alias("head"))
+    down = W.orderBy(F.col("range").desc())  # at most 2 * RANGES rows
+    first = F.first("head").over(W.orderBy(F.col("range").desc()).rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    first_placeless = F.first("placeless").over(W.orderBy(F.col("range").desc()).rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    gives = heads.select(F.coalesce(F.lead("head").over(down), first).alias("place"), F.coalesce(F.lead("placeless").over(down), first_placeless).alias("placeless"), F.col("range").alias("to"))
+    donors = docs.drop("range").join(F.broadcast(gives), ["place", "placeless"]).withColumnRenamed("to", "range")
     return docs.withColumn("donor", F.lit(False)).unionByName(donors.withColumn("donor", F.lit(True)))
 
 
@@ -86,12 +105,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     A fingerprint is the whole set of a text's spot signatures, as one string; the likeness of two is the
     Jaccard similarity of the sets. The edited text takes its second half from the next row by descending
-    doc_id (after the last: the first; a lone row: itself). Null text is empty. Rows that repeat a doc_id, and
-    rows without one, which come last, follow each other by text. An empty table gives an empty result. Other columns are ignored.
+    doc_id (after the last: the first; a lone row: itself). Null text is empty. Rows that repeat a doc_id
+    follow each other by text; rows without one come last, by a hash of the text. An empty table gives an empty result. Other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     dealt = with_next(docs)
-    order = W.partitionBy("range").orderBy("donor", F.col("_place").desc(), "text")
+    order = W.partitionBy("range").orderBy("donor", F.col("place").desc(), "text")
     dealt = dealt.withColumn("_next", F.lead("text").over(order)).withColumn("_sigs", signatures(F.col("text")))
     dealt = dealt.withColumn("_next_sigs", F.lead("_sigs").over(order)).where("not donor")
     dealt = dealt.withColumn("_edited", edited(F.col("text"), F.col("_next"))).withColumn("_edited_sigs", signatures(F.col("_edited")))

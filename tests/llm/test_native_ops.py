@@ -199,3 +199,22 @@ def test_columns_of_any_name_stay(spark):
     once = lines.dedup_lines(df)
     assert once.columns == ["doc_id", "text", "source", *names, "n_lines", "n_removed"]
     assert sorted((r.doc_id, r.text, r.removed, r.n_removed) for r in once.collect()) == [(1, "a b c d e f", 8, 0), (2, "", 8, 1)]
+
+
+def test_ranges_hold_rows_of_sparse_and_clustered_ids(spark):
+    import random
+
+    rng = random.Random(9)
+    ids = [rng.randrange(-(2**63), 2**63) for _ in range(1500)] + list(range(10_000, 11_500)) + [None] * 800
+    rng.shuffle(ids)
+    texts = {i: f"text the {i} of words and {rng.random()}" for i in ids if i is not None}
+    rows = [(i, texts.get(i, f"no id {n}")) for n, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    most = spotsigs.in_ranges(df, 100).groupBy("range").count().agg({"count": "max"}).first()[0]
+    assert most <= 300
+    got = {r.doc_id: r.edited_sha256 for r in spotsigs.fingerprints(df).collect() if r.doc_id is not None}
+    order = sorted(texts, reverse=True)
+    for i, j in zip(order, order[1:], strict=False):
+        n = len(texts[i])
+        assert got[i] == hashlib.sha256((texts[i][: n - n // 2] + texts[j][: n // 2]).encode()).hexdigest()
+    assert len(got) == len(order)
