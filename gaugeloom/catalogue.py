@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gaugeloom.functions import scalar, series
-from gaugeloom.operators import episodes, incidents, lookups, rollup, rules, store, upkeep
+from gaugeloom.operators import desk, episodes, incidents, lookups, rollup, rules, store, upkeep
 from gaugeloom.plans.definitions import load
 from gaugeloom.plans.expression import Names, compile_expression
 from gaugeloom.sources import logs, samples
@@ -904,3 +904,208 @@ def live_series(spark, sf_dir):
 @query()
 def action_rate_limit(spark, sf_dir):
     return lookups.action_runs(log(spark, sf_dir).select(F.col("provider").alias("action"), "ts"), 7200)
+
+
+# ---- acknowledgements, ends of lives, and what an operator asks
+
+
+_ACKS = "SELECT DISTINCT CAST(user_id AS VARCHAR) AS entity_id, 'level' AS grp, CAST(floor(epoch(ts)) AS BIGINT) AS ts FROM events WHERE event_type = 'purchase'"
+
+
+def _acks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = log(spark, sf_dir).where("provider = 'purchase'")
+    user = F.regexp_extract("message", r" by user (\d+) ", 1)
+    return rows.select(F.lit("events").alias("monitor"), user.alias("entity_id"), F.lit("level").alias("grp"), "ts", F.lit("desk").alias("by")).distinct()
+
+
+@query(
+    f"WITH {_LADDER}, a AS ({_ACKS}), st AS (SELECT *, lead(ts) OVER (PARTITION BY entity_id, grp ORDER BY ts) AS til FROM t WHERE kind <> 'downgrade') "
+    "SELECT entity_id, grp, incident, ts, kind FROM t UNION ALL SELECT st.entity_id, st.grp, st.incident, min(a.ts), 'acked' FROM st JOIN a ON a.entity_id = st.entity_id AND a.grp = st.grp AND a.ts >= st.ts AND (til IS NULL OR a.ts < til) "
+    "WHERE st.kind <> 'clear' GROUP BY st.entity_id, st.grp, st.incident, st.ts"
+)
+def incident_acks(spark, sf_dir):
+    rows = incidents.acknowledged(incidents.ladder(_states(spark, sf_dir)), _acks(spark, sf_dir))
+    return rows.select("entity_id", "grp", "incident", "ts", "kind")
+
+
+@query()
+def acked_fold(spark, sf_dir):
+    return incidents.notifications(incidents.levels(_states(spark, sf_dir)), _acks(spark, sf_dir))
+
+
+def _ended_sql(ends: str) -> str:
+    """SQL of the transitions of rules whose counts the rows (entity_id, ts, reason) of ``ends`` reset."""
+    lives = """,
+oo AS (SELECT *, NULL AS reason FROM o UNION ALL SELECT e.entity_id, e.ts, rule, grp, severity, confirm, clear, 'unknown', e.reason FROM e JOIN (SELECT DISTINCT entity_id, rule, grp, severity, confirm, clear FROM o) USING (entity_id)),
+ol AS (SELECT *, count(reason) OVER (PARTITION BY entity_id, rule ORDER BY ts, CASE WHEN reason IS NULL THEN 1 ELSE 0 END ROWS UNBOUNDED PRECEDING) AS life FROM oo)"""
+    rest = _LADDER[len(_OUT) :].replace("PARTITION BY entity_id, rule", "PARTITION BY entity_id, rule, life").replace("FROM o)", "FROM ol)")
+    shown = "SELECT t.entity_id, t.grp, t.ts, t.kind, t.severity, t.incident, CASE WHEN t.kind = 'clear' THEN coalesce(e.reason, 'recovered') END AS reason FROM t LEFT JOIN e ON e.entity_id = t.entity_id AND e.ts = t.ts"
+    return f"WITH {_OUT}, e AS ({ends}){lives}{rest} {shown}"
+
+
+def _ended(spark: SparkSession, sf_dir: str, ends: DataFrame) -> DataFrame:
+    rows, definition = _evaluated(spark, sf_dir)
+    found = incidents.ladder(incidents.with_ends(rules.outcomes(rows, definition), ends))
+    return incidents.cleared_by(found, ends).select("entity_id", "grp", "ts", "kind", "severity", "incident", "reason")
+
+
+@query(_ended_sql(f"SELECT entity_id, ts + 86401 AS ts, 'entity_gone' AS reason FROM (SELECT entity_id, ts, lead(ts) OVER (PARTITION BY entity_id ORDER BY ts) AS back FROM s) WHERE coalesce(back, {NOW}) - ts > 86400 AND ts + 86401 <= {NOW}"))
+def gone_clears(spark, sf_dir):
+    return _ended(spark, sf_dir, incidents.gone_ends(points(spark, sf_dir, "user_id"), NOW, 86400))
+
+
+@query(_ended_sql(f"SELECT DISTINCT entity_id, c.ts, 'superseded' AS reason FROM s CROSS JOIN (VALUES ({NOW - 10 * 86400}::BIGINT), ({NOW - 5 * 86400}::BIGINT)) AS c(ts)"))
+def superseded_clears(spark, sf_dir):
+    versions = [("events", NOW - 20 * 86400, "a"), ("events", NOW - 12 * 86400, "a"), ("events", NOW - 10 * 86400, "b"), ("events", NOW - 5 * 86400, None)]
+    loaded = spark.createDataFrame(versions, "monitor string, ts long, content_hash string")
+    return _ended(spark, sf_dir, incidents.superseded_ends(points(spark, sf_dir, "user_id"), loaded))
+
+
+_ABOVE = """
+schema = 1
+[monitor]
+name = "events"
+source = "disk"
+[[rule]]
+name = "above"
+when = "used_pct > baseline(used_pct) * 1.5"
+severity = "warning"
+"""
+
+
+@query(
+    f"WITH {_EWMA}, b AS (SELECT entity_id, bucket + 300 AS at, CASE WHEN n >= 240 THEN level END AS level FROM e) "
+    "SELECT s.entity_id, s.ts, CASE WHEN b.level IS NULL THEN 'unknown' WHEN s.value > b.level * 1.5 THEN 'true' ELSE 'false' END AS outcome FROM s ASOF LEFT JOIN b ON s.entity_id = b.entity_id AND s.ts >= b.at"
+)
+def baseline_rules(spark, sf_dir):
+    definition = load(_ABOVE)
+    p = points(spark, sf_dir).withColumn("metric", F.lit("used_pct"))
+    ticks = p.select("monitor", "entity_id", "ts", F.col("value").alias("used_pct"))
+    return rules.outcomes(rules.evaluate(ticks, definition, rollup.baselines(rollup.rollup_5m(p))), definition).select("entity_id", "ts", "outcome")
+
+
+def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    attrs = F.to_json(F.struct(F.col("c_mktsegment").alias("segment"), F.col("c_name").alias("plugin_message")))
+    return table(spark, sf_dir, "customer").select(F.lit("events").alias("monitor"), F.col("c_custkey").cast("string").alias("entity_id"), attrs.alias("attrs"))
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS entity_id FROM customer WHERE c_mktsegment = 'BUILDING' AND NOT contains(c_name, '7')")
+def filter_expr(spark, sf_dir):
+    return desk.entities_where(_customers(spark, sf_dir), "segment == 'BUILDING' and not contains(plugin_message, '7')").select("entity_id")
+
+
+@query(f"WITH {_L}, n AS (SELECT * FROM l WHERE ts BETWEEN {NOW - 20 * 86400} AND {NOW} ORDER BY ts DESC, id DESC LIMIT 200) SELECT id, ts, provider FROM n WHERE provider = 'view' AND contains(message, '1')")
+def match_expr(spark, sf_dir):
+    start, end = desk.time_range("20d", NOW)
+    listed = lookups.list_events(log(spark, sf_dir), int(start), int(end))
+    return desk.events_where(listed, "provider == 'view' and contains(message, '1')").select("id", "ts", "provider")
+
+
+@query(f"WITH {_SUM} SELECT su.entity_id, su.grp, su.incident, s.ts, s.value FROM su JOIN s ON s.entity_id = su.entity_id AND s.ts BETWEEN su.opened_ts - 1800 AND least({NOW}, coalesce(su.cleared_ts, {NOW}) + 1800)")
+def incident_samples(spark, sf_dir):
+    return desk.incident_samples(_cases(spark, sf_dir), points(spark, sf_dir, "user_id"), NOW).select("entity_id", "grp", "incident", "ts", "value")
+
+
+@query(
+    f"WITH {_SU}, n AS (SELECT entity_id, max(ts) AS ts, CAST(floor(arg_max(value, ts)) AS BIGINT) AS v FROM s GROUP BY entity_id) "
+    f"SELECT n.entity_id, (v % 4)::INT AS plugin_state, v % 4 = 0 AS plugin_ok, coalesce(c_name, '') AS plugin_message, (v / 10.0::DOUBLE) AS duration_s, {NOW} - ts AS sample_age_s FROM n LEFT JOIN customer ON CAST(c_custkey AS VARCHAR) = n.entity_id WHERE v % 3 <> 0"
+)
+def plugin_results(spark, sf_dir):
+    v = F.floor("value")
+    parts = F.array(
+        F.struct(F.lit("plugin_state").alias("metric"), (v % 4).cast("double").alias("value")),
+        F.struct(F.lit("duration_s").alias("metric"), (v / 10.0).alias("value")),
+        F.struct(F.when(v % 3 != 0, "plugin_ok").otherwise("other").alias("metric"), (v % 4 == 0).cast("double").alias("value")),
+    )
+    runs = points(spark, sf_dir, "user_id").select("monitor", "entity_id", "ts", F.explode(parts).alias("p")).select("monitor", "entity_id", "ts", "p.*")
+    return desk.plugin_results(runs, _customers(spark, sf_dir), NOW).drop("monitor")
+
+
+@query(
+    f"WITH {_SU}, x AS (SELECT DISTINCT entity_id FROM s WHERE value > 150) SELECT 'entities' AS \"table\", count(DISTINCT entity_id) AS \"rows\" FROM s WHERE entity_id NOT IN (SELECT entity_id FROM x) "
+    "UNION ALL SELECT 'samples', count(*) FROM s WHERE entity_id NOT IN (SELECT entity_id FROM x)"
+)
+def forget_entities(spark, sf_dir):
+    p = points(spark, sf_dir, "user_id")
+    return desk.row_counts(desk.forget({"samples": p, "entities": upkeep.lifecycle(p, NOW)}, p.where("value > 150")))
+
+
+@query(f"WITH {_EWMA} SELECT entity_id, bucket, n AS updates FROM e WHERE entity_id <> 'error'")
+def baseline_reset(spark, sf_dir):
+    history = rollup.baselines(rollup.rollup_5m(points(spark, sf_dir)))
+    return desk.reset_baselines(history, "events", "error").select("entity_id", "bucket", F.col("updates").cast("long").alias("updates"))
+
+
+@query(f"WITH {_EWMA} SELECT entity_id, max(n) AS updates FROM e WHERE entity_id > 'click' GROUP BY entity_id ORDER BY entity_id LIMIT 3")
+def baseline_page(spark, sf_dir):
+    newest = rollup.latest_baselines(rollup.baselines(rollup.rollup_5m(points(spark, sf_dir))))
+    wanted = {"monitor": "events"}
+    after = desk.cursor(("events", "click", "value"), wanted)
+    return desk.baseline_page(newest, wanted, after, 3).select("entity_id", F.col("updates").cast("long").alias("updates"))
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS \"table\", count(*) AS \"rows\" FROM {t}" for t in ("customer", "events", "orders")))
+def table_rows(spark, sf_dir):
+    return desk.row_counts({t: table(spark, sf_dir, t) for t in ("customer", "events", "orders")})
+
+
+@query(
+    "SELECT 'orders' AS \"table\", count(*) AS orphans FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey) "
+    "UNION ALL SELECT 'events', count(*) FROM events WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = user_id) UNION ALL SELECT 'customer', count(*) FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE c_custkey = o_custkey)"
+)
+def integrity(spark, sf_dir):
+    links = [("orders", "o_custkey", "customer", "c_custkey"), ("events", "user_id", "customer", "c_custkey"), ("customer", "c_custkey", "orders", "o_custkey")]
+    return desk.orphan_counts({t: table(spark, sf_dir, t) for t in ("customer", "events", "orders")}, links)
+
+
+_DECLARED = ", ".join(f"('events', '{m}')" for m in sorted(samples.SOURCES["disk"].metrics))
+
+
+@query(f"SELECT * FROM (VALUES {_DECLARED}) AS d(monitor, metric) UNION SELECT 'events', event_type FROM events WHERE isfinite(value)")
+def metric_names(spark, sf_dir):
+    declared = spark.createDataFrame([("events", m) for m in sorted(load(_ABOVE).metrics)], "monitor string, metric string")
+    return desk.metric_names(declared, points(spark, sf_dir).select("monitor", F.col("entity_id").alias("metric")))
+
+
+@query(
+    "WITH a AS (SELECT o_custkey AS path, nullif(o_orderstatus, 'P') AS query, o_orderkey AS nth FROM orders), w AS (SELECT path, min(nth) FILTER (WHERE query IS NULL) AS whole FROM a GROUP BY path) "
+    "SELECT path, CASE WHEN any_value(whole) IS NULL THEN arg_min(query, nth) END AS query, count(DISTINCT query) FILTER (WHERE whole IS NULL OR nth < whole) > 1 AS conflict FROM a JOIN w USING (path) GROUP BY path"
+)
+def event_channels(spark, sf_dir):
+    asked = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("path"), F.nullif("o_orderstatus", F.lit("P")).alias("query"), F.col("o_orderkey").alias("nth"))
+    return desk.channels(asked)
+
+
+@query(
+    f"WITH {_SU}, n AS (SELECT entity_id, entity_id[-1:] AS last, max(ts) AS ts, arg_max(value, ts) AS value FROM s GROUP BY entity_id), "
+    f"g AS (SELECT 'u' || last AS monitor, entity_id, ts, value FROM n WHERE ts >= {NOW} - 86400 AND NOT contains(entity_id, '7') QUALIFY row_number() OVER (PARTITION BY last ORDER BY CASE WHEN last < '5' THEN value ELSE -value END, ts DESC, entity_id) = 1) "
+    "SELECT *, count(*) OVER () AS matched FROM g ORDER BY monitor LIMIT 64"
+)
+def glances(spark, sf_dir):
+    last = F.substring("entity_id", -1, 1)
+    newest = store.latest(points(spark, sf_dir, "user_id")).withColumns({"monitor": F.concat(F.lit("u"), last), "interval": F.lit(43200), "aggregate": F.when(last < "5", "min").otherwise("max")})
+    return desk.glances(newest, NOW, newest.where(F.contains("entity_id", F.lit("7"))))
+
+
+@query(
+    f"WITH {_SUM} SELECT entity_id, grp, incident, '/trends/events/' || CASE grp WHEN 'level' THEN 'used' ELSE 'all' END || '?entity=' || entity_id || '&range=24h&group=' || grp AS href, "
+    "'View ' || CASE grp WHEN 'level' THEN 'Used space' ELSE 'Everything' END || ' around this incident' AS label FROM su"
+)
+def evidence_links(spark, sf_dir):
+    trends = spark.createDataFrame([("events", "used", "Used space", "level", 1), ("events", "all", "Everything", None, 2)], "monitor string, trend string, title string, grp string, nth int")
+    return desk.evidence_links(_cases(spark, sf_dir).select("monitor", "entity_id", "grp", "incident"), trends).drop("monitor")
+
+
+@query(
+    "WITH d AS (SELECT event_id, CASE user_id % 4 WHEN 0 THEN props WHEN 1 THEN '[' || user_id || ']' WHEN 2 THEN 'bad ' || props END AS detail FROM events) "
+    "SELECT event_id, CASE WHEN detail IS NULL THEN '{}' WHEN NOT json_valid(detail) THEN CAST(to_json({'malformed': detail[1:200]}) AS VARCHAR) WHEN json_type(detail) = 'OBJECT' THEN detail ELSE '{\"value\":' || detail || '}' END AS detail FROM d"
+)
+def history_details(spark, sf_dir):
+    kind, user, props = F.col("user_id") % 4, F.col("user_id").cast("string"), F.col("props")
+    detail = F.when(kind == 0, props).when(kind == 1, F.concat(F.lit("["), user, F.lit("]"))).when(kind == 2, F.concat(F.lit("bad "), props))
+    return desk.details(table(spark, sf_dir, "events").select("event_id", detail.alias("detail")))
+
+
+@query()
+def shown_summary(spark, sf_dir):
+    return desk.shown_summary(store.downsample(points(spark, sf_dir, "user_id"), 20))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,23 +16,83 @@ BACKOFF = (300, 900, 3600, 21600)
 FLAP_SPAN, FLAP_CLEARS, GONE_AFTER = 600, 3, 300
 
 
-def confirmed(outcomes: DataFrame) -> DataFrame:
+def confirmed(outcomes: DataFrame, keys: Sequence[str] = RULE) -> DataFrame:
     """Adds ``confirmed``: whether the rule has been true for ``confirm`` ticks and not since false for ``clear``.
 
     Unknown ticks freeze both counts. True and false ones fall into runs; from the confirm-th of a true run on the
     rule is confirmed, from the clear-th of a false run on it isn't, and other ticks keep what was.
     """
-    order = W.partitionBy(*RULE).orderBy("ts")
+    order = W.partitionBy(*keys).orderBy("ts")
     known = F.when(F.col("outcome") != "unknown", F.col("outcome"))
     before = F.last(known, ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1))
     starts = F.when(known.isNotNull() & (before.isNull() | (before != known)), 1).otherwise(0)
     rows = outcomes.withColumn("_starts", starts).withColumn("_run", F.sum("_starts").over(order))
-    run = F.count(known).over(W.partitionBy(*RULE, "_run").orderBy("ts"))
+    run = F.count(known).over(W.partitionBy(*keys, "_run").orderBy("ts"))
     mark = F.when((known == "true") & (run >= F.col("confirm")), True).when((known == "false") & (run >= F.col("clear")), False)
     rows = rows.withColumn("_mark", mark)
     return rows.withColumn("confirmed", F.coalesce(F.last("_mark", ignorenulls=True).over(order), F.lit(False))).drop("_starts", "_run", "_mark")
 
 
+def with_ends(outcomes: DataFrame, ends: DataFrame) -> DataFrame:
+    """``confirmed`` outcomes in which an end resets all counts and clears: an entity that is gone, a definition that was replaced.
+
+    ends: (monitor, entity_id, ts, reason), at most one an entity and second. Each adds a row with its reason for every
+    rule of the entity, so the ladder clears there; ticks have a null reason. An end at the second of a tick counts
+    before it, and takes the tick's place where the rule isn't true again at once.
+    """
+    kinds = outcomes.groupBy(*RULE).agg(*(F.first(c).alias(c) for c in ("grp", "severity", "confirm", "clear")))
+    rows = kinds.join(ends.select("monitor", "entity_id", "ts", "reason"), ["monitor", "entity_id"]).withColumn("outcome", F.lit("unknown"))
+    both = outcomes.withColumn("reason", F.lit(None).cast("string")).unionByName(rows)
+    ended = F.col("reason").isNotNull()
+    life = F.count("reason").over(W.partitionBy(*RULE).orderBy("ts", ended.desc()).rowsBetween(W.unboundedPreceding, 0))
+    lives = both.withColumn("_life", life)
+    return confirmed(lives.where(~ended), [*RULE, "_life"]).unionByName(lives.where(ended).withColumn("confirmed", F.lit(False))).drop("_life")
+
+
+def gone_ends(samples: DataFrame, now: int, grace: int = GONE_AFTER) -> DataFrame:
+    """The ends that absences longer than the grace are."""
+    return gone(samples, now, grace).where(F.col("gone_ts") <= now).select("monitor", "entity_id", F.col("gone_ts").alias("ts"), F.lit("entity_gone").alias("reason"))
+
+
+def superseded_ends(entities: DataFrame, versions: DataFrame) -> DataFrame:
+    """versions: (monitor, ts, content_hash), what was loaded when; a null hash stands for a definition taken away. An end for
+    each entity of the monitor where the hash changes."""
+    order = W.partitionBy("monitor").orderBy("ts")
+    rows = versions.withColumn("_was", F.lag("content_hash").over(order)).withColumn("_nth", F.row_number().over(order))
+    changes = rows.where((F.col("_nth") > 1) & ~F.col("content_hash").eqNullSafe(F.col("_was"))).select("monitor", "ts")
+    return entities.select("monitor", "entity_id").distinct().join(changes, "monitor").select("monitor", "entity_id", "ts", F.lit("superseded").alias("reason"))
+
+
+def cleared_by(transitions: DataFrame, ends: DataFrame) -> DataFrame:
+    """Adds ``reason`` to clears: that of the end at their second, else 'recovered'; null for other transitions. Clears by a
+    replaced definition are silent, others tell of the recovery."""
+    rows = transitions.join(ends.select("monitor", "entity_id", "ts", F.col("reason").alias("_end")), ["monitor", "entity_id", "ts"], "left")
+    return rows.withColumn("reason", F.when(F.col("kind") == "clear", F.coalesce("_end", F.lit("recovered")))).drop("_end")
+
+
+def acknowledged(transitions: DataFrame, acks: DataFrame) -> DataFrame:
+    """Transitions with those acknowledgements (monitor, entity_id, grp, ts, by) that count, as rows of kind 'acked'.
+
+    One counts where its group's incident is open and not acked yet; an escalation makes it open again. A transition
+    at the same second comes first.
+    """
+    null = F.lit(None)
+    both = transitions.select(*GROUP, "ts", "kind", "severity", "incident", null.cast("string").alias("by")).unionByName(
+        acks.select(*GROUP, "ts", F.lit("acked").alias("kind"), null.cast("int").alias("severity"), null.cast("long").alias("incident"), "by")
+    )
+    is_ack = F.col("kind") == "acked"
+    order = W.partitionBy(*GROUP).orderBy("ts", is_ack, "by")
+    so_far = order.rowsBetween(W.unboundedPreceding, 0)
+    rows = both.withColumns({
+        "severity": F.last("severity", ignorenulls=True).over(so_far),
+        "incident": F.last("incident", ignorenulls=True).over(so_far),
+        "_stage": F.count(F.when(F.col("kind").isin("open", "escalate"), 1)).over(so_far),
+        "_state": F.last(F.when(~is_ack, F.col("kind")), ignorenulls=True).over(so_far),
+    })
+    first = F.row_number().over(W.partitionBy(*GROUP, "_stage", is_ack).orderBy("ts", "by")) == 1
+    return rows.withColumn("_first", first).where(~is_ack | (F.col("_first") & F.col("_state").isNotNull() & (F.col("_state") != "clear"))).drop("_stage", "_state", "_first")
+
+
 def ladder(states: DataFrame) -> DataFrame:
     """Rows (group, ts, kind, severity, incident) where a group's greatest confirmed severity changes.
 
@@ -92,9 +152,11 @@ def step(state: dict, now: int, severity: int, owner_true: bool, acked: bool = F
     return out
 
 
-def notifications(levels: DataFrame) -> DataFrame:
+def notifications(levels: DataFrame, acks: DataFrame | None = None) -> DataFrame:
     """levels: (monitor, entity_id, grp, ts, severity, owner_true), a row a tick. Notifications with backoff.
 
+    acks: (monitor, entity_id, grp, ts); one takes effect at the first tick at or after it, if an incident is open then.
+
     A group's state is a few numbers. Groups arrive sorted and are folded as they stream through a task, so a
     long one is never held whole.
     """
@@ -106,10 +168,18 @@ def notifications(levels: DataFrame) -> DataFrame:
             for r in pdf.itertuples(index=False):
                 if (r.monitor, r.entity_id, r.grp) != key:
                     key, state = (r.monitor, r.entity_id, r.grp), {}
-                out += [(*key, r.ts, *n) for n in step(state, r.ts, r.severity, r.owner_true)]
+                out += [(*key, r.ts, *n) for n in step(state, r.ts, r.severity, r.owner_true, r.acked)]
             yield pd.DataFrame(out, columns=[*GROUP, "ts", "kind", "severity"])
 
-    dealt = levels.select(*GROUP, "ts", "severity", "owner_true").repartition(*GROUP).sortWithinPartitions(*GROUP, "ts")
+    rows = levels.select(*GROUP, "ts", "severity", "owner_true").withColumn("acked", F.lit(False))
+    if acks is not None:
+        null = F.lit(None)
+        given = acks.select(*GROUP, "ts", null.cast("int").alias("severity"), null.cast("boolean").alias("owner_true"), F.lit(True).alias("acked"))
+        order = W.partitionBy(*GROUP).orderBy("ts", F.col("severity").isNotNull())
+        both = rows.unionByName(given).withColumn("_acks", F.count_if("acked").over(order.rowsBetween(W.unboundedPreceding, 0)))
+        ticks = both.where("severity is not null")
+        rows = ticks.withColumn("acked", F.col("_acks") > F.coalesce(F.lag("_acks").over(order), F.lit(0))).drop("_acks")
+    dealt = rows.repartition(*GROUP).sortWithinPartitions(*GROUP, "ts")
     return dealt.mapInPandas(work, "monitor string, entity_id string, grp string, ts long, kind string, severity int")
 
 

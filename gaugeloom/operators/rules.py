@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gaugeloom.functions import scalar, series
+from gaugeloom.operators import rollup
 from gaugeloom.plans.definitions import Definition
 from gaugeloom.plans.expression import Names, compile_expression
 
@@ -21,11 +22,22 @@ def widen(samples: DataFrame, metrics: list[str]) -> DataFrame:
     return samples.groupBy("monitor", "entity_id", "ts").pivot("metric", sorted(metrics)).agg(F.last("value"))
 
 
-def evaluate(ticks: DataFrame, definition: Definition) -> DataFrame:
+def with_baselines(ticks: DataFrame, history: DataFrame, metrics: Iterable[str]) -> DataFrame:
+    """``ticks`` with a column ``_baseline_METRIC`` for each metric: the ready level of the last bucket complete by then."""
+    for metric in sorted(metrics):
+        known = history.where(F.col("metric") == metric)
+        own = ticks.select("monitor", "entity_id", F.lit(metric).alias("metric"), "ts", F.col(f"`{metric}`").cast("double").alias("value"))
+        level = rollup.with_baseline(own, known).select("monitor", "entity_id", "ts", F.col("baseline").alias(f"_baseline_{metric}"))
+        ticks = ticks.join(level, ["monitor", "entity_id", "ts"], "left")
+    return ticks
+
+
+def evaluate(ticks: DataFrame, definition: Definition, history: DataFrame | None = None) -> DataFrame:
     """``ticks`` (wide) with the derived metrics, ``exempt`` and a column ``rule:NAME`` for each rule.
 
     Outcomes are 'true', 'false' or 'unknown'. Metrics that the ticks lack are null. Expressions that use
-    ``baseline`` need columns ``_baseline_METRIC``; missing ones are null. Exempt rows stay marked: leave them
+    ``baseline`` read the learned levels of ``history`` (rows of :func:`rollup.baselines`), or columns ``_baseline_METRIC``
+    that are there already; without either they are null. Exempt rows stay marked: leave them
     out before anything is stored.
     """
     for name in sorted(definition.metrics - {n for n, _ in definition.derived}):
@@ -40,9 +52,11 @@ def evaluate(ticks: DataFrame, definition: Definition) -> DataFrame:
         for metric in sorted(needs.rises):
             if f"_rises_{metric}" not in df.columns:
                 df = df.withColumn(f"_rises_{metric}", series.rises(F.col(f"`{metric}`")))
-        for metric in sorted(needs.baselines):
-            if f"_baseline_{metric}" not in df.columns:
-                df = df.withColumn(f"_baseline_{metric}", F.lit(None).cast("double"))
+        lacking = [m for m in sorted(needs.baselines) if f"_baseline_{m}" not in df.columns]
+        if history is not None:
+            return with_baselines(df, history, lacking)
+        for metric in lacking:
+            df = df.withColumn(f"_baseline_{metric}", F.lit(None).cast("double"))
         return df
 
     for name, text in definition.derived:

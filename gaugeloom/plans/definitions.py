@@ -43,6 +43,8 @@ class Trend:
     remaining: str | None = None
     confidence: str | None = None
     least_confidence: float = 0.0
+    value_unit: str | None = None
+    rate_unit: str | None = None
 
 
 @dataclass(frozen=True)
@@ -153,7 +155,7 @@ def load(text: str) -> Definition:
         for key in ("value", "rate", "remaining", "confidence"):
             if t.get(key) is not None and t[key] not in metrics:
                 bad(f"trend[{i}].{key}", "unknown-metric", str(t[key]))
-        trends.append(Trend(t.get("name", ""), t.get("value", ""), t.get("rate"), t.get("remaining"), t.get("confidence"), float(t.get("least_confidence", 0))))
+        trends.append(Trend(t.get("name", ""), t.get("value", ""), t.get("rate"), t.get("remaining"), t.get("confidence"), float(t.get("least_confidence", 0)), t.get("value_unit"), t.get("rate_unit")))
     promotion = doc.get("promotion", {})
     if promotion.get("when") is not None:
         check("promotion.when", promotion["when"])
