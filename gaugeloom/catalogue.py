@@ -677,6 +677,17 @@ def budget_degrade(spark, sf_dir):
     return upkeep.degrade(days, days.agg(F.floor(F.sum("bytes") / 2)).first()[0])
 
 
+@query(
+    "WITH d AS (SELECT CASE WHEN event_type = 'view' THEN 1 WHEN event_type = 'click' THEN 2 ELSE 3 END AS step, CAST(floor(epoch(ts)) AS BIGINT) // 86400 AS day, count(*) * 35 AS bytes FROM events GROUP BY ALL), "
+    f"m AS (SELECT *, (step = 1 AND (day + 1) * 86400 <= {NOW - 86400}) OR (step = 2 AND (day + 1) * 86400 <= {NOW - 7 * 86400}) OR step = 3 AS may FROM d), "
+    "t AS (SELECT *, sum(bytes) OVER () - 1000 AS over_by, sum(CASE WHEN may THEN bytes ELSE 0 END) OVER (ORDER BY step, day ROWS UNBOUNDED PRECEDING) - CASE WHEN may THEN bytes ELSE 0 END AS before FROM m) SELECT step, day, bytes, may AND before < over_by AS dropped FROM t"
+)
+def budget_guards(spark, sf_dir):
+    step = F.when(F.col("event_type") == "view", 1).when(F.col("event_type") == "click", 2).otherwise(3)
+    days = table(spark, sf_dir, "events").groupBy(step.alias("step"), F.floor(samples.epoch(F.col("ts")) / 86400).alias("day")).agg((F.count("*") * 35).alias("bytes"))
+    return upkeep.degrade(days, 1000, NOW)
+
+
 @query(
     f"WITH {_L}, h AS (SELECT provider, id, ts, severity, row_number() OVER (PARTITION BY provider ORDER BY id) AS seq, count(*) OVER (PARTITION BY provider) AS n FROM l), "
     "k AS (SELECT provider, seq, ts, ts AS last_ts, 1 AS count, 'event' AS kind FROM h WHERE NOT (n > 500 AND seq <= 100) UNION ALL SELECT provider, min(seq), min(ts), max(ts), count(*), 'collapsed' FROM h WHERE n > 500 AND seq <= 100 GROUP BY provider) "

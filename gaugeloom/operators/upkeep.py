@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 DAY = 86400
 #: Seconds that rows are kept: of durable series, of others.
 KEEP = {"raw": (2 * DAY, 2 * DAY), "5m": (30 * DAY, 7 * DAY), "1h": (400 * DAY, 90 * DAY), "events": (30 * DAY, 30 * DAY)}
+#: Seconds of raw samples (step 1) and events (step 2) that a tight budget leaves alone.
+GUARDS = {1: DAY, 2: 7 * DAY}
 RETRY = (30, 120, 600, 3600, 21600)
 LIFETIME = DAY
 HISTORY_MOST, HISTORY_FOLD = 500, 100
@@ -62,11 +64,20 @@ def fold_history(history: DataFrame, keys: list[str], most: int = HISTORY_MOST,
     return rest.unionByName(one.withColumn("kind", F.lit("collapsed")))
 
 
-def degrade(days: DataFrame, budget: int) -> DataFrame:
-    """days: (step, day, bytes), what may go, by step then day. Marks ``dropped`` the least that brings the total under the budget."""
+def degrade(days: DataFrame, budget: int, now: int | None = None) -> DataFrame:
+    """days: (step, day, bytes), what may go, by step then day. Marks ``dropped`` the least that brings the total under the budget.
+
+    With ``now``, steps are 1 raw samples, 2 events, 3 five-minute and 4 hourly rows, and days of the first two stay whole
+    that reach into the last 24 hours or 7 days (GUARDS); their bytes count all the same.
+    """
+    may = F.lit(True)
+    if now is not None:
+        guard = F.when(F.col("step") == 1, GUARDS[1]).when(F.col("step") == 2, GUARDS[2])
+        may = guard.isNull() | ((F.col("day") + 1) * DAY <= F.lit(now) - guard)
     order = W.orderBy("step", "day")  # a row a table and day
     over = F.sum("bytes").over(W.partitionBy()) - budget
-    return days.withColumn("dropped", F.coalesce(F.sum("bytes").over(order) - F.col("bytes") < over, F.lit(False)))
+    freed = F.when(may, F.col("bytes")).otherwise(0)
+    return days.withColumn("dropped", may & F.coalesce(F.sum(freed).over(order) - freed < over, F.lit(False)))
 
 
 def fan_out(notifications: DataFrame, channels: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from gaugeloom.operators import desk, incidents, rules
+from gaugeloom.operators import desk, incidents, rules, upkeep
 from gaugeloom.plans.definitions import load
 from gaugeloom.plans.expression import ExpressionError
 
@@ -167,3 +167,10 @@ def test_lint_and_units(spark):
     assert desk.unit_and_panels(definition, "growth") == ("bytes/s", [("space", "rate")])
     assert desk.unit_and_panels(definition, "used_pct") == ("percent", [])
     assert desk.unit_and_panels(definition, "none") == ("value", [])
+
+
+def test_a_tight_budget_leaves_young_raw_rows_and_events(spark):
+    days = spark.createDataFrame([(1, 0, 10), (1, 9, 10), (2, 1, 10), (2, 5, 10), (3, 9, 10), (4, 9, 10)], "step int, day long, bytes long")
+    dropped = lambda budget: sorted((r.step, r.day) for r in upkeep.degrade(days, budget, 10 * 86400).where("dropped").collect())
+    assert dropped(60) == [] and dropped(45) == [(1, 0), (2, 1)]
+    assert dropped(0) == [(1, 0), (2, 1), (3, 9), (4, 9)]
