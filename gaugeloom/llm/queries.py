@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeloom.llm import capfilter, licenses, lines, minhash, mixing, packing, quality, spotsigs, substrings, urlfilter
+from gaugeloom.llm import capfilter, divergence, licenses, lines, minhash, mixing, packing, quality, spotsigs, substrings, urlfilter
 
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
@@ -181,3 +181,34 @@ def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op8_substrings"] = op8_substrings
+
+
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
+QUERIES["op11_divergence"] = op11_divergence
+
+SQL["op11_divergence"] = r"""
+WITH d AS (SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+w AS (
+  SELECT doc, lang, source, translate(unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM d),
+k AS (SELECT lang, term FROM w GROUP BY lang, term HAVING count(DISTINCT doc) >= 30),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM w JOIN k USING (lang, term) GROUP BY ALL),
+x AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n FROM g JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+s AS (
+  SELECT lang, source, term, n, 1 + (1000000000::HUGEINT * (n + 5)) // (sum(n) OVER (PARTITION BY lang, source) + 5 * count(*) OVER (PARTITION BY lang, source)) AS p FROM x),
+y AS (SELECT lang, term, sum(n) AS n FROM x GROUP BY ALL),
+l AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (n + 5)) // (sum(n) OVER (PARTITION BY lang) + 5 * count(*) OVER (PARTITION BY lang)) AS q FROM y),
+pair AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(f.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (
+    SELECT s.lang, s.source, o.source AS item, sum(abs(s.p - o.p)) AS value FROM s JOIN s o ON s.lang = o.lang AND s.term = o.term AND s.source <> o.source GROUP BY ALL) f
+  ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+every AS (
+  SELECT lang, source, 'pair' AS part, item, value FROM pair
+  UNION ALL SELECT s.lang, s.source, 'term', s.term, s.p - l.q FROM s JOIN l USING (lang, term) WHERE s.n > 0 AND s.p > l.q)
+SELECT lang, source, part, item, value::BIGINT AS value, (row_number() OVER r)::INTEGER AS rank FROM every
+WINDOW r AS (PARTITION BY lang, source, part ORDER BY value DESC, item) QUALIFY part = 'pair' OR row_number() OVER r <= 50
+"""
