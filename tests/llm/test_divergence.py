@@ -40,7 +40,7 @@ def found(spark, rows, **how):
     return sorted(tuple(r) for r in divergence.audit(spark.createDataFrame(rows, SCHEMA).repartition(3), **how).collect())
 
 
-@pytest.mark.parametrize("shard_rows", [1, 10, 200_000])
+@pytest.mark.parametrize("shard_rows", [1, 10, 50_000])
 def test_equals_plain_counts(spark, shard_rows):
     rng = random.Random(shard_rows)
     words = ["The", "the", "mango", "É", "é", "ßa", "a_b", "x1y", "z", "kiwi", "日本", "\U0001f600", "'quote'"]
