@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeloom.llm import capfilter, divergence, licenses, lines, minhash, mixing, packing, quality, spotsigs, substrings, urlfilter
+from gaugeloom.llm import alignment, capfilter, divergence, licenses, lines, minhash, mixing, packing, quality, spotsigs, substrings, urlfilter
 
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
@@ -212,3 +212,12 @@ every AS (
 SELECT lang, source, part, item, value::BIGINT AS value, (row_number() OVER r)::INTEGER AS rank FROM every
 WINDOW r AS (PARTITION BY lang, source, part ORDER BY value DESC, item) QUALIFY part = 'pair' OR row_number() OVER r <= 50
 """
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.align(_table(spark, sf_dir, "documents").select("doc_id", "text"), ranks_path(), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES["op12_alignment"] = op12_alignment
