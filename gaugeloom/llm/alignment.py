@@ -17,15 +17,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gaugeloom.llm.scratch import drop, save
-from gaugeloom.llm.spotsigs import let
 
 #: The table of id pairs is broadcast up to so many rows: about 100 MB.
 BROADCAST_PAIRS = 1_500_000
 #: Characters of a run of one kind from which a text is encoded by the slower library, as the pattern of the other takes time with the square of a run.
 LONG_RUN = 1000
 _RUN = re.compile(r"\s{%d}|[^\W\d_]{%d}|\d{%d}|(?:[^\w\s]|_){%d}" % ((LONG_RUN,) * 4))
-#: B's id in a pair's number: A's id * SHIFT + B's id.
-SHIFT = 1 << 31
+#: Tokens that a task holds before it hands them on.
+HELD_TOKENS = 1_000_000
 
 
 @lru_cache(maxsize=2)
@@ -46,8 +45,10 @@ def byte_tokenizer(ranks_path: str):
     for t, i in ranks.items():
         token[i] = t
 
-    def encode(text: str) -> list[int]:
-        return whole.encode(text, add_special_tokens=False).ids if _RUN.search(text) else fast.encode_ordinary(text)
+    def encode(text: str) -> np.ndarray:
+        if _RUN.search(text):
+            return np.array(whole.encode(text, add_special_tokens=False).ids, np.int32)
+        return fast.encode_to_numpy(text, disallowed_special=()).astype(np.int32)
 
     return encode, token
 
@@ -60,7 +61,7 @@ def piece_tokenizer(model_path: str):
     model = sentencepiece.SentencePieceProcessor(model_file=model_path)
     pieces = (model.id_to_piece(i) for i in range(model.get_piece_size()))
     token = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-    return model.encode, token
+    return (lambda text: np.array(model.encode(text), np.int32)), token
 
 
 def tokens(docs: DataFrame, ranks_path: str, model_path: str) -> DataFrame:
@@ -68,30 +69,37 @@ def tokens(docs: DataFrame, ranks_path: str, model_path: str) -> DataFrame:
     where the bytes of either don't join to those."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (encode_a, bytes_a), (encode_b, bytes_b) = byte_tokenizer(ranks_path), piece_tokenizer(model_path)
-        sizes = [np.array([len(t) for t in b], np.int32) for b in (bytes_a, bytes_b)]
+        sides = []
+        for encode_side, token in (byte_tokenizer(ranks_path), piece_tokenizer(model_path)):
+            sides.append((encode_side, token.__getitem__, np.array([len(t) for t in token], np.int32)))
+        none = np.zeros(0, np.int32)
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [])
-            for text in batch.column(1):
-                text = text.as_py()
-                ids = (encode_a(" " + text), encode_b(text)) if text else ([], [])
-                if text:
-                    data = (" " + text).encode()
-                    if any(b"".join(map(b.__getitem__, i)) != data for b, i in zip((bytes_a, bytes_b), ids, strict=True)):
-                        ids = ([], [])
-                for k in range(2):
-                    own = np.array(ids[k], np.int32)
-                    out[2 * k].append(own)
-                    out[2 * k + 1].append(np.cumsum(sizes[k][own], dtype=np.int32))
-            lists = []
-            for own in out:
-                edges = np.cumsum([0, *map(len, own)]).astype(np.int32)
-                lists.append(pa.ListArray.from_arrays(edges, np.concatenate(own) if own else np.zeros(0, np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=["doc_id", "a_ids", "a_ends", "b_ids", "b_ends"])
+            own, n = [], 0
+            for i, text in enumerate(batch.column(1)):
+                text, found = text.as_py(), []
+                data = (" " + text).encode() if text else b""
+                for k, (encode_side, token, size) in enumerate(sides if text else ()):
+                    ids = encode_side(text if k else " " + text)
+                    if b"".join(map(token, ids.tolist())) != data:
+                        found = []
+                        break
+                    found += [ids, np.cumsum(size[ids], dtype=np.int32)]
+                own.append(found or [none] * 4)
+                n += sum(map(len, found)) // 2
+                if n >= HELD_TOKENS or i + 1 == batch.num_rows:
+                    lists = []
+                    for side in zip(*own, strict=True):
+                        edges = np.cumsum([0, *map(len, side)]).astype(np.int32)
+                        lists.append(pa.ListArray.from_arrays(edges, np.concatenate(side)))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i + 1 - len(own), len(own)), *lists], names=["doc_id", "a_ids", "a_ends", "b_ids", "b_ends"])
+                    own, n = [], 0
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(encode, "doc_id long, a_ids array<int>, a_ends array<int>, b_ids array<int>, b_ends array<int>")
 
 
+_TAG, _END, _LOW = 1 << 31, 1 << 32, (1 << 32) - 1
+
+
 def merged_ends(a_ends: Column, b_ends: Column) -> Column:
     """The ends of both in one sorted array, as numbers: end, then 0 or 1 for a or b, then the place among its own. An end that
     is both stands twice, a's first.
@@ -99,57 +107,46 @@ def merged_ends(a_ends: Column, b_ends: Column) -> Column:
     An element's place less its place among its own is how many of the other's ends come before it: so each finds the
     other's token in which it lies without a search.
     """
-    end = lambda e, i, tag: F.shiftleft(e.cast("long"), 32) + F.lit(tag << 31) + i
-    return F.sort_array(F.concat(F.transform(a_ends, lambda e, i: end(e, i, 0)), F.transform(b_ends, lambda e, i: end(e, i, 1))))
-
-
-def _is_b(x: Column) -> Column:
-    return F.shiftright(x, 31).bitwiseAND(F.lit(1)) == 1
-
+    end = lambda e: F.shiftleft(e.cast("long"), 32)
+    return F.sort_array(F.concat(F.transform(a_ends, lambda e, i: end(e) + i), F.transform(b_ends, lambda e, j: end(e) + F.lit(_TAG) + j)))
 
-def _nth(x: Column) -> Column:
-    return x.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
 
+def stretches(ends: Column) -> Column:
+    """Ends of both cut the text into stretches; each lies in one token of either side, and two tokens that overlap share
+    one stretch. Those of the merged ends in order, as place of a's token * 2 ** 32 + place of b's, and -1 behind
+    each whose end is one of both."""
 
-def _end(x: Column) -> Column:
-    return F.shiftright(x, 32)
+    def one(x: Column, p: Column) -> Column:
+        own = x.bitwiseAND(F.lit(_TAG - 1))
+        of_a = own * F.lit(_END - 1) + p  # (own, p - own)
+        of_b = F.shiftleft(p.cast("long"), 32) - own * F.lit(_END - 1)  # (p - own, own)
+        return F.when(x.bitwiseAND(F.lit(_TAG)) == 0, of_a).when(x.bitwiseXOR(F.get(ends, p - 1)) < _END, F.lit(-1)).otherwise(of_b)
 
+    return F.transform(ends, one)
 
-def links(ends: Column, a_ids: Column, b_ids: Column) -> Column:
-    """A pair number for each pair of tokens whose bytes overlap. Ends of both cut the text into stretches; each lies in one token
-    of either side, and two tokens that overlap share one stretch."""
-    pair = lambda a, b: a_ids[a].cast("long") * SHIFT + b_ids[b]
-    from_a = lambda x, p: pair(_nth(x), p - _nth(x))
-    from_b = lambda x, p: F.when(_end(x) != _end(ends[F.greatest(p - 1, F.lit(0))]), pair(p - _nth(x), _nth(x)))
-    return F.filter(F.transform(ends, lambda x, p: F.when(_is_b(x), F.when(p == 0, pair(p, _nth(x))).otherwise(from_b(x, p))).otherwise(from_a(x, p))), lambda x: x.isNotNull())
 
+def links(stretches: Column, a_ids: Column, b_ids: Column, width: int) -> Column:
+    """For each pair of tokens whose bytes overlap, a's id * width + b's id."""
+    return F.transform(F.filter(stretches, lambda v: v >= 0), lambda v: a_ids[F.shiftright(v, 32)] * width + b_ids[v.bitwiseAND(F.lit(_LOW))])
 
-def groups(ends: Column, common: Column, a_ids: Column, b_ids: Column) -> Column:
-    """The groups as text: ids of either side from one common end to the next."""
-    # where a common end's second entry stands: the number of common ends before it is its place in ``common``
-    at = F.filter(F.transform(ends, lambda x, p: F.when(_is_b(x) & (p > 0) & (_end(x) == _end(ends[F.greatest(p - 1, F.lit(0))])), p)), lambda p: p.isNotNull())
-    texts = lambda ids: ids.cast("array<string>")
-    part = lambda ids, first, n: F.array_join(F.slice(ids, first + 1, n), ",")
 
-    def text(at: Column, a: Column, b: Column) -> Column:
-        def one(k: Column) -> Column:
-            last = let(F.struct(at[k].alias("p"), F.when(k > 0, at[F.greatest(k - 1, F.lit(0))]).alias("q")), lambda s: F.struct(
-                (s["p"] - _nth(ends[s["p"]]) - 1).alias("a"), _nth(ends[s["p"]]).alias("b"),
-                F.coalesce(s["q"] - _nth(ends[s["q"]]) - 1, F.lit(-1)).alias("a0"), F.coalesce(_nth(ends[s["q"]]), F.lit(-1)).alias("b0"),
-            ))
-            return let(last, lambda s: F.concat(part(a, s["a0"] + 1, s["a"] - s["a0"]), F.lit("|"), part(b, s["b0"] + 1, s["b"] - s["b0"])))
+def group_ends(stretches: Column) -> Column:
+    """The last stretch of each group."""
+    return F.filter(stretches, lambda v, k: F.get(stretches, k + 1) == -1)
 
-        return F.array_join(F.transform(F.sequence(F.lit(0), F.size(common) - 1), one), ";")
 
-    whole = let(F.struct(at.alias("at"), texts(a_ids).alias("a"), texts(b_ids).alias("b")), lambda s: text(s["at"], s["a"], s["b"]))
-    return F.when(F.size(common) > 0, whole).otherwise("")
+def groups(last: Column, a: Column, b: Column) -> Column:
+    """The groups as text, from their last stretches and the ids as strings."""
 
+    def one(g: Column, k: Column) -> Column:
+        before = F.get(last, k - 1)
+        a_at, b_at = F.shiftright(g, 32), g.bitwiseAND(F.lit(_LOW))
+        single = g - F.coalesce(before, F.lit(-_END - 1)) == _END + 1  # one token of either side
+        part = lambda ids, at, was: F.array_join(F.slice(ids, (was + 2).cast("int"), (at - was).cast("int")), ",")
+        whole = F.concat(part(a, a_at, F.coalesce(F.shiftright(before, 32), F.lit(-1))), F.lit("|"), part(b, b_at, F.coalesce(before.bitwiseAND(F.lit(_LOW)), F.lit(-1))))
+        return F.when(single, F.concat(a[a_at], F.lit("|"), b[b_at])).otherwise(whole)
 
-def counted(pairs: Column) -> Column:
-    """Of sorted numbers, each once with how often it stands there."""
-    starts = F.filter(F.sequence(F.lit(0), F.size(pairs) - 1), lambda p: (p == 0) | (pairs[p] != pairs[F.greatest(p - 1, F.lit(0))]))
-    runs = let(starts, lambda s: F.transform(s, lambda p, k: F.struct(pairs[p].alias("pair"), (F.coalesce(F.get(s, k + 1), F.size(pairs)) - p).alias("n"))))
-    return F.when(F.size(pairs) > 0, runs).otherwise(F.array().cast("array<struct<pair:bigint,n:int>>"))
+    return F.array_join(F.transform(last, one), ";")
 
 
 def align(docs: DataFrame, ranks_path: str, model_path: str, broadcast_pairs: int = BROADCAST_PAIRS) -> DataFrame:
@@ -165,30 +162,30 @@ def align(docs: DataFrame, ranks_path: str, model_path: str, broadcast_pairs: in
     are passed over, whatever their names. An empty table gives an empty result.
 
     All arrays are those of one document, and all that is made of them takes time in proportion to its length (with its logarithm
-    for sorting). Pairs are counted once a document before they are dealt; their table comes back to the documents by
+    for sorting). A pair is counted once a document, and by each task before it is dealt; the table of pairs comes back to the documents by
     a broadcast up to ``broadcast_pairs`` rows, else by a join, which Spark splits where a pair is in very many documents.
     """
-    cut = tokens(docs, ranks_path, model_path)
-    common = F.array_intersect("a_ends", "b_ends")
-    cut = cut.withColumns({"ends": merged_ends(F.col("a_ends"), F.col("b_ends")), "common": common})
+    width = len(piece_tokenizer(model_path)[1])
+    kind = "int" if width * len(byte_tokenizer(ranks_path)[1]) < 2**31 else "long"
     number = lambda c: c.cast("long")
-    ends, a, b = F.col("ends"), F.col("a_ids"), F.col("b_ids")
-    linked = cut.select(
-        "doc_id", number(F.size(a)).alias("n_a"), number(F.size(b)).alias("n_b"), number(F.size("common")).alias("n_groups"),
-        F.sort_array(links(ends, a, b)).alias("links"), groups(ends, F.col("common"), a, b).alias("groups"),
+    a, b, last = F.col("a_ids"), F.col("b_ids"), F.col("last")
+    cut = tokens(docs, ranks_path, model_path).withColumn("ends", merged_ends(F.col("a_ends"), F.col("b_ends")))
+    cut = cut.select("doc_id", "a_ids", "b_ids", number(F.size(F.array_intersect("a_ends", "b_ends"))).alias("n_groups"), stretches(F.col("ends")).alias("stretches"))
+    cut = cut.select("doc_id", "a_ids", "b_ids", "n_groups", "stretches", group_ends(F.col("stretches")).alias("last"), a.cast("array<string>").alias("a"), b.cast("array<string>").alias("b"))
+    told = cut.select(
+        "doc_id", number(F.size(a)).alias("n_a"), number(F.size(b)).alias("n_b"), "n_groups", links(F.col("stretches"), a.cast(f"array<{kind}>"), b, width).alias("links"),
+        F.when(F.col("n_groups") > 0, F.sha2(groups(last, F.col("a"), F.col("b")), 256)).otherwise("").alias("groups_sha256"),
     )
-    told = linked.select(
-        "doc_id", "n_a", "n_b", "n_groups", number(F.size("links")).alias("n_links"), F.when(F.col("groups") != "", F.sha2("groups", 256)).otherwise("").alias("groups_sha256"), counted(F.col("links")).alias("pairs")
-    )
     held = save(told.withColumn("row", F.monotonically_increasing_id()))
-    each = held.select("row", F.explode("pairs").alias("p")).select("row", "p.pair", "p.n")
-    table = each.groupBy("pair").agg(F.count("*").alias("count"))
-    first = F.floor(F.col("pair") / SHIFT)
+    table = held.select(F.explode(F.array_distinct("links")).alias("pair")).groupBy("pair").agg(F.count("*").alias("count"))
+    first = F.floor(F.col("pair") / width)
     table = save(table.withColumn("best", F.col("count") == F.max("count").over(W.partitionBy(first))))
     rows = table.count()
     small = F.broadcast(table) if rows <= broadcast_pairs else table
-    sums = each.join(small, "pair").groupBy("row").agg(F.sum(F.when(F.col("best"), F.col("n")).otherwise(0)).cast("long").alias("n_best"), F.sum(F.col("n") * F.col("count")).alias("count_sum"))
-    out = held.drop("pairs").join(sums, "row", "left").na.fill(0, ["n_best", "count_sum"])
+    each = held.select("row", F.explode("links").alias("pair"))
+    sums = each.join(small, "pair").groupBy("row").agg(F.count_if("best").alias("n_best"), F.sum("count").alias("count_sum"))
+    own = held.withColumn("n_links", number(F.size("links"))).drop("links")
+    out = own.join(sums, "row", "left").na.fill(0, ["n_best", "count_sum"])
     out = save(out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"))
     drop(held)
     drop(table)
