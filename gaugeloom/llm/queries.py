@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeloom.llm import alignment, capfilter, divergence, licenses, lines, minhash, mixing, packing, quality, spotsigs, substrings, urlfilter
+from gaugeloom.llm import alignment, capfilter, divergence, licenses, lines, minhash, mixing, packing, ppm, quality, spotsigs, substrings, urlfilter
 
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
@@ -221,3 +221,10 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op12_alignment"] = op12_alignment
+
+
+def op13_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES["op13_ppm"] = op13_ppm
