@@ -61,13 +61,13 @@ def given(spark, rows):
     return spark.createDataFrame([(t, "x", d, 1, b"y") for d, t in rows], "text string, WORD string, doc_id long, chunk int, stream binary").repartition(3)
 
 
-@pytest.mark.parametrize(("order", "chunk_bytes", "sent_counts"), [(6, 1 << 20, 10**6), (6, 300, 0), (4, 60, 10**6)])
+@pytest.mark.parametrize(("order", "chunk_bytes", "sent_counts"), [(6, 1 << 20, 10**6), (5, 300, 0), (4, 60, 10**6)])
 def test_equals_a_plain_trie(spark, order, chunk_bytes, sent_counts):
     rng = random.Random(order + chunk_bytes)
     vocabulary = ["The", "the", "there", "mango", "Éa", "日本", "x" * 30, "\U0001f600", "a\x00b", "on", "ono", "nono"]
     rows = [(i, rng.choice([" ", "\n", " \t "]).join(rng.choice(vocabulary) for _ in range(rng.randrange(15)))) for i in range(60)]
     rows += [(100, None), (101, ""), (102, "  \n "), (None, "no id"), (None, None), (3, "another text of id 3"), *rows[:4], (200, "mango there " * 300)]
-    df = ppm.score(given(spark, rows), order, chunk_bytes, sent_counts, task_grams=500)
+    df = ppm.score(given(spark, rows), order, chunk_bytes, sent_counts, part_bytes=500)
     assert df.columns == COLUMNS
     close(df.collect(), plain(rows, order))
 
