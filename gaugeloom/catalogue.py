@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gaugeloom.functions import scalar, series
-from gaugeloom.operators import desk, episodes, incidents, lookups, rollup, rules, store, upkeep
+from gaugeloom.functions import running, scalar, series
+from gaugeloom.operators import desk, episodes, incidents, lookups, rollup, rules, store, stored, storms, upkeep
 from gaugeloom.plans.definitions import load
 from gaugeloom.plans.expression import Names, compile_expression
 from gaugeloom.sources import logs, samples
@@ -115,6 +115,18 @@ def baseline_as_of(spark, sf_dir):
     return rollup.with_baseline(p, rollup.baselines(rollup.rollup_5m(p))).select("entity_id", "ts", r4("baseline").alias("baseline"))
 
 
+@query(
+    f"WITH {_EWMA}, f AS (SELECT * FROM e WHERE bucket >= {NOW - 12 * 86400} OR entity_id IN ('click', 'view')), "
+    "g AS (SELECT entity_id, bucket, level, min(bucket) OVER p AS oldest, count(*) OVER p AS kept, max(n) OVER p AS updates FROM f WINDOW p AS (PARTITION BY entity_id)) "
+    f"SELECT entity_id, bucket, round(level + 1e-7, 4) AS level, oldest > {-(-(NOW - 20 * 86400) // 300) * 300} AND kept < updates AS truncated FROM g WHERE bucket BETWEEN {NOW - 20 * 86400} AND {NOW}"
+)
+def baseline_back(spark, sf_dir):
+    fives = rollup.rollup_5m(points(spark, sf_dir))
+    now = rollup.latest_baselines(rollup.baselines(fives)).withColumn("half_life", F.lit(rollup.HALF_LIFE))
+    kept = fives.where((F.col("bucket") >= NOW - 12 * 86400) | F.col("entity_id").isin("click", "view"))
+    return rollup.baselines_back(now, kept, NOW - 20 * 86400, NOW).select("entity_id", "bucket", r4("level").alias("level"), "truncated")
+
+
 # ---- trailing windows
 
 
@@ -130,13 +142,27 @@ def win_avg_min_max(spark, sf_dir):
     f"FROM s {_W6}"
 )
 def win_delta_rate(spark, sf_dir):
-    w, v = series.trailing(SIX_H), F.col("value")
-    return points(spark, sf_dir).select("entity_id", "ts", r4(series.delta(v, w)).alias("delta"), r4(series.rate(v, w, F.col("ts"))).alias("rate"))
+    return running.with_window(points(spark, sf_dir), SIX_H).select("entity_id", "ts", r4(running.delta()).alias("delta"), r4(running.rate()).alias("rate"))
 
 
 @query(f"WITH {_S} SELECT entity_id, ts, CASE WHEN count(*) OVER w >= 3 THEN round(regr_slope(value, ts) OVER w * 3600 + 1e-7, 4) END AS slope_h FROM s {_W6}")
 def win_slope(spark, sf_dir):
-    return points(spark, sf_dir).select("entity_id", "ts", r4(series.slope(F.col("value"), series.trailing(SIX_H), F.col("ts")) * 3600).alias("slope_h"))
+    return running.with_window(points(spark, sf_dir), SIX_H).select("entity_id", "ts", r4(running.slope() * 3600).alias("slope_h"))
+
+
+#: Points of six hours that a series sampled each half hour keeps.
+_ROOM = series.capacity(SIX_H, 1800)
+
+
+@query(
+    f"WITH {_S}, k AS (SELECT entity_id, ts, list({{'t': ts, 'v': value}}) OVER (PARTITION BY entity_id ORDER BY ts ROWS BETWEEN {_ROOM - 1} PRECEDING AND CURRENT ROW) AS l FROM s), "
+    f"w AS (SELECT entity_id, ts, list_filter(l, lambda x: x.t >= ts - {SIX_H}) AS l FROM k) "
+    "SELECT entity_id, ts, len(l) AS points, round(list_avg(list_transform(l, lambda x: x.v)) + 1e-7, 4) AS avg, CASE WHEN len(l) >= 2 THEN round(l[len(l)].v - l[1].v + 1e-7, 4) END AS delta, "
+    f"CASE WHEN len(l) >= 2 THEN round((l[len(l)].t - l[1].t) / {SIX_H}::DOUBLE + 1e-7, 4) END AS coverage FROM w"
+)
+def win_capacity(spark, sf_dir):
+    rows = running.with_window(points(spark, sf_dir), SIX_H, capacity=_ROOM)
+    return rows.select("entity_id", "ts", running.count().alias("points"), r4(running.avg()).alias("avg"), r4(running.delta()).alias("delta"), r4(running.coverage(SIX_H)).alias("coverage"))
 
 
 @query(
@@ -399,6 +425,27 @@ def storm_runs(spark, sf_dir):
     return episodes.storms(log(spark, sf_dir), 1).select("provider", "storm", "start_ts", "end_ts", "collapsed")
 
 
+#: A 'minute' of six hours and a 'tick' of half an hour, so that the tables' events come in storms.
+_LONG, _TURN, _FEW = 21600, 1800, 12
+_STORM = f"""{_L},
+te AS (SELECT *, (ts + {_TURN - 1}) // {_TURN} * {_TURN} AS tick FROM l),
+tm AS (SELECT *, tick // {_LONG} * {_LONG} AS minute, row_number() OVER (PARTITION BY provider, tick // {_LONG} ORDER BY tick, id) AS nth FROM te),
+pm AS (SELECT provider, minute, count(*) AS n, max(tick = minute) AS turn FROM tm GROUP BY ALL),
+pr AS (SELECT *, sum(CASE WHEN turn AND minute - before = {_LONG} THEN 0 ELSE 1 END) OVER (PARTITION BY provider ORDER BY minute) AS run FROM (SELECT *, lag(minute) OVER (PARTITION BY provider ORDER BY minute) AS before FROM pm)),
+ph AS (SELECT *, min(CASE WHEN n > {_FEW} THEN minute END) OVER (PARTITION BY provider, run) AS hot, max(minute) OVER (PARTITION BY provider, run) AS last FROM pr),
+st AS (SELECT tm.*, run, last, coalesce(tm.minute > hot OR tm.minute = hot AND nth > {_FEW}, FALSE) AS gone FROM tm JOIN ph USING (provider, minute))"""
+
+
+@query(f"WITH {_STORM} SELECT id, NOT gone AS stored FROM st")
+def storm_collapse(spark, sf_dir):
+    return storms.guard(log(spark, sf_dir), _FEW, _LONG, _TURN).select("id", "stored")
+
+
+@query(f"WITH {_STORM} SELECT provider, min(tick) AS start_ts, max(last) + {_LONG} AS end_ts, count(*) AS collapsed FROM st WHERE gone GROUP BY provider, run")
+def storm_spans(spark, sf_dir):
+    return storms.storms(log(spark, sf_dir), _FEW, _LONG, _TURN).select("provider", "start_ts", "end_ts", "collapsed")
+
+
 @query(f"WITH {_L} SELECT id, round(count(*) OVER (PARTITION BY provider ORDER BY ts RANGE BETWEEN 59 PRECEDING AND CURRENT ROW) / 60.0::DOUBLE + 1e-7, 4) AS rate_per_s FROM l")
 def event_rate_60s(spark, sf_dir):
     return episodes.arrival_rate(log(spark, sf_dir)).select("id", r4("rate_per_s").alias("rate_per_s"))
@@ -560,7 +607,7 @@ def runs(spark, sf_dir):
 )
 def trend_projection(spark, sf_dir):
     p = points(spark, sf_dir)
-    rate = p.withColumn("rate", series.slope(F.col("value"), series.trailing(SIX_H), F.col("ts")) * 3600).where("rate is not null")
+    rate = running.with_window(p, SIX_H).withColumn("rate", running.slope() * 3600).where("rate is not null")
     rate = rate.select("entity_id", "ts", F.when(F.col("rate") > 0.5, F.col("rate")).otherwise(0.0).alias("value"))
     left = p.select("entity_id", "ts", (100 - F.col("value")).alias("value"))
     return store.projection(rate, left).select("entity_id", "ts", r4("hours").alias("hours"))
@@ -625,10 +672,14 @@ def fanout(spark, sf_dir):
 
 @query(
     f"WITH {_L}, f AS (SELECT l.id, l.ts, l.severity, l.provider AS title, c.channel FROM l JOIN {_CHANNELS} ON l.severity >= c.min_severity OR c.channel = 'file' WHERE l.severity BETWEEN 1 AND 2 AND (l.ts % 86400 // 60 >= 1320 OR l.ts % 86400 // 60 < 420)) "
-    "SELECT channel, (ts - 79200) // 86400 AS day, count(*) AS n, max(severity) AS severity, string_agg(title, '; ' ORDER BY ts, id) AS titles FROM f GROUP BY ALL"
+    ", n AS (SELECT (ts - 79200) // 86400 AS day, id, ts, severity, any_value(title) AS title FROM f GROUP BY ALL) "
+    "SELECT day, count(*) AS n, max(severity) AS severity, count(*) || ' notification(s) held during quiet hours' AS title, "
+    "left('worst: ' || (['info', 'notice', 'warning', 'error', 'critical'])[max(severity) + 1] || ' — ' || string_agg(title, '; ' ORDER BY ts, id), 200) AS body, "
+    "(SELECT string_agg(DISTINCT channel, ',' ORDER BY channel) FROM f WHERE (f.ts - 79200) // 86400 = n.day) AS channels FROM n GROUP BY day"
 )
 def quiet_digest(spark, sf_dir):
-    return upkeep.digest(upkeep.fan_out(_notes(spark, sf_dir), _channels(spark)), "22:00-07:00")
+    made = upkeep.digest(upkeep.fan_out(_notes(spark, sf_dir), _channels(spark)), "22:00-07:00")
+    return made.withColumn("channels", F.array_join("channels", ","))
 
 
 @query(
@@ -667,6 +718,16 @@ def retention_prune(spark, sf_dir):
     return upkeep.prune(fives, "5m", NOW, "bucket", F.col("entity_id").isin("error", "purchase")).select("entity_id", "bucket")
 
 
+@query(
+    f"WITH c AS (SELECT DISTINCT CAST(o_custkey % 50 AS VARCHAR) AS entity_id FROM orders WHERE o_orderpriority = '1-URGENT' AND o_custkey % 3 = 0) "
+    f"SELECT r5.entity_id, bucket FROM (SELECT CAST(user_id % 50 AS VARCHAR) AS entity_id, CAST(floor(epoch(ts)) AS BIGINT) // 300 * 300 AS bucket FROM events GROUP BY ALL) r5 LEFT JOIN c USING (entity_id) WHERE bucket >= {NOW} - CASE WHEN c.entity_id IS NOT NULL THEN 2592000 ELSE 604800 END"
+)
+def retention_classes(spark, sf_dir):
+    ev = table(spark, sf_dir, "events").select((F.col("user_id") % 50).cast("string").alias("series_id"), rollup.bucket(samples.epoch(F.col("ts")), 300).alias("bucket")).distinct()
+    urgent = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT' and o_custkey % 3 = 0").select((F.col("o_custkey") % 50).cast("string").alias("series_id"), F.lit(True).alias("durable")).distinct()
+    return stored.keep_by_class(ev, urgent, "5m", NOW, "bucket").select(F.col("series_id").alias("entity_id"), "bucket")
+
+
 @query(
     "WITH d AS (SELECT CASE WHEN event_type = 'view' THEN 1 WHEN event_type = 'click' THEN 2 ELSE 3 END AS step, CAST(floor(epoch(ts)) AS BIGINT) // 86400 AS day, count(*) * 35 AS bytes FROM events GROUP BY ALL), "
     "t AS (SELECT *, sum(bytes) OVER () - (SELECT sum(bytes) // 2 FROM d) AS over_by, sum(bytes) OVER (ORDER BY step, day) - bytes AS before FROM d) SELECT step, day, bytes, before < over_by AS dropped FROM t"
@@ -734,6 +795,21 @@ def render_message(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", scalar.render(["event ", (F.col("event_type"), None), " at ", (F.col("value"), 2), " of ", (part, 0)]).alias("message"))
 
 
+@query(
+    "SELECT event_id, left(event_type || ' ' || lpad(printf('%.1f', value), 8, ' ') || ' {' || CASE WHEN event_id % 4 > 0 THEN printf('%+.3f', value - 50) ELSE 'n/a' END || '} ' || rpad(event_type, 9, '.') || ' ' || printf('%05d', event_id % 1000) || ' n/a', 200) AS message FROM events"
+)
+def message_template(spark, sf_dir):
+    over = F.when(F.col("event_id") % 4 > 0, F.col("value") - 50)
+    columns = {"kind": (F.col("event_type"), "text"), "value": (F.col("value"), "number"), "over": (over, "number"), "n": (F.col("event_id") % 1000, "whole")}
+    return table(spark, sf_dir, "events").select("event_id", scalar.render_template("{kind} {value:8.1f} {{{over:+.3f}}} {kind:.<9} {n:05d} {none:.2f}", columns).alias("message"))
+
+
+@query("SELECT event_id, printf('%.2f', value / 8)::DOUBLE AS r2, printf('%.0f', value * 2)::DOUBLE AS r0, printf('%.1f', floor(value) / 4)::DOUBLE AS r1 FROM events")
+def round_exact(spark, sf_dir):
+    v = F.col("value")
+    return table(spark, sf_dir, "events").select("event_id", scalar.roundv(v / 8, 2).alias("r2"), scalar.roundv(v * 2, 0).alias("r0"), scalar.roundv(F.floor(v).cast("double") / 4, 1).alias("r1"))
+
+
 @query("SELECT event_id, CASE WHEN event_id % 4 > 0 THEN json_extract_string(props, '$.k') END AS k, CASE WHEN event_id % 4 = 0 THEN 'not json' END AS malformed FROM events")
 def attrs_json(spark, sf_dir):
     text = F.when(F.col("event_id") % 4 > 0, F.col("props")).otherwise("not json")
@@ -972,6 +1048,28 @@ def superseded_clears(spark, sf_dir):
     return _ended(spark, sf_dir, incidents.superseded_ends(points(spark, sf_dir, "user_id"), loaded))
 
 
+_ENDS = [("events", NOW - 20 * 86400, "a"), ("events", NOW - 12 * 86400, "b"), ("events", NOW - 11 * 86400, "c")]
+
+
+def _told(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notifications of incidents that absences and replaced definitions end, but those that only repeat."""
+    rows, definition = _evaluated(spark, sf_dir)
+    loaded = spark.createDataFrame(_ENDS, "monitor string, ts long, content_hash string")
+    ends = incidents.superseded_ends(points(spark, sf_dir, "user_id"), loaded)
+    states = incidents.with_ends(rules.outcomes(rows, definition), ends)
+    return incidents.notifications(incidents.levels(states)).where("kind <> 'renotify'")
+
+
+@query(
+    _ended_sql(f"SELECT DISTINCT entity_id, c.ts, 'superseded' AS reason FROM s CROSS JOIN (VALUES ({NOW - 12 * 86400}::BIGINT), ({NOW - 11 * 86400}::BIGINT)) AS c(ts)").replace(
+        "SELECT t.entity_id, t.grp, t.ts, t.kind", "SELECT entity_id, grp, ts, CASE WHEN kind = 'clear' THEN 'recover' ELSE kind END AS kind, CASE WHEN kind = 'clear' THEN 0 ELSE severity END AS severity FROM (SELECT t.entity_id, t.grp, t.ts, t.kind"
+    )
+    + ") WHERE kind <> 'downgrade' AND reason IS DISTINCT FROM 'superseded'"
+)
+def superseded_notes(spark, sf_dir):
+    return _told(spark, sf_dir).select("entity_id", "grp", "ts", "kind", "severity")
+
+
 _ABOVE = """
 schema = 1
 [monitor]
@@ -996,8 +1094,21 @@ def baseline_rules(spark, sf_dir):
 
 
 def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    attrs = F.to_json(F.struct(F.col("c_mktsegment").alias("segment"), F.col("c_name").alias("plugin_message")))
-    return table(spark, sf_dir, "customer").select(F.lit("events").alias("monitor"), F.col("c_custkey").cast("string").alias("entity_id"), attrs.alias("attrs"))
+    """Customers as entities; tier is a number for most and a text for each seventh, active is there for the even ones."""
+    c = table(spark, sf_dir, "customer")
+    tier = F.when(F.col("c_custkey") % 7 == 0, F.concat(F.lit('"'), (F.col("c_custkey") % 10).cast("string"), F.lit('"'))).otherwise((F.col("c_custkey") % 10).cast("string"))
+    active = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit(',"active":'), (F.col("c_custkey") % 3 == 0).cast("string"))).otherwise("")
+    texts = F.to_json(F.struct(F.col("c_mktsegment").alias("segment"), F.col("c_name").alias("plugin_message"), F.col("c_acctbal").cast("double").alias("balance")))
+    attrs = F.concat(F.regexp_replace(texts, r"\}$", ""), F.lit(',"tier":'), tier, active, F.lit("}"))
+    return c.select(F.lit("events").alias("monitor"), F.col("c_custkey").cast("string").alias("entity_id"), attrs.alias("attrs"))
+
+
+@query(
+    "SELECT CAST(c_custkey AS VARCHAR) AS entity_id FROM customer WHERE c_acctbal > 2500 AND CASE WHEN c_custkey % 7 = 0 THEN (c_custkey % 10)::VARCHAR = '4' "
+    "ELSE c_custkey % 10 >= 5 AND c_custkey % 2 = 0 AND c_custkey % 3 = 0 END"
+)
+def filter_typed(spark, sf_dir):
+    return desk.entities_where(_customers(spark, sf_dir), "balance > 2500 and (tier == '4' or (tier >= 5 and tier < 100 and active == True))").select("entity_id")
 
 
 @query("SELECT CAST(c_custkey AS VARCHAR) AS entity_id FROM customer WHERE c_mktsegment = 'BUILDING' AND NOT contains(c_name, '7')")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import Column, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,6 +16,11 @@ def trailing(width: int, keys: tuple[str, ...] = KEYS, ts: str = "ts") -> Window
     return W.partitionBy(*keys).orderBy(ts).rangeBetween(-width, 0)
 
 
+def capacity(width: float, interval: float) -> int:
+    """Points that are kept of a series sampled each ``interval`` seconds for windows of up to ``width``."""
+    return ceil(width / interval) + 2
+
+
 def so_far(keys: tuple[str, ...] = KEYS, ts: str = "ts") -> WindowSpec:
     return W.partitionBy(*keys).orderBy(ts).rangeBetween(W.unboundedPreceding, 0)
 

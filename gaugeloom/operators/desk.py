@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from datetime import UTC, datetime
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -48,21 +48,42 @@ def names_in(text: str) -> set[str]:
     return {n.id for n in ast.walk(tree) if isinstance(n, ast.Name) and id(n) not in called}
 
 
+#: The types of the rule language and how a JSON value of each is read; other JSON values are null.
+_JSON_KINDS = {"number": "double", "text": "string", "bool": "boolean"}
+
+
+def _json_kind(value: Column) -> Column:
+    """number, text, bool, or null of a variant."""
+    kind = F.schema_of_variant(value)
+    number = kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT|INT|SMALLINT|TINYINT)")
+    return F.when(value.isNull(), "null").when(number, "number").when(kind == "STRING", "text").when(kind == "BOOLEAN", "bool").otherwise("null")
+
+
 def entities_where(entities: DataFrame, text: str) -> DataFrame:
     """Entities whose attributes (column attrs: a JSON object) make an attribute-only expression true.
 
-    An attribute that no entity has is an error, one that only some have is null for the others.
+    Values keep their JSON types: 443 is a number and "443" a text, and the two never compare. An attribute that no
+    entity has is an error, one that only some have, or that is an object or a list, is null there. Where an
+    attribute's type differs between entities, the expression is compiled once for each combination of types that occurs.
     """
-    rows = entities.withColumn("_attrs", F.from_json("attrs", "map<string,string>"))
     wanted = sorted(names_in(text))
-    has = [F.max(F.coalesce(F.map_contains_key("_attrs", F.lit(n)), F.lit(False))).alias(f"a{i}") for i, n in enumerate(wanted)]
-    found = rows.agg(*has).first() if has else ()
-    known = frozenset(n for n, there in zip(wanted, found, strict=True) if there)
-    # each attribute stands in a column of its own, whatever characters its name has
-    rows = rows.withColumns({f"_attr{i}": F.col("_attrs")[n] for i, n in enumerate(wanted) if n in known})
-    columns = {n: f"_attr{i}" for i, n in enumerate(wanted)}
-    made = compile_expression(text, Names(attrs=known, columns=columns))
-    return rows.where(made.outcome() == "true").select(*entities.columns)
+    rows = entities.withColumn("_attrs", F.try_parse_json(F.coalesce(F.when(F.col("attrs") != "", F.col("attrs")), F.lit("{}"))))
+    held = {n: F.try_variant_get("_attrs", f"$.{n}", "variant") for n in wanted}
+    kinds = F.array(*(_json_kind(v) for v in held.values())) if wanted else F.array().cast("array<string>")
+    has = F.array(*(v.isNotNull() for v in held.values())) if wanted else F.array().cast("array<boolean>")
+    rows = rows.withColumns({"_kinds": kinds, "_has": has})
+    found = rows.select("_kinds", "_has").distinct().collect()  # a row a combination of types, of few names
+    known = frozenset(n for i, n in enumerate(wanted) if any(r["_has"][i] for r in found))
+    # each attribute stands in a column of its own for each type, whatever characters its name has
+    of_kind = lambda n, k: F.try_variant_get("_attrs", f"$.{n}", _JSON_KINDS[k]) if k in _JSON_KINDS else F.lit(None).cast("string")
+    rows = rows.withColumns({f"_attr{i}_{k}": of_kind(n, k) for i, n in enumerate(wanted) for k in sorted({r["_kinds"][i] for r in found} | {"null"})})
+    true = F.lit(False)
+    for combination in sorted({tuple(r["_kinds"]) for r in found} or {("null",) * len(wanted)}):
+        own = dict(zip(wanted, combination, strict=True))
+        names = Names(attrs=known, kinds=own, columns={n: f"_attr{i}_{own[n]}" for i, n in enumerate(wanted)})
+        made = compile_expression(text, names)
+        true = F.when(F.col("_kinds") == F.array(*map(F.lit, combination)) if wanted else F.lit(True), made.outcome() == "true").otherwise(true)
+    return rows.where(true).select(*entities.columns)
 
 
 def events_where(listed: DataFrame, text: str) -> DataFrame:

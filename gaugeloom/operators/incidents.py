@@ -14,6 +14,7 @@ GROUP = ["monitor", "entity_id", "grp"]
 #: Seconds between notifications of an open incident; the last repeats.
 BACKOFF = (300, 900, 3600, 21600)
 FLAP_SPAN, FLAP_CLEARS, GONE_AFTER = 600, 3, 300
+SUPERSEDED = "superseded"
 
 
 def confirmed(outcomes: DataFrame, keys: Sequence[str] = RULE) -> DataFrame:
@@ -40,7 +41,8 @@ def with_ends(outcomes: DataFrame, ends: DataFrame) -> DataFrame:
     rule of the entity, so the ladder clears there; ticks have a null reason. An end at the second of a tick counts
     before it, and takes the tick's place where the rule isn't true again at once.
     """
-    kinds = outcomes.groupBy(*RULE).agg(*(F.first(c).alias(c) for c in ("grp", "severity", "confirm", "clear")))
+    held = [c for c in ("grp", "severity", "confirm", "clear", "notify_recovery") if c in outcomes.columns]
+    kinds = outcomes.groupBy(*RULE).agg(*(F.first(c).alias(c) for c in held))
     rows = kinds.join(ends.select("monitor", "entity_id", "ts", "reason"), ["monitor", "entity_id"]).withColumn("outcome", F.lit("unknown"))
     both = outcomes.withColumn("reason", F.lit(None).cast("string")).unionByName(rows)
     ended = F.col("reason").isNotNull()
@@ -60,7 +62,7 @@ def superseded_ends(entities: DataFrame, versions: DataFrame) -> DataFrame:
     order = W.partitionBy("monitor").orderBy("ts")
     rows = versions.withColumn("_was", F.lag("content_hash").over(order)).withColumn("_nth", F.row_number().over(order))
     changes = rows.where((F.col("_nth") > 1) & ~F.col("content_hash").eqNullSafe(F.col("_was"))).select("monitor", "ts")
-    return entities.select("monitor", "entity_id").distinct().join(changes, "monitor").select("monitor", "entity_id", "ts", F.lit("superseded").alias("reason"))
+    return entities.select("monitor", "entity_id").distinct().join(changes, "monitor").select("monitor", "entity_id", "ts", F.lit(SUPERSEDED).alias("reason"))
 
 
 def cleared_by(transitions: DataFrame, ends: DataFrame) -> DataFrame:
@@ -121,10 +123,12 @@ def gone(samples: DataFrame, now: int, grace: int = GONE_AFTER) -> DataFrame:
     return rows.where(late).select("monitor", "entity_id", F.col("ts").alias("last_seen"), (F.col("ts") + grace + 1).alias("gone_ts"), "back_ts")
 
 
-def step(state: dict, now: int, severity: int, owner_true: bool, acked: bool = False) -> list[tuple[str, int]]:
+def step(state: dict, now: int, severity: int, owner_true: bool, acked: bool = False, reason: str | None = None, tells: bool = True) -> list[tuple[str, int]]:
     """One tick of a group: notifications (kind, severity). ``severity`` is the greatest confirmed one, -1 for none.
 
-    ``state`` is empty before the first tick. Pure: no clock, so batch and streaming share it.
+    A clear tells of the recovery, unless its ``reason`` is that the definition was replaced, or the rule that owned the
+    incident doesn't tell (``tells``: the owner's notify_recovery). ``state`` is empty before the first tick. Pure: no
+    clock, so batch and streaming share it.
     """
     out: list[tuple[str, int]] = []
     opened = state.get("severity", -1)
@@ -136,7 +140,8 @@ def step(state: dict, now: int, severity: int, owner_true: bool, acked: bool = F
     elif opened >= 0 > severity:
         state["clears"] = [*state.get("clears", []), now][-5:]
         state["severity"] = -1
-        out.append(("recover", 0))
+        if reason != SUPERSEDED and state.get("tells", True):
+            out.append(("recover", 0))
     elif opened >= 0:
         state["acked"] = state["acked"] or acked
         if severity > opened:
@@ -149,11 +154,14 @@ def step(state: dict, now: int, severity: int, owner_true: bool, acked: bool = F
             if owner_true and not state["acked"] and max(0, now - state["last"]) >= wait:
                 state.update(last=now, tier=state["tier"] + 1)
                 out.append(("renotify", severity))
+    if severity >= 0:
+        state["tells"] = tells
     return out
 
 
 def notifications(levels: DataFrame, acks: DataFrame | None = None) -> DataFrame:
-    """levels: (monitor, entity_id, grp, ts, severity, owner_true), a row a tick. Notifications with backoff.
+    """levels: (monitor, entity_id, grp, ts, severity, owner_true), a row a tick; of clears the reason, of levels whether their
+    rule tells of a recovery (tells), where they have these columns. Notifications with backoff.
 
     acks: (monitor, entity_id, grp, ts); one takes effect at the first tick at or after it, if an incident is open then.
 
@@ -168,13 +176,13 @@ def notifications(levels: DataFrame, acks: DataFrame | None = None) -> DataFrame
             for r in pdf.itertuples(index=False):
                 if (r.monitor, r.entity_id, r.grp) != key:
                     key, state = (r.monitor, r.entity_id, r.grp), {}
-                out += [(*key, r.ts, *n) for n in step(state, r.ts, r.severity, r.owner_true, r.acked)]
+                out += [(*key, r.ts, *n) for n in step(state, r.ts, r.severity, r.owner_true, r.acked, r.reason, r.tells)]
             yield pd.DataFrame(out, columns=[*GROUP, "ts", "kind", "severity"])
 
-    rows = levels.select(*GROUP, "ts", "severity", "owner_true").withColumn("acked", F.lit(False))
+    rows = with_defaults(levels).withColumn("acked", F.lit(False))
     if acks is not None:
         null = F.lit(None)
-        given = acks.select(*GROUP, "ts", null.cast("int").alias("severity"), null.cast("boolean").alias("owner_true"), F.lit(True).alias("acked"))
+        given = acks.select(*GROUP, "ts", null.cast("int").alias("severity"), null.cast("boolean").alias("owner_true"), null.cast("string").alias("reason"), F.lit(True).alias("tells"), F.lit(True).alias("acked"))
         order = W.partitionBy(*GROUP).orderBy("ts", F.col("severity").isNotNull())
         both = rows.unionByName(given).withColumn("_acks", F.count_if("acked").over(order.rowsBetween(W.unboundedPreceding, 0)))
         ticks = both.where("severity is not null")
@@ -183,10 +191,20 @@ def notifications(levels: DataFrame, acks: DataFrame | None = None) -> DataFrame
     return dealt.mapInPandas(work, "monitor string, entity_id string, grp string, ts long, kind string, severity int")
 
 
+def with_defaults(levels: DataFrame) -> DataFrame:
+    """The columns of levels, those of clears and recoveries too."""
+    own = {"reason": F.lit(None).cast("string"), "tells": F.lit(True)}
+    return levels.select(*GROUP, "ts", "severity", "owner_true", *(F.col(c) if c in levels.columns else d.alias(c) for c, d in own.items()))
+
+
 def levels(states: DataFrame) -> DataFrame:
-    """The tick-wise greatest confirmed severity of each group, and whether a rule of that severity is true now."""
-    top = F.max(F.when(F.col("confirmed"), F.struct("severity", (F.col("outcome") == "true").alias("true"))))
-    return states.groupBy(*GROUP, "ts").agg(top.alias("t")).select(*GROUP, "ts", F.coalesce("t.severity", F.lit(-1)).alias("severity"), F.coalesce("t.true", F.lit(False)).alias("owner_true"))
+    """The tick-wise greatest confirmed severity of each group, whether a rule of that severity is true now, why the group ended
+    there (the reason of :func:`with_ends`, else null) and whether its rule tells of a recovery (column notify_recovery, else true)."""
+    tells = F.col("notify_recovery") if "notify_recovery" in states.columns else F.lit(True)
+    reason = F.max("reason") if "reason" in states.columns else F.lit(None).cast("string")
+    top = F.max(F.when(F.col("confirmed"), F.struct("severity", (F.col("outcome") == "true").alias("true"), tells.alias("tells"))))
+    rows = states.groupBy(*GROUP, "ts").agg(top.alias("t"), reason.alias("reason"))
+    return rows.select(*GROUP, "ts", F.coalesce("t.severity", F.lit(-1)).alias("severity"), F.coalesce("t.true", F.lit(False)).alias("owner_true"), "reason", F.coalesce("t.tells", F.lit(True)).alias("tells"))
 
 
 def histories(transitions: DataFrame) -> DataFrame:

@@ -68,3 +68,31 @@ def with_baseline(samples: DataFrame, history: DataFrame) -> DataFrame:
     order = W.partitionBy(*SERIES).orderBy("ts", "_sample").rowsBetween(W.unboundedPreceding, 0)
     both = known.unionByName(rows).withColumn("baseline", F.last("_b", ignorenulls=True).over(order)["level"])
     return both.where("_sample = 1").select(*SERIES, "ts", "value", "baseline")
+
+
+def baselines_back(current: DataFrame, fives: DataFrame, start: int, end: int) -> DataFrame:
+    """Earlier levels of baselines from the present ones, by the recurrence turned round: level before = (level - a * mean) / (1 - a).
+
+    current: (series, bucket, level, updates, half_life), the present state of each; fives: the five-minute rows that are
+    kept. Rows (series, bucket, level, truncated) with start <= bucket <= end; truncated where the rows don't reach back to
+    ``start`` and not to the first update either. Without the present bucket's row only the present state is known.
+
+    With q = 1 - a, the level k buckets back is q ** -k * (level - a * sum of mean_j * q ** j for j < k): a running sum from the newest back.
+    """
+    q = F.pow(F.lit(2.0), -F.lit(float(FIVE)) / F.col("half_life"))
+    own = current.select(*SERIES, F.col("bucket").alias("_now"), F.col("level").alias("_level"), "updates", "half_life")
+    kept = fives.select(*SERIES, "bucket", "avg").join(own, SERIES, "right").where(F.col("bucket").isNull() | (F.col("bucket") <= F.col("_now")))
+    # the present state is a row even where its bucket's mean is gone
+    absent = own.join(fives.select(*SERIES, F.col("bucket").alias("_now")), [*SERIES, "_now"], "left_anti")
+    held = kept.where("bucket is not null").join(absent.select(*SERIES), SERIES, "left_anti")
+    alone = absent.select(*SERIES, F.col("_now").alias("bucket"), F.lit(None).cast("double").alias("avg"), "_now", "_level", "updates", "half_life")
+    back = W.partitionBy(*SERIES).orderBy(F.desc("bucket"))
+    rows = held.unionByName(alone).withColumn("_k", F.row_number().over(back) - 1).where(F.col("_k") < F.greatest("updates", F.lit(1)))
+    weighted = F.col("avg") * F.pow(q, F.col("_k").cast("double"))
+    before = F.coalesce(F.sum(weighted).over(back.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    rows = rows.withColumn("level", F.when(F.col("_k") == 0, F.col("_level")).otherwise((F.col("_level") - (1 - q) * before) / F.pow(q, F.col("_k").cast("double"))))
+    every = W.partitionBy(*SERIES)
+    seed = F.max("_k").over(every) + 1 >= F.col("updates")
+    first = -(-start // FIVE) * FIVE
+    rows = rows.withColumn("truncated", (F.min("bucket").over(every) > first) & ~seed)
+    return rows.where(F.col("bucket").between(start, end)).select(*SERIES, "bucket", "level", "truncated")

@@ -76,7 +76,7 @@ def evaluate(ticks: DataFrame, definition: Definition, history: DataFrame | None
 
 def outcomes(evaluated: DataFrame, definition: Definition) -> DataFrame:
     """Tall: a row for each tick and rule of entities that aren't exempt."""
-    each = [F.struct(F.lit(r.name).alias("rule"), F.lit(r.group).alias("grp"), F.lit(r.severity).alias("severity"), F.lit(r.confirm).alias("confirm"), F.lit(r.clear).alias("clear"), F.col(f"`rule:{r.name}`").alias("outcome")) for r in definition.rules]
+    each = [F.struct(F.lit(r.name).alias("rule"), F.lit(r.group).alias("grp"), F.lit(r.severity).alias("severity"), F.lit(r.confirm).alias("confirm"), F.lit(r.clear).alias("clear"), F.lit(r.notify_recovery).alias("notify_recovery"), F.col(f"`rule:{r.name}`").alias("outcome")) for r in definition.rules]
     return evaluated.where("not exempt").select("monitor", "entity_id", "ts", F.explode(F.array(*each)).alias("r")).select("monitor", "entity_id", "ts", "r.*")
 
 

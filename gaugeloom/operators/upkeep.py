@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gaugeloom.functions.scalar import during, severity_name
+
 DAY = 86400
 #: Seconds that rows are kept: of durable series, of others.
 KEEP = {"raw": (2 * DAY, 2 * DAY), "5m": (30 * DAY, 7 * DAY), "1h": (400 * DAY, 90 * DAY), "events": (30 * DAY, 30 * DAY)}
@@ -94,20 +96,33 @@ def next_attempt(ts: Column, attempts: Column, retry_after: Column, created: Col
 
 
 def quiet(ts: Column, window: str) -> Column:
-    from gaugeloom.functions.scalar import during
-
     return during(ts, window)
 
 
+#: Characters of a notification's body.
+BODY = 200
+
+
 def digest(deliveries: DataFrame, window: str) -> DataFrame:
-    """One digest a channel and night (by the day on which its quiet hours begin) of what they hold back: severities up to
-    warning, all titles by time."""
+    """deliveries: (channel, notification_id, ts, severity, title). One digest a night (by the day on which its quiet hours begin)
+    of what they hold back, severities up to warning, for all channels that any of it is for: day, n (notifications, each once),
+    severity (the worst), title, body (the worst severity's name and the titles by time, cut like any body), channels.
+    """
     held = deliveries.where(quiet(F.col("ts"), window) & (F.col("severity") <= 2))
     begins = (int(window[:2]) * 60 + int(window[3:5])) * 60
-    night = F.floor((F.col("ts") - begins) / DAY).alias("day")
-    by_time = F.array_sort(F.collect_list(F.struct("ts", "notification_id", "title")))  # one channel's notes of one night
-    titles = F.array_join(F.transform(by_time, lambda x: x["title"]), "; ")
-    return held.groupBy("channel", night).agg(F.count("*").alias("n"), F.max("severity").alias("severity"), titles.alias("titles"))
+    held = held.withColumn("day", F.floor((F.col("ts") - begins) / DAY))
+    notes = held.groupBy("day", "notification_id").agg(F.min("ts").alias("ts"), F.max("severity").alias("severity"), F.min("title").alias("title"))
+    nights = notes.groupBy("day").agg(F.count("*").alias("n"), F.max("severity").alias("severity"))
+    # each title takes two characters of the body at least, so later ones can't stand in it
+    nth = F.row_number().over(W.partitionBy("day").orderBy("ts", "notification_id"))
+    first = notes.withColumn("_nth", nth).where(F.col("_nth") <= BODY // 2)
+    titles = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_nth", "title"))), lambda x: x["title"]), "; ")
+    shown = first.groupBy("day").agg(titles.alias("_titles"))
+    asked = held.groupBy("day").agg(F.array_sort(F.collect_set("channel")).alias("channels"))
+    rows = nights.join(shown, "day").join(asked, "day")
+    title = F.concat(F.col("n").cast("string"), F.lit(" notification(s) held during quiet hours"))
+    body = F.substring(F.concat(F.lit("worst: "), severity_name(F.col("severity")), F.lit(" — "), F.col("_titles")), 1, BODY)
+    return rows.select("day", "n", "severity", title.alias("title"), body.alias("body"), "channels")
 
 
 def backlog(deliveries: DataFrame, now: int, window: str) -> DataFrame:

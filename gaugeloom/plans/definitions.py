@@ -7,6 +7,7 @@ import json
 import tomllib
 from dataclasses import dataclass, field
 
+from gaugeloom.functions.scalar import SEVERITIES, TemplateError, template_parts
 from gaugeloom.plans.expression import Compiled, ExpressionError, Names, compile_expression, duration
 from gaugeloom.sources.samples import SOURCES
 
@@ -33,6 +34,8 @@ class Rule:
     confirm: int = 1
     clear: int = 1
     message: str = ""
+    notify_recovery: bool = True
+    action: str | None = None
 
 
 @dataclass(frozen=True)
@@ -67,7 +70,7 @@ class Definition:
 
 _TOP = {"schema", "monitor", "parameters", "source_options", "promotion", "derived", "exempt", "rule", "glance", "trend"}
 _MONITOR = {"name", "description", "version", "enabled", "platforms", "interval", "source"}
-_RULE = {"name", "when", "severity", "group", "confirm_cycles", "clear_cycles", "message"}
+_RULE = {"name", "when", "severity", "group", "confirm_cycles", "clear_cycles", "message", "notify_recovery", "action"}
 
 
 def load(text: str) -> Definition:
@@ -140,14 +143,20 @@ def load(text: str) -> Definition:
             bad(f"{path}.{key}", "unknown-key", "is not a part of a rule")
         check(f"{path}.when", r.get("when"))
         severity = r.get("severity")
-        from gaugeloom.functions.scalar import SEVERITIES
-
         if severity not in SEVERITIES:
             bad(f"{path}.severity", "severity", f"{severity!r} is none of {', '.join(SEVERITIES)}")
         for key in ("confirm_cycles", "clear_cycles"):
             if not isinstance(r.get(key, 1), int) or r.get(key, 1) < 1:
                 bad(f"{path}.{key}", "range", "is a whole number from 1")
-        rules.append(Rule(r.get("name", f"rule{i}"), r.get("when", ""), SEVERITIES.index(severity) if severity in SEVERITIES else 0, r.get("group", r.get("name", "")), r.get("confirm_cycles", 1), r.get("clear_cycles", 1), r.get("message", "")))
+        if not isinstance(r.get("notify_recovery", True), bool):
+            bad(f"{path}.notify_recovery", "type", "is true or false")
+        if not isinstance(r.get("action", ""), str):
+            bad(f"{path}.action", "type", "is the name of an action")
+        try:
+            template_parts(r.get("message", ""))
+        except TemplateError as e:
+            bad(f"{path}.message", "template", str(e))
+        rules.append(Rule(r.get("name", f"rule{i}"), r.get("when", ""), SEVERITIES.index(severity) if severity in SEVERITIES else 0, r.get("group", r.get("name", "")), r.get("confirm_cycles", 1), r.get("clear_cycles", 1), r.get("message", ""), r.get("notify_recovery", True), r.get("action")))
     if len({r.name for r in rules}) < len(rules):
         bad("rule", "duplicate", "names must differ")
     trends = []

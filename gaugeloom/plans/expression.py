@@ -36,7 +36,8 @@ def duration(text: str) -> float:
 
 @dataclass(frozen=True)
 class Names:
-    """What an expression may refer to: metrics (numbers in columns), attributes (texts in columns), parameters (values)."""
+    """What an expression may refer to: metrics (numbers in columns), attributes (in columns; texts, if ``kinds`` doesn't
+    name another type), parameters (values)."""
 
     metrics: frozenset[str] = frozenset()
     attrs: frozenset[str] = frozenset()
@@ -45,6 +46,7 @@ class Names:
     keys: tuple[str, ...] = series.KEYS
     #: The columns of metrics and attributes; by default their own names.
     columns: dict[str, str] = field(default_factory=dict)
+    kinds: dict[str, str] = field(default_factory=dict)
 
     def column(self, name: str) -> Column:
         return F.col(self.columns.get(name, f"`{name}`"))
@@ -134,7 +136,7 @@ class _Builder:
             self.metrics.add(node.id)
             return Typed(series.last(n.column(node.id), n.keys), "number")
         if node.id in n.attrs:
-            return Typed(n.column(node.id), "text")
+            return Typed(n.column(node.id), n.kinds.get(node.id, "text"))
         if node.id in n.params:
             return self._literal(n.params[node.id])
         if node.id in CONSTANTS:

@@ -109,8 +109,10 @@ def test_history_folds(spark):
     assert upkeep.fold_history(df, ["k"]).count() == 7
 
 
-def test_digest_names_all_titles(spark):
-    rows = [("mail", DAY + 60 * i, 1 + i % 2, f"title {i:02}") for i in range(45)] + [("mail", DAY, 3, "error"), ("mail", DAY + 43200, 1, "noon")]
-    got = upkeep.digest(spark.createDataFrame(rows, "channel string, ts long, severity int, title string"), "22:00-07:00").collect()
-    assert [(r.channel, r.day, r.n, r.severity) for r in got] == [("mail", 1, 45, 2)]
-    assert got[0].titles == ", ".join(f"title {i:02}" for i in range(45))
+def test_digest_is_one_a_night_for_all_channels(spark):
+    """Quiet hours from 22:00: what is held after midnight belongs to the day before."""
+    rows = [("mail", 100 + i, DAY + 60 * i, 1 + i % 2, f"title {i:02}") for i in range(45)] + [("file", 100, DAY, 1, "title 00"), ("mail", 1, DAY, 3, "error"), ("mail", 2, DAY + 43200, 1, "noon")]
+    got = upkeep.digest(spark.createDataFrame(rows, "channel string, notification_id long, ts long, severity int, title string"), "22:00-07:00").collect()
+    assert [(r.day, r.n, r.severity, r.channels) for r in got] == [(0, 45, 2, ["file", "mail"])]
+    whole = "worst: warning — " + "; ".join(f"title {i:02}" for i in range(45))
+    assert got[0].body == whole[:200] and got[0].title == "45 notification(s) held during quiet hours"
