@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gaugeloom.functions import running, scalar, series
 from gaugeloom.operators import desk, episodes, incidents, lookups, rollup, rules, store, stored, storms, upkeep
-from gaugeloom.plans.definitions import load
+from gaugeloom.plans.definitions import Trend, load
 from gaugeloom.plans.expression import Names, compile_expression
 from gaugeloom.sources import logs, samples
 
@@ -145,7 +145,7 @@ def win_delta_rate(spark, sf_dir):
     return running.with_window(points(spark, sf_dir), SIX_H).select("entity_id", "ts", r4(running.delta()).alias("delta"), r4(running.rate()).alias("rate"))
 
 
-@query(f"WITH {_S} SELECT entity_id, ts, CASE WHEN count(*) OVER w >= 3 THEN round(regr_slope(value, ts) OVER w * 3600 + 1e-7, 4) END AS slope_h FROM s {_W6}")
+@query(f"WITH {_S} SELECT entity_id, ts, CASE WHEN count(*) OVER w >= 3 THEN round(regr_slope(value, ts - 1704067200) OVER w * 3600 + 1e-7, 4) END AS slope_h FROM s {_W6}")
 def win_slope(spark, sf_dir):
     return running.with_window(points(spark, sf_dir), SIX_H).select("entity_id", "ts", r4(running.slope() * 3600).alias("slope_h"))
 
@@ -365,6 +365,35 @@ def flap_opens(spark, sf_dir):
     return incidents.flapping(incidents.ladder(_states(spark, sf_dir))).select("entity_id", "grp", "ts", "incident", "flapping")
 
 
+@query(
+    f"WITH {_LADDER}, q AS (SELECT *, ts // 500 AS fast FROM t), f AS (SELECT *, sum(CASE WHEN kind = 'clear' THEN 1 ELSE 0 END) OVER (PARTITION BY entity_id, grp ORDER BY fast RANGE BETWEEN 600 PRECEDING AND CURRENT ROW) AS clears FROM q) "
+    "SELECT entity_id, grp, fast AS ts, incident, clears, clears >= 3 AS flapping FROM f WHERE kind = 'open'"
+)
+def flap_squeezed(spark, sf_dir):
+    """Transitions 500 times as fast, so that some groups flap."""
+    faster = incidents.ladder(_states(spark, sf_dir)).withColumn("ts", F.floor(F.col("ts") / 500))
+    return incidents.flapping(faster).select("entity_id", "grp", "ts", "incident", "clears", "flapping")
+
+
+@query(
+    f"WITH {_LADDER}, h AS (SELECT entity_id, grp, incident, min(ts) AS opened_ts, max(CASE WHEN kind = 'clear' THEN ts END) AS cleared_ts, string_agg(kind, ',' ORDER BY ts) AS kinds FROM t GROUP BY ALL), "
+    f"{_L}, near AS (SELECT h.entity_id, h.grp, h.incident, l.id, row_number() OVER (PARTITION BY h.entity_id, h.grp, h.incident ORDER BY l.ts DESC, l.id DESC) AS nth FROM h JOIN l ON abs(l.ts - h.opened_ts) <= 600), "
+    "ev AS (SELECT entity_id, grp, incident, count(*) AS events, string_agg(id, ',' ORDER BY nth) AS ids FROM near WHERE nth <= 50 GROUP BY ALL), "
+    f"sm AS (SELECT h.entity_id, h.grp, h.incident, count(*) AS points, sum(s.value) AS total FROM h JOIN s ON s.entity_id = h.entity_id AND s.ts BETWEEN h.opened_ts - 1800 AND least({NOW}, coalesce(h.cleared_ts, {NOW}) + 1800) GROUP BY ALL) "
+    "SELECT h.entity_id, h.grp, h.incident, kinds, coalesce(events, 0) AS events, coalesce(ids, '') AS ids, least(coalesce(points, 0), 300) AS points, CASE WHEN points <= 300 THEN round(total + 1e-7, 4) END AS total "
+    "FROM h LEFT JOIN ev USING (entity_id, grp, incident) LEFT JOIN sm USING (entity_id, grp, incident)"
+)
+def incident_explained(spark, sf_dir):
+    transitions = incidents.ladder(_states(spark, sf_dir)).withColumn("monitor", F.lit("events"))
+    rows = desk.explain(incidents.summary(transitions), incidents.histories(transitions), log(spark, sf_dir), points(spark, sf_dir, "user_id"), NOW)
+    line = F.flatten(F.transform("series", lambda x: x["points"]))
+    total = F.aggregate(line, F.lit(0.0), lambda a, x: a + x["value"])
+    return rows.select(
+        "entity_id", "grp", "incident", F.array_join(F.transform("history", lambda x: x["kind"]), ",").alias("kinds"), F.size("related_events").alias("events"),
+        F.array_join(F.transform("related_events", lambda x: x["id"].cast("string")), ",").alias("ids"), F.size(line).alias("points"), F.when(F.size(line).between(1, 299), r4(total)).alias("total"),
+    )
+
+
 @query(
     f"WITH {_LADDER} SELECT entity_id, grp, incident, min(ts) AS opened_ts, max(CASE WHEN kind = 'clear' THEN ts END) AS cleared_ts, max(severity) AS peak_severity, count(*) AS changes, "
     "CASE WHEN max(CASE WHEN kind = 'clear' THEN ts END) IS NULL THEN 'open' ELSE 'cleared' END AS state FROM t GROUP BY ALL"
@@ -411,6 +440,16 @@ def adjacent_coalesce(spark, sf_dir):
     return episodes.coalesce_repeats(log(spark, sf_dir)).select("id", "provider", "repeat_count", "first_ts", "last_ts")
 
 
+@query(
+    f"WITH {_L}, k AS (SELECT *, CASE WHEN provider = lag(provider) OVER (ORDER BY id) THEN 0 ELSE 1 END AS new FROM l), g AS (SELECT *, sum(new) OVER (ORDER BY id) AS run FROM k) "
+    "SELECT min(id) AS id, any_value(provider) AS provider, count(*) AS repeat_count, min(ts) AS first_ts, max(ts) AS last_ts FROM g GROUP BY run"
+)
+def repeats_coalesced(spark, sf_dir):
+    """Events that say no more than their provider, so that neighbours are alike; ranges of 500 ids."""
+    rows = log(spark, sf_dir).withColumns({"event_id": F.lit(None).cast("string"), "message": F.col("provider")})
+    return episodes.coalesce_repeats(rows, 500).select("id", "provider", "repeat_count", "first_ts", "last_ts")
+
+
 @query(f"WITH {_L} SELECT id, ts // 86400 * 86400 AS day, row_number() OVER (PARTITION BY provider, ts // 60 ORDER BY id) <= 1 AS stored FROM l")
 def storm_guard(spark, sf_dir):
     return episodes.storm_guard(log(spark, sf_dir), 1).select("id", (F.floor(F.col("ts") / 86400) * 86400).alias("day"), "stored")
@@ -485,6 +524,22 @@ def reap_anti(spark, sf_dir):
     return upkeep.reap(upkeep.lifecycle(p, NOW, 43200), upkeep.prune(p, "raw", NOW), live).select("entity_id")
 
 
+@query(f"WITH {_SU} SELECT DISTINCT entity_id FROM s e WHERE CAST(entity_id AS BIGINT) % 3 > 0 AND NOT EXISTS (SELECT 1 FROM s WHERE s.entity_id = e.entity_id AND s.ts >= {NOW} - 172800 AND s.value < 10) AND NOT EXISTS (SELECT 1 FROM s WHERE s.entity_id = e.entity_id AND s.value > 99)")
+def reap_some(spark, sf_dir):
+    """Entities of which two in three are gone; of the last two days' observations the low ones are left."""
+    p = points(spark, sf_dir, "user_id")
+    live = p.where("value > 99").select("monitor", "entity_id", F.lit("open").alias("state")).distinct()
+    seen = upkeep.lifecycle(p, NOW, 43200).withColumn("gone_ts", F.when(F.col("entity_id").cast("long") % 3 > 0, F.col("last_seen") + 1))
+    return upkeep.reap(seen, upkeep.prune(p.where("value < 10"), "raw", NOW), live).select("entity_id")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey % 41 = 0 OR NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey)")
+def orphans_moved(spark, sf_dir):
+    """Orders of which some name a customer that there isn't."""
+    moved = F.when(F.col("o_orderkey") % 41 == 0, -1 - F.col("o_custkey")).otherwise(F.col("o_custkey")).alias("c_custkey")
+    return upkeep.orphans(table(spark, sf_dir, "orders").select("o_orderkey", moved), table(spark, sf_dir, "customer"), ["c_custkey"]).select("o_orderkey")
+
+
 @query("SELECT c.c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
 def orphans(spark, sf_dir):
     parents = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
@@ -602,7 +657,7 @@ def runs(spark, sf_dir):
 
 
 @query(
-    f"WITH {_S}, g AS (SELECT entity_id, ts, CASE WHEN count(*) OVER w >= 3 THEN regr_slope(value, ts) OVER w * 3600 END AS rate, 100 - value AS remaining FROM s {_W6}) "
+    f"WITH {_S}, g AS (SELECT entity_id, ts, CASE WHEN count(*) OVER w >= 3 THEN regr_slope(value, ts - 1704067200) OVER w * 3600 END AS rate, 100 - value AS remaining FROM s {_W6}) "
     "SELECT entity_id, ts, round(CASE WHEN rate > 0.5 THEN remaining / rate END + 1e-7, 4) AS hours FROM g WHERE rate IS NOT NULL"
 )
 def trend_projection(spark, sf_dir):
@@ -613,6 +668,31 @@ def trend_projection(spark, sf_dir):
     return store.projection(rate, left).select("entity_id", "ts", r4("hours").alias("hours"))
 
 
+@query(
+    f"WITH {_R1} SELECT entity_id, '1h' AS tier, hour AS ts, round(avg + 1e-7, 4) AS value, min AS lower, max AS upper, FALSE AS downsampled FROM r1 WHERE hour BETWEEN {NOW - 20 * 86400} AND {NOW}"
+)
+def series_answer(spark, sf_dir):
+    p = points(spark, sf_dir)
+    fives = rollup.rollup_5m(p)
+    rows = store.answer(p, fives, rollup.rollup_1h(fives), "events", "value", NOW - 20 * 86400, NOW, NOW, False)
+    return rows.withColumn("value", r4("value"))
+
+
+@query(
+    f"WITH {_R1}, p AS (SELECT entity_id, hour AS ts, avg, avg - lag(avg) OVER (PARTITION BY entity_id ORDER BY hour) AS rate FROM r1), q AS (SELECT * FROM p WHERE ts BETWEEN {NOW - 20 * 86400} AND {NOW}), "
+    "a AS (SELECT entity_id, 'value' AS panel, ts, avg AS value FROM q UNION ALL SELECT entity_id, 'rate', ts, rate FROM q WHERE rate IS NOT NULL UNION ALL SELECT entity_id, 'remaining', ts, 100 - avg FROM q "
+    "UNION ALL SELECT entity_id, 'projection', ts, CASE WHEN rate > 0 THEN (100 - avg) / rate END FROM q WHERE rate IS NOT NULL) SELECT entity_id, panel, ts, round(value + 1e-7, 4) AS value FROM a"
+)
+def trend_panels(spark, sf_dir):
+    fives = rollup.rollup_5m(points(spark, sf_dir))
+    hours = rollup.rollup_1h(fives)
+    rise = F.col("avg") - F.lag("avg").over(W.partitionBy("monitor", "entity_id").orderBy("bucket"))
+    as_metric = lambda name, v: hours.select("monitor", "entity_id", F.lit(name).alias("metric"), "bucket", v.alias("avg"), v.alias("min"), v.alias("max"))
+    both = as_metric("value", F.col("avg")).unionByName(as_metric("left", 100 - F.col("avg"))).unionByName(as_metric("rate", rise).where("avg is not null"))
+    profile = Trend("t", "value", "rate", "left")
+    return store.trend(points(spark, sf_dir), fives, both, "events", profile, NOW - 20 * 86400, NOW, NOW, False).select("entity_id", "panel", "ts", r4("value").alias("value"))
+
+
 @query(f"WITH {_R1} SELECT entity_id, hour AS ts, min, max FROM r1 QUALIFY hour = max(hour) OVER (PARTITION BY entity_id, hour // 86400)")
 def envelope(spark, sf_dir):
     hours = rollup.rollup_1h(rollup.rollup_5m(points(spark, sf_dir))).withColumnRenamed("bucket", "ts")
@@ -1180,6 +1260,17 @@ def integrity(spark, sf_dir):
     return desk.orphan_counts({t: table(spark, sf_dir, t) for t in ("customer", "events", "orders")}, links)
 
 
+@query(
+    "SELECT 'orders' AS \"table\", count(*) FILTER (WHERE o_custkey % 10 = 0) AS orphans FROM orders UNION ALL SELECT 'events', count(*) FILTER (WHERE user_id % 10 = 0 OR user_id NOT IN (SELECT c_custkey FROM customer)) FROM events "
+    "UNION ALL SELECT 'customer', 0"
+)
+def integrity_broken(spark, sf_dir):
+    """Every tenth customer is lost; the customers that are left know no parent but themselves."""
+    left = table(spark, sf_dir, "customer").where("c_custkey % 10 <> 0")
+    tables = {"customer": left, "orders": table(spark, sf_dir, "orders"), "events": table(spark, sf_dir, "events")}
+    return desk.orphan_counts(tables, [("orders", "o_custkey", "customer", "c_custkey"), ("events", "user_id", "customer", "c_custkey"), ("customer", "c_custkey", "customer", "c_custkey")])
+
+
 _DECLARED = ", ".join(f"('events', '{m}')" for m in sorted(samples.SOURCES["disk"].metrics))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gaugeloom.operators.store import SERIES
+from gaugeloom.operators.store import SERIES, downsample
 from gaugeloom.plans.definitions import Definition
 from gaugeloom.plans.expression import ExpressionError, Names, compile_expression, duration
 
@@ -104,6 +104,47 @@ def incident_samples(incidents: DataFrame, samples: DataFrame, now: int) -> Data
     return rows.where(F.col("ts").between(F.col("_from"), F.col("_to"))).drop("_day", "_from", "_to")
 
 
+#: Seconds around an opening whose events belong to it, and how many are shown; metrics of an entity and points of each.
+AROUND, SHOWN_EVENTS, SHOWN_METRICS, SHOWN_POINTS = 600, 50, 8, 300
+#: Incidents that are explained by sending them to the tasks that hold events.
+FEW_INCIDENTS = 1000
+
+
+def explain(chosen: DataFrame, history: DataFrame, log: DataFrame, samples: DataFrame, now: int) -> DataFrame:
+    """All that explains each chosen incident in one row: its columns, and
+    history: array of (seq, ts, kind) in order; related_events: the newest events around its opening; series: the
+    first metrics of its entity by name, each with its points (ts, value) from half an hour before it to half an hour behind it.
+
+    chosen and history share monitor, entity_id, grp and incident; chosen has opened_ts and cleared_ts. Lists that are longer than
+    what is shown are cut as a page is; a longer series is downsampled.
+    """
+    key = ["monitor", "entity_id", "grp", "incident"]
+    own = history.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("seq", "ts", "kind"))).alias("history"))
+    at = chosen.select(*key, "opened_ts")
+    events = log.select("id", "ts", "provider", "severity", "message")
+    near = F.abs(F.col("ts") - F.col("opened_ts")) <= AROUND
+    if chosen.count() <= FEW_INCIDENTS:
+        met = events.join(F.broadcast(at), near)
+    else:  # the bucket of the opening and its neighbours
+        cut = at.withColumn("_b", F.explode(F.array(*(F.floor(F.col("opened_ts") / AROUND) + d for d in (-1, 0, 1)))))
+        met = events.withColumn("_b", F.floor(F.col("ts") / AROUND)).join(cut, "_b").where(near)
+    newest = W.partitionBy(*key).orderBy(F.desc("ts"), F.desc("id"))
+    event = F.struct("ts", "id", "provider", "severity", "message")
+    around = met.withColumn("_nth", F.row_number().over(newest)).where(F.col("_nth") <= SHOWN_EVENTS)
+    around = around.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_nth", event.alias("e")))), lambda x: x["e"]).alias("related_events"))
+    points = incident_samples(chosen.select(*key, "opened_ts", "cleared_ts"), samples, now)
+    of_metric = points.groupBy(*key, "metric").agg(F.count("*").alias("_n"))
+    first = of_metric.withColumn("_nth", F.row_number().over(W.partitionBy(*key).orderBy("metric"))).where(F.col("_nth") <= SHOWN_METRICS)
+    kept = points.join(first.select(*key, "metric", "_n"), [*key, "metric"])
+    long = downsample(kept.where(F.col("_n") > SHOWN_POINTS).select(*key, "metric", "ts", "value"), SHOWN_POINTS, [*key, "metric"])
+    shown = kept.where(F.col("_n") <= SHOWN_POINTS).select(*key, "metric", "ts", "value").unionByName(long)
+    lines = shown.groupBy(*key, "metric").agg(F.array_sort(F.collect_list(F.struct("ts", "value"))).alias("points"))
+    lines = lines.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("metric", "points"))).alias("series"))
+    rows = chosen.join(own, key, "left").join(around, key, "left").join(lines, key, "left")
+    empty = {c: F.coalesce(F.col(c), F.array().cast(rows.schema[c].dataType)) for c in ("history", "related_events", "series")}
+    return rows.withColumns(empty)
+
+
 def plugin_results(samples: DataFrame, entities: DataFrame, now: int) -> DataFrame:
     """The last result of each check: plugin_state, with plugin_ok and duration_s of the same second and the message among
     the entity's attributes. Checks whose newest state lacks one of them have no row."""

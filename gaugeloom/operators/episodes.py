@@ -20,15 +20,29 @@ def store_filter(log: DataFrame, matched: Column, least_severity: int = 1) -> Da
     return log.where((F.col("severity") >= least_severity) | F.coalesce(matched, F.lit(False)) | (F.col("source") == "self"))
 
 
-def coalesce_repeats(log: DataFrame) -> DataFrame:
-    """Neighbours (by ingest order, within a source) that say the same become one row: repeat_count, first_ts, last_ts."""
-    order = W.partitionBy("source").orderBy("id")
-    same = F.lit(True)
-    for c in SAME[1:]:
-        same = same & F.col(c).eqNullSafe(F.lag(c).over(order))
-    new = F.when(F.lag("id").over(order).isNotNull() & same, 0).otherwise(1)
-    rows = log.withColumn("_new", new).withColumn("_run", F.sum("_new").over(order))
-    return rows.groupBy("source", "_run").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in SAME[1:]), F.count("*").alias("repeat_count"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")).drop("_run")
+def coalesce_repeats(log: DataFrame, span: int = 100_000) -> DataFrame:
+    """Neighbours (by ingest order, within a source) that say the same become one row: repeat_count, first_ts, last_ts.
+
+    A source is cut into ranges of ``span`` ids, each of which is looked at alone; then the first row of a range is held
+    against the last one of the range before, and runs are numbered on from range to range.
+    """
+    part = ["source", "_range"]
+    order = W.partitionBy(*part).orderBy("id")
+    what = F.struct(*SAME[1:])
+    rows = log.select("source", "id", "ts", *(c for c in SAME if c != "source")).withColumn("_range", F.floor(F.col("id") / span))
+    rows = rows.withColumns({"_what": what, "_before": F.lag(what).over(order), "_nth": F.row_number().over(order)})
+    own = F.when((F.col("_nth") > 1) & F.col("_what").eqNullSafe(F.col("_before")), 0).when(F.col("_nth") > 1, 1)
+    rows = rows.withColumn("_new", own)
+    # a row a range: how many runs begin in it, and whether its first row goes on with the run before it
+    each = rows.groupBy(*part).agg(F.sum(F.coalesce("_new", F.lit(0))).alias("_runs"), F.min_by("_what", "id").alias("_head"), F.max_by("_what", "id").alias("_tail"))
+    ranges = W.partitionBy("source").orderBy("_range")
+    tail = F.lag(F.struct("_tail")).over(ranges)
+    each = each.withColumn("_starts", F.when(tail.isNotNull() & F.col("_head").eqNullSafe(tail["_tail"]), 0).otherwise(1))
+    upto = F.sum(F.col("_runs") + F.col("_starts")).over(ranges)
+    each = each.select(*part, "_starts", (upto - F.col("_runs") - F.col("_starts")).alias("_so_far"))
+    numbered = rows.join(each, part).withColumn("_run", F.col("_so_far") + F.sum(F.coalesce("_new", F.col("_starts"))).over(order))
+    firsts = [F.first(c).alias(c) for c in SAME[1:]]  # alike in a run
+    return numbered.groupBy("source", "_run").agg(F.min("id").alias("id"), *firsts, F.count("*").alias("repeat_count"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")).drop("_run")
 
 
 def storm_guard(log: DataFrame, limit: int = STORM) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gaugeloom.plans.definitions import Trend
+
 SERIES = ["monitor", "entity_id", "metric"]
 DAY = 86400
 MAX_ENTITIES, MAX_POINTS, MAX_TOTAL = 50, 2000, 10_000
@@ -33,6 +35,52 @@ def series(samples: DataFrame, fives: DataFrame, hours: DataFrame, monitor: str,
     return rows.select("entity_id", "ts", F.col("v").alias("value"), F.lit(which).alias("tier"))
 
 
+def answer(
+    samples: DataFrame, fives: DataFrame, hours: DataFrame, monitor: str, metric: str, start: int, end: int, now: int, durable: bool | None, statistic: str = "avg", max_points: int = 2000
+) -> DataFrame:
+    """A metric over a range as a chart needs it: (entity_id, tier, ts, value, lower, upper, downsampled).
+
+    Points come from the tier that holds the range. Entities with more than ``max_points`` are downsampled by the chosen statistic;
+    lower and upper are the tier's extremes at the points that are left.
+    """
+    if statistic not in ("avg", "min", "max", "last"):
+        raise ValueError("statistic must be avg, min, max or last")
+    line = series(samples, fives, hours, monitor, metric, start, end, now, durable, statistic).where("value is not null")
+    which = tier(start, end, now, durable)
+    held = samples.select("monitor", "entity_id", "metric", "ts", F.col("value").alias("lower"), F.col("value").alias("upper"))
+    if which != "raw":
+        held = (fives if which == "5m" else hours).select("monitor", "entity_id", "metric", F.col("bucket").alias("ts"), F.col("min").alias("lower"), F.col("max").alias("upper"))
+    held = held.where((F.col("monitor") == monitor) & (F.col("metric") == metric) & F.col("ts").between(start, end)).drop("monitor", "metric")
+    many = line.groupBy("entity_id").agg((F.count("*") > max_points).alias("downsampled"))
+    line = line.join(many, "entity_id")
+    cut = downsample(line.where("downsampled").select("entity_id", "ts", "value"), max_points).withColumn("downsampled", F.lit(True))
+    shown = line.where("not downsampled").select("entity_id", "ts", "value", "downsampled").unionByName(cut)
+    return shown.join(held, ["entity_id", "ts"], "left").select("entity_id", F.lit(which).alias("tier"), "ts", "value", "lower", "upper", "downsampled")
+
+
+def trend(
+    samples: DataFrame, fives: DataFrame, hours: DataFrame, monitor: str, profile: Trend, start: int, end: int, now: int, durable: bool | None, max_points: int = 2000
+) -> DataFrame:
+    """A declared trend's panels in one table: (entity_id, panel, tier, ts, value, lower, upper, downsampled), panel 'value', 'rate',
+    'confidence', 'remaining' or 'projection'.
+
+    The projection is hours until what remains is used up, from all points of rate and remaining (not the downsampled ones), null
+    where the rate isn't above 0 or the confidence is below the trend's least.
+    """
+    part = lambda metric: series(samples, fives, hours, monitor, metric, start, end, now, durable)
+    panels = [(n, m) for n, m in (("value", profile.value), ("rate", profile.rate), ("confidence", profile.confidence), ("remaining", profile.remaining)) if m]
+    made = [answer(samples, fives, hours, monitor, m, start, end, now, durable, max_points=max_points).withColumn("panel", F.lit(n)) for n, m in panels]
+    if profile.rate and profile.remaining:
+        hours_left = projection(part(profile.rate), part(profile.remaining), part(profile.confidence) if profile.confidence else None, profile.least_confidence)
+        line = hours_left.select("entity_id", F.lit(tier(start, end, now, durable)).alias("tier"), "ts", F.col("hours").alias("value"))
+        none = F.lit(None).cast("double")
+        made.append(line.select("*", none.alias("lower"), none.alias("upper"), F.lit(False).alias("downsampled"), F.lit("projection").alias("panel")))
+    out = made[0]
+    for rows in made[1:]:
+        out = out.unionByName(rows)
+    return out.select("entity_id", "panel", "tier", "ts", "value", "lower", "upper", "downsampled")
+
+
 def lttb(ts: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
     """The places of the n points kept by largest-triangle downsampling; both ends are."""
     size = len(ts)
