@@ -366,7 +366,7 @@ def flap_opens(spark, sf_dir):
 
 
 @query(
-    f"WITH {_LADDER}, q AS (SELECT *, ts // 500 AS fast FROM t), f AS (SELECT *, sum(CASE WHEN kind = 'clear' THEN 1 ELSE 0 END) OVER (PARTITION BY entity_id, grp ORDER BY fast RANGE BETWEEN 600 PRECEDING AND CURRENT ROW) AS clears FROM q) "
+    f"WITH {_LADDER}, q AS (SELECT *, ts // 500 AS fast FROM t), f AS (SELECT *, sum(CASE WHEN kind = 'clear' THEN 1 ELSE 0 END) OVER (PARTITION BY entity_id, grp ORDER BY fast RANGE BETWEEN 600 PRECEDING AND CURRENT ROW)::BIGINT AS clears FROM q) "
     "SELECT entity_id, grp, fast AS ts, incident, clears, clears >= 3 AS flapping FROM f WHERE kind = 'open'"
 )
 def flap_squeezed(spark, sf_dir):
@@ -524,11 +524,11 @@ def reap_anti(spark, sf_dir):
     return upkeep.reap(upkeep.lifecycle(p, NOW, 43200), upkeep.prune(p, "raw", NOW), live).select("entity_id")
 
 
-@query(f"WITH {_SU} SELECT DISTINCT entity_id FROM s e WHERE CAST(entity_id AS BIGINT) % 3 > 0 AND NOT EXISTS (SELECT 1 FROM s WHERE s.entity_id = e.entity_id AND s.ts >= {NOW} - 172800 AND s.value < 10) AND NOT EXISTS (SELECT 1 FROM s WHERE s.entity_id = e.entity_id AND s.value > 99)")
+@query(f"WITH {_SU} SELECT DISTINCT entity_id FROM s e WHERE CAST(entity_id AS BIGINT) % 3 > 0 AND NOT EXISTS (SELECT 1 FROM s WHERE s.entity_id = e.entity_id AND s.ts >= {NOW} - 172800 AND s.value < 10) AND NOT EXISTS (SELECT 1 FROM s WHERE s.entity_id = e.entity_id AND s.value > 300)")
 def reap_some(spark, sf_dir):
     """Entities of which two in three are gone; of the last two days' observations the low ones are left."""
     p = points(spark, sf_dir, "user_id")
-    live = p.where("value > 99").select("monitor", "entity_id", F.lit("open").alias("state")).distinct()
+    live = p.where("value > 300").select("monitor", "entity_id", F.lit("open").alias("state")).distinct()
     seen = upkeep.lifecycle(p, NOW, 43200).withColumn("gone_ts", F.when(F.col("entity_id").cast("long") % 3 > 0, F.col("last_seen") + 1))
     return upkeep.reap(seen, upkeep.prune(p.where("value < 10"), "raw", NOW), live).select("entity_id")
 
