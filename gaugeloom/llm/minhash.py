@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gaugeloom.llm.components import link
@@ -123,6 +124,38 @@ def _similar(percent: int):
     return check
 
 
+def _numbered(classes: DataFrame, sigs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Classes with a number of their own each; and the doc_ids that several sets share, None where there is none.
+
+    A class's number is its least doc_id. Where that is another class's too, all but the one of the least set take numbers
+    below all doc_ids; ``least`` is the doc_id then.
+    """
+    sets = sigs.where("n_shingles > 0 and doc_id is not null").select("doc_id", "n_shingles", "set_a", "set_b")
+    least = F.struct("n_shingles", "set_a", "set_b")
+    repeated = save(sets.groupBy("doc_id").agg((F.min(least) != F.max(least)).alias("_several")).where("_several").select("doc_id"))
+    if not repeated.count():
+        return classes, None
+    order = W.partitionBy("id").orderBy("n_shingles", "set_a", "set_b")  # the texts of one doc_id
+    nth = classes.join(repeated, classes.id == repeated.doc_id, "left_semi").select("n_shingles", "set_a", "set_b", "id", F.row_number().over(order).alias("_nth")).where("_nth > 1")
+    floor = sets.agg(F.min("doc_id")).first()[0]
+    # numbers in the order of a saved table: no two alike, and the same in each run of a task
+    moved = save(nth.select("n_shingles", "set_a", "set_b", (F.lit(floor) - 1 - F.monotonically_increasing_id()).alias("_id")))
+    return save(classes.join(moved, ["n_shingles", "set_a", "set_b"], "left").withColumn("least", F.col("id")).withColumn("id", F.coalesce("_id", "id")).drop("_id")), repeated
+
+
+def _texts(docs: DataFrame, sigs: DataFrame, classes: DataFrame, members: DataFrame, repeated: DataFrame | None) -> DataFrame:
+    """(doc_id, text): a text of each class of ``members``, under the class's number."""
+    if repeated is None:
+        return docs.join(members, docs.doc_id == members.id, "left_semi").dropDuplicates(["doc_id"])
+    single = docs.join(repeated, "doc_id", "left_anti").join(members, docs.doc_id == members.id, "left_semi").dropDuplicates(["doc_id"])
+    # of a doc_id with several sets, the text tells the class; these rows are looked at once more
+    some = save(docs.join(repeated, "doc_id", "left_semi").withColumn("row", F.monotonically_increasing_id()))
+    own = signatures(some.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "n_shingles", "set_a", "set_b").join(some, "row")
+    of = classes.select("id", "least", "n_shingles", "set_a", "set_b")
+    own = own.join(of, ["n_shingles", "set_a", "set_b"]).where("doc_id = least").select(F.col("id").alias("doc_id"), "text")
+    return single.unionByName(own.join(members, own.doc_id == members.id, "left_semi").dropDuplicates(["doc_id"]))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
@@ -131,20 +164,20 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     number of copies costs one row. Classes meet in bands of min-max values; a pair at 0.85 misses all 25
     bands with probability 4e-7. Candidates are confirmed on the sets of the whole texts.
     Null, empty and blank texts have no shingles and are their own components. Rows that repeat a doc_id
-    give one row each. Rows without doc_id link nothing, have a null component_id and are kept.
+    give one row each, and each text links for itself: rows with one doc_id can stand in different components. Rows without doc_id link nothing, have a null component_id and are kept.
     An empty table gives an empty result. Other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sigs = save(signatures(docs))
     classes = sigs.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), *(F.first(s).alias(s) for s in SKETCH))
-    classes = save(classes)
+    classes, repeated = _numbered(save(classes), sigs)
     keyed = classes.select(F.explode("bands").alias("key"), "id")
     shared = keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key")
     rows = save(keyed.join(shared, "key"))
     members = save(rows.select("id").distinct())
     members = F.broadcast(members) if members.count() <= BROADCAST_IDS else members
     nodes = classes.select("id", F.col("n_shingles").alias("n"), F.lit(0).cast("long").alias("own"), *SKETCH, *(F.lit(0).cast("long").alias(f) for f in FINE))
-    texts = save(docs.join(members, docs.doc_id == members.id, "left_semi").dropDuplicates(["doc_id"]))
+    texts = save(_texts(docs, sigs, classes, members, repeated))
 
     def verify(pairs: DataFrame) -> DataFrame:
         a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
@@ -164,7 +197,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         return nodes, nodes.where(F.col("own") * percent > F.col("n") * (100 - percent)).select("id")
 
     comps = link(rows, nodes, _near(percent), verify, refine)
-    of_class = classes.select("n_shingles", "set_a", "set_b", "id").join(comps, "id", "left").select("n_shingles", "set_a", "set_b", F.coalesce("comp", "id").alias("component_id"))
+    if repeated is not None:  # components by the least doc_id, whatever the numbers of their classes
+        of = comps.join(classes.select("id", "least"), "id")
+        comps = comps.join(of.groupBy("comp").agg(F.min("least").alias("_least")), "comp").select("id", F.col("_least").alias("comp"))
+        classes = classes.withColumn("own", F.col("least"))
+    else:
+        classes = classes.withColumn("own", F.col("id"))
+    of_class = classes.select("n_shingles", "set_a", "set_b", "id", "own").join(comps, "id", "left").select("n_shingles", "set_a", "set_b", F.coalesce("comp", "own").alias("component_id"))
     out = sigs.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set_a")).alias("set_a"), "set_b").join(of_class, ["n_shingles", "set_a", "set_b"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

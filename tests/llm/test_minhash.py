@@ -69,3 +69,24 @@ def test_empty_and_repeated_rows(spark):
     rows = spark.createDataFrame([(3, "a b c d e f"), (3, "a b c d e f"), (None, "a b c d e f"), (9, "A b c d e f")], "doc_id long, text string")
     got = sorted(map(tuple, minhash.near_duplicates(rows).collect()), key=str)
     assert got == sorted([(3, 2, 3, True), (3, 2, 3, True), (None, 2, None, True), (9, 2, 3, False)], key=str)
+
+
+def rows_of(spark, rows):
+    return sorted(tuple(r) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect())
+
+
+def test_texts_of_one_doc_id_link_each_for_itself(spark):
+    """Whatever the order of the rows."""
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    a, b, c = ([word() for _ in range(80)] for _ in range(3))
+    near = lambda w: " ".join([*w[:40], word(), *w[41:]])
+    rows = [(3, " ".join(a)), (3, " ".join(b)), (9, near(a)), (12, near(b)), (2, " ".join(c)), (3, near(c)), (12, near(a)), (-5, " ".join(b)), (9, near(a))]
+    for order in (rows, rows[::-1], sorted(rows, key=lambda r: r[1])):
+        assert rows_of(spark, order) == brute(order)
+
+
+def test_clashing_ids_at_random(spark):
+    rng = random.Random(9)
+    rows = [(rng.randrange(40), t) for t in texts()[:110]] + [(rng.randrange(40), None), (7, "")]
+    assert rows_of(spark, rows) == brute(rows)
