@@ -9,10 +9,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gaugeloom.functions import running, scalar, series
-from gaugeloom.operators import desk, episodes, incidents, lookups, rollup, rules, store, stored, storms, upkeep
+from gaugeloom.operators import desk, episodes, incidents, lookups, outbox, rollup, rules, store, stored, storms, upkeep
 from gaugeloom.plans.definitions import Trend, load
 from gaugeloom.plans.expression import Names, compile_expression
-from gaugeloom.sources import logs, samples
+from gaugeloom.sources import checks, logs, samples
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -407,7 +407,26 @@ def incident_history(spark, sf_dir):
     return incidents.histories(incidents.ladder(_states(spark, sf_dir))).select("entity_id", "grp", "incident", "ts", "kind", F.col("seq").cast("long").alias("seq"))
 
 
-@query()
+#: Notifications with backoff, tick by tick; {acks} is a row (entity_id, grp, ts) an acknowledgement.
+_FOLD = _CONF.replace("WITH ", "") + """,
+tk AS (SELECT entity_id, grp, ts, max(CASE WHEN confirmed THEN severity * 2 + CASE WHEN outcome = 'true' THEN 1 ELSE 0 END END) AS top FROM c GROUP BY ALL),
+tn AS (SELECT entity_id, grp, ts, CASE WHEN top IS NULL THEN -1 ELSE top // 2 END AS severity, coalesce(top % 2 = 1, FALSE) AS owner_true, row_number() OVER p AS n, lag(ts) OVER p AS before FROM tk WINDOW p AS (PARTITION BY entity_id, grp ORDER BY ts)),
+lv AS MATERIALIZED (SELECT tn.*, EXISTS (SELECT 1 FROM ({acks}) a WHERE a.entity_id = tn.entity_id AND a.grp = tn.grp AND a.ts <= tn.ts AND (before IS NULL OR a.ts > before)) AS acked FROM tn),
+fold AS (
+  SELECT entity_id, grp, n, ts, severity, ts AS told, 0 AS tier, FALSE AS acked, []::BIGINT[] AS clears, CASE WHEN severity >= 0 THEN 'open' END AS kind FROM lv WHERE n = 1
+  UNION ALL
+  SELECT entity_id, grp, n, ts, severity, CASE WHEN kind IN ('open', 'escalate', 'renotify') THEN ts ELSE told END,
+    CASE kind WHEN 'open' THEN CASE WHEN len(list_filter(clears, lambda x: ts - x <= 600)) >= 3 THEN 3 ELSE 0 END WHEN 'escalate' THEN 0 WHEN 'renotify' THEN tier + 1 ELSE tier END,
+    CASE WHEN kind IN ('open', 'escalate') THEN FALSE ELSE now_acked END, CASE WHEN kind = 'recover' THEN list_append(clears, ts)[-5:] ELSE clears END, kind
+  FROM (
+    SELECT l.entity_id, l.grp, l.n, l.ts, l.severity, f.told, f.tier, f.clears, f.acked OR (f.severity >= 0 AND l.severity >= 0 AND l.acked) AS now_acked,
+      CASE WHEN f.severity < 0 AND l.severity >= 0 THEN 'open' WHEN f.severity >= 0 AND l.severity < 0 THEN 'recover' WHEN f.severity >= 0 AND l.severity > f.severity THEN 'escalate'
+        WHEN f.severity >= 0 AND l.severity = f.severity AND l.owner_true AND NOT (f.acked OR l.acked) AND greatest(0, l.ts - f.told) >= ([300, 900, 3600, 21600])[least(f.tier, 3) + 1] THEN 'renotify' END AS kind
+    FROM fold f JOIN lv l ON l.entity_id = f.entity_id AND l.grp = f.grp AND l.n = f.n + 1))
+SELECT 'events' AS monitor, entity_id, grp, ts, kind, CASE WHEN kind = 'recover' THEN 0 ELSE severity END AS severity FROM fold WHERE kind IS NOT NULL"""
+
+
+@query("WITH RECURSIVE " + _FOLD.replace("{acks}", "SELECT '' AS entity_id, '' AS grp, 0 AS ts WHERE FALSE"))
 def incident_fold(spark, sf_dir):
     return incidents.notifications(incidents.levels(_states(spark, sf_dir)))
 
@@ -762,6 +781,23 @@ def quiet_digest(spark, sf_dir):
     return made.withColumn("channels", F.array_join("channels", ","))
 
 
+@query(
+    f"WITH a AS (SELECT user_id, event_type, event_id, CAST(floor(epoch(ts)) AS BIGINT) AS ts, value, row_number() OVER p AS nth, min(CAST(floor(epoch(ts)) AS BIGINT)) OVER (PARTITION BY user_id, event_type) AS created, count(*) OVER (PARTITION BY user_id, event_type) AS n FROM events WINDOW p AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)), "
+    "b AS (SELECT *, ts + 5 AS finished, CASE WHEN value < 5 THEN NULL WHEN value < 60 THEN 'retryable' WHEN value < 110 THEN 'ok' ELSE 'permanent' END AS result FROM a WHERE nth = n), "
+    "c AS (SELECT *, greatest(finished + ([30, 120, 600, 3600, 21600])[least(n, 5)], CASE WHEN event_id % 5 = 0 THEN ts + 900 ELSE 0 END) AS due FROM b), "
+    f"d AS (SELECT *, CASE WHEN result IS NULL THEN CASE WHEN ts < {NOW - 5 * 86400} THEN 'pending' ELSE 'sending' END WHEN result = 'ok' THEN 'delivered' WHEN result = 'permanent' OR (event_type <> 'view' AND due > created + 86400 * 25) THEN 'failed' ELSE 'pending' END AS state FROM c) "
+    "SELECT user_id AS notification_id, CASE event_type WHEN 'view' THEN 'file' ELSE event_type END AS channel, state, n::INT AS attempts, CASE WHEN state = 'pending' THEN CASE WHEN result IS NULL THEN ts ELSE due END END AS next_ts, CASE WHEN state = 'delivered' THEN finished END AS delivered_ts FROM d"
+)
+def delivery_standing(spark, sf_dir):
+    """Each user's events of a type as attempts of one delivery, created late enough for some to be within the lifetime."""
+    nth = F.row_number().over(W.partitionBy("notification_id", "channel").orderBy("ts", "event_id"))
+    result = F.when(F.col("value") < 5, None).when(F.col("value") < 60, "retryable").when(F.col("value") < 110, "ok").otherwise("permanent")
+    ev = table(spark, sf_dir, "events").select(F.col("user_id").alias("notification_id"), F.when(F.col("event_type") == "view", "file").otherwise(F.col("event_type")).alias("channel"), "event_id", samples.epoch(F.col("ts")).alias("at"), "ts", "value")
+    attempts = ev.select("notification_id", "channel", nth.alias("attempt"), F.col("at").alias("claimed_ts"), result.alias("result"), (F.col("at") + 5).alias("finished_ts"), F.when(F.col("event_id") % 5 == 0, F.col("at") + 900).alias("retry_at"))
+    deliveries = ev.groupBy("notification_id", "channel").agg((F.min("at") + 24 * 86400).alias("created_ts"))
+    return outbox.standing(deliveries, attempts, NOW - 5 * 86400)
+
+
 @query(
     "WITH a AS (SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS ts, (event_id % 8)::INT AS attempts, CASE WHEN event_id % 5 = 0 THEN 700 END AS retry_after, CAST(floor(epoch(ts)) AS BIGINT) - event_id % 9 * 10000 AS created FROM events), "
     "b AS (SELECT *, ts + greatest(([30, 120, 600, 3600, 21600])[least(greatest(attempts, 1), 5)], coalesce(retry_after, 0)) AS due FROM a) SELECT event_id, CASE WHEN due - created <= 86400 THEN due END AS next_ts FROM b"
@@ -1095,7 +1131,7 @@ def incident_acks(spark, sf_dir):
     return rows.select("entity_id", "grp", "incident", "ts", "kind")
 
 
-@query()
+@query("WITH RECURSIVE " + _FOLD.replace("{acks}", _ACKS))
 def acked_fold(spark, sf_dir):
     return incidents.notifications(incidents.levels(_states(spark, sf_dir)), _acks(spark, sf_dir))
 
@@ -1322,3 +1358,62 @@ def history_details(spark, sf_dir):
 @query()
 def shown_summary(spark, sf_dir):
     return desk.shown_summary(store.downsample(points(spark, sf_dir, "user_id"), 20))
+
+
+# ---- raw inputs
+
+
+_UNIFIED = " ".join(f"WHEN '{t}' THEN {n}" for t, n in scalar.UNIFIED_LOG_TYPE.items())
+
+
+@query(
+    "WITH e AS (SELECT *, ['Fault', 'Error', 'Default', 'Info', 'Debug'][event_id % 5 + 1] AS kind, 'event ' || event_id || ' ' || props AS message FROM events WHERE event_id % 7 > 0) "
+    f"SELECT CAST(floor(epoch(ts)) AS BIGINT) AS ts, CASE kind {_UNIFIED} END AS severity, 'shop.' || event_type || '/' || user_id % 3 AS provider, message, "
+    "sha256(concat_ws(chr(31), 'boot', (event_id // 2)::VARCHAR, '', '', '', message)) AS identity FROM e"
+)
+def unified_log(spark, sf_dir):
+    """Events as lines of a unified log, each seventh of another type."""
+    kind = F.element_at(F.array(*map(F.lit, scalar.UNIFIED_LOG_TYPE)), (F.col("event_id") % 5 + 1).cast("int"))
+    line = F.struct(
+        F.when(F.col("event_id") % 7 > 0, "logEvent").otherwise("activityCreateEvent").alias("eventType"), F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit("+0000")).alias("timestamp"),
+        kind.alias("messageType"), F.concat(F.lit("shop."), "event_type").alias("subsystem"), (F.col("user_id") % 3).cast("string").alias("category"),
+        F.concat(F.lit("event "), F.col("event_id").cast("string"), F.lit(" "), "props").alias("eventMessage"), F.lit("boot").alias("bootUUID"), F.floor(F.col("event_id") / 2).alias("machTimestamp"),
+    )
+    return logs.parse_unified_log(table(spark, sf_dir, "events").select(F.to_json(line).alias("value")))
+
+
+@query(
+    "SELECT event_id, CASE WHEN event_id % 5 < 2 THEN 3 ELSE event_id % 3 END::INT AS state, CASE WHEN event_id % 5 >= 2 THEN user_id::DOUBLE END AS value, CASE WHEN event_id % 5 >= 2 THEN 's' END AS uom FROM events"
+)
+def strict_checks(spark, sf_dir):
+    """Check outputs, of which one in five has a wrong state and one in five a key twice."""
+    n = lambda c: F.col(c).cast("string")
+    state = F.when(F.col("event_id") % 5 == 0, "7").otherwise((F.col("event_id") % 3).cast("string"))
+    twice = F.when(F.col("event_id") % 5 == 1, ',"message":"again"').otherwise("")
+    text = F.concat(F.lit('{"schema":1,"state":'), state, F.lit(',"message":"m"'), twice, F.lit(',"metrics":{"users":{"value":'), n("user_id"), F.lit(',"uom":"s"}}}'))
+    rows = checks.parse_checks(table(spark, sf_dir, "events").select("event_id", text.alias("output")), "event_id")
+    return rows.select("event_id", "state", F.col("metrics")["users"]["value"].alias("value"), F.col("metrics")["users"]["uom"].alias("uom"))
+
+
+@query(
+    "SELECT event_id, 'size_bytes' AS metric, (event_id % 100 * 1024)::DOUBLE AS value FROM events WHERE event_id % 4 > 0 UNION ALL SELECT event_id, 'users', (user_id)::DOUBLE FROM events"
+)
+def check_projection(spark, sf_dir):
+    """Plugin output as metrics; a size in another unit than the mapping's gives no sample."""
+    unit = F.when(F.col("event_id") % 4 == 0, "MB").otherwise("KB")
+    output = F.concat(F.lit("OK|'disk size'="), (F.col("event_id") % 100).cast("string"), unit, F.lit(";80;90 users="), F.col("user_id").cast("string"), F.lit(";;;0;"))
+    perf = logs.parse_perfdata(table(spark, sf_dir, "events").select("event_id", output.alias("output")), keys=("event_id",))
+    mapping = spark.sql("SELECT * FROM VALUES ('disk size', 'size_bytes', 'KB', 1024D), ('users', 'users', '', 1D) AS m(label, metric, unit, scale)")
+    return logs.project_checks(perf, mapping).select("event_id", "metric", "value")
+
+
+@query("SELECT event_id, left(regexp_replace(event_type || chr(7) || chr(10) || repeat(props || chr(127) || 'é', 1 + (event_id % 400)::INT), '[\\x00-\\x1f\\x7f]', '', 'g'), 2048) AS message FROM events")
+def message_cleaned(spark, sf_dir):
+    """Messages with control characters, some longer than what is kept."""
+    raw = F.concat("event_type", F.lit("\x07\n"), F.expr("repeat(concat(props, char(127), 'é'), cast(1 + event_id % 400 as int))"))
+    return table(spark, sf_dir, "events").select("event_id", scalar.clean_message(raw).alias("message"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 6 = 0 THEN 'unknown' WHEN value >= 100 THEN 'error' WHEN value >= 80 THEN 'warn' ELSE 'ok' END AS tone FROM events")
+def budget_tones(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", scalar.tone(F.when(F.col("event_id") % 6 > 0, F.col("value"))).alias("tone"))
