@@ -436,7 +436,16 @@ def entity_gone(spark, sf_dir):
     return incidents.gone(points(spark, sf_dir, "user_id"), NOW, 86400).select("entity_id", "last_seen", "gone_ts", "back_ts")
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {_SU}, t AS MATERIALIZED (SELECT ts, coalesce(list_sort(list(DISTINCT entity_id) FILTER (value > 80)), []) AS asked, row_number() OVER (ORDER BY ts) AS n FROM (SELECT ts // 3600 * 3600 AS ts, entity_id, value FROM s) GROUP BY ts), "
+    "r AS (SELECT 0::BIGINT AS n, 0::BIGINT AS ts, []::STRUCT(e VARCHAR, seen BIGINT)[] AS held, []::VARCHAR[] AS denied, []::VARCHAR[] AS up, []::VARCHAR[] AS down, []::VARCHAR[] AS refused "
+    "UNION ALL SELECT n, ts, list_concat(stay, list_transform(up, lambda e: {'e': e, 'seen': ts})), rest, up, down, list_filter(rest, lambda e: NOT list_contains(denied, e)) FROM ("
+    "SELECT *, fresh[1:10 - len(stay)] AS up, fresh[11 - len(stay):] AS rest FROM ("
+    "SELECT *, list_filter(asked, lambda e: NOT list_contains(list_transform(stay, lambda h: h.e), e)) AS fresh FROM ("
+    "SELECT n, ts, asked, denied, list_filter(seen, lambda h: ts - h.seen <= 1800) AS stay, list_sort(list_transform(list_filter(seen, lambda h: ts - h.seen > 1800), lambda h: h.e)) AS down FROM ("
+    "SELECT t.n, t.ts, t.asked, r.denied, list_transform(r.held, lambda h: CASE WHEN list_contains(t.asked, h.e) THEN {'e': h.e, 'seen': t.ts} ELSE h END) AS seen FROM r JOIN t ON t.n = r.n + 1))))) "
+    "SELECT 'events' AS monitor, ts, unnest(up) AS entity_id, 'promoted' AS kind FROM r UNION ALL SELECT 'events', ts, unnest(down), 'demoted' FROM r UNION ALL SELECT 'events', ts, unnest(refused), 'denied' FROM r"
+)
 def promotion_slots(spark, sf_dir):
     rows = points(spark, sf_dir, "user_id").select("monitor", (F.floor(F.col("ts") / 3600) * 3600).alias("ts"), "entity_id", "value")
     return rules.promotions(rows.where("value > 80").select("monitor", "ts", "entity_id").distinct(), rows.select("monitor", "ts"))
@@ -518,7 +527,18 @@ def episodes_sessions(spark, sf_dir):
     return episodes.sessions(log(spark, sf_dir), 1800)
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {_L}, " + f"k AS (SELECT provider || ':' || coalesce(event_id, {_HASH.format(m='message')}) AS key, ts, count(*) AS n FROM l WHERE severity >= 2 GROUP BY ALL), "
+    "m AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts) AS i FROM k), "
+    # a match of a key: what it closes, whether one is open then, and the matches that wait for confirmation
+    "f AS (SELECT key, i, ts, FALSE AS was, NULL::BIGINT AS cleared, CASE WHEN n >= 2 THEN 'open' END AS kind, n >= 2 AS up, ts AS told, 3600 AS cool, CASE WHEN n >= 2 THEN [] ELSE [ts] END AS waits, []::BIGINT[] AS clears FROM m WHERE i = 1 "
+    "UNION ALL SELECT key, i, ts, was, cleared, kind, up OR coalesce(kind = 'open', FALSE), CASE WHEN kind IS NULL THEN told ELSE ts END, CASE WHEN kind = 'open' THEN CASE WHEN len(list_filter(clears, lambda t: ts - t <= 600)) >= 3 THEN 14400 ELSE 3600 END ELSE cool END, "
+    "CASE WHEN up OR kind = 'open' THEN [] ELSE waits[-2:] END, clears FROM ("
+    "SELECT *, CASE WHEN up AND ts - told >= cool THEN 'renotify' WHEN NOT up AND len(waits) >= 2 THEN 'open' END AS kind FROM ("
+    "SELECT key, i, ts, was, cleared, up, told, cool, CASE WHEN up THEN [] ELSE list_concat(list_filter(CASE WHEN cleared IS NULL THEN waits ELSE [] END, lambda t: ts - t <= 3600), CASE WHEN n >= 2 THEN [ts, ts] ELSE [ts] END) END AS waits, CASE WHEN cleared IS NULL THEN clears ELSE list_append(clears, cleared)[-5:] END AS clears FROM ("
+    "SELECT m.key, m.i, m.ts, m.n, f.up AS was, CASE WHEN f.up AND m.ts - f.ts > 7200 THEN f.ts + 7200 END AS cleared, f.up AND m.ts - f.ts <= 7200 AS up, f.told, f.cool, f.waits, f.clears FROM f JOIN m ON m.key = f.key AND m.i = f.i + 1)))) "
+    "SELECT key, kind, ts FROM f WHERE kind IS NOT NULL UNION ALL SELECT key, 'clear', cleared FROM f WHERE cleared IS NOT NULL"
+)
 def episode_fold(spark, sf_dir):
     rows = log(spark, sf_dir).where("severity >= 2")
     key = scalar.episode_key(F.col("provider"), F.col("event_id"), F.col("message"))
@@ -1104,7 +1124,10 @@ def live_series(spark, sf_dir):
     return samples.series_of(points(spark, sf_dir, "user_id")).agg(F.count_distinct("series_id").alias("live"))
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {_L}, r AS (SELECT provider, min(ts) AS ts FROM l GROUP BY provider UNION ALL SELECT provider, ts FROM (SELECT r.provider, min(l.ts) AS ts FROM r JOIN l ON l.provider = r.provider AND l.ts >= r.ts + 7200 GROUP BY r.provider, r.ts)) "
+    "SELECT l.provider AS action, l.ts, r.ts IS NOT NULL AND row_number() OVER (PARTITION BY l.provider, l.ts) = 1 AS ran FROM l LEFT JOIN r ON r.provider = l.provider AND r.ts = l.ts"
+)
 def action_rate_limit(spark, sf_dir):
     return lookups.action_runs(log(spark, sf_dir).select(F.col("provider").alias("action"), "ts"), 7200)
 

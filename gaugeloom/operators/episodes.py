@@ -77,12 +77,12 @@ def sessions(log: DataFrame, quiet: int) -> DataFrame:
     return rows.groupBy("key", "episode").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("occurrences"), F.max("severity").alias("severity"))
 
 
-def step_episode(state: dict, ts: int, count: int, confirm: int, confirm_span: int, cooldown: int, clear_after: int) -> list[tuple[str, int]]:
+def step_episode(state: dict, ts: int, count: int, confirm: int, confirm_span: int, cooldown: int, clear_after: int, acked: bool = False) -> list[tuple[str, int]]:
     """One match of an episode's key at ``ts``: events (kind, ts). Pure; ``state`` is empty before the first match.
 
     It opens once ``confirm`` matches lie within ``confirm_span``; a quiet time over ``clear_after`` clears it at
-    its end; while open it notifies again each ``cooldown``, four times as long while it flaps. ``pending`` holds no more
-    than ``confirm`` times, however often a match repeats.
+    its end; while open it notifies again each ``cooldown``, four times as long while it flaps, until it is acknowledged
+    (``acked``: since the match before). ``pending`` holds no more than ``confirm`` times, however often a match repeats.
     """
     out: list[tuple[str, int]] = []
     if state.get("open") and ts - state["last"] > clear_after:
@@ -92,7 +92,8 @@ def step_episode(state: dict, ts: int, count: int, confirm: int, confirm_span: i
     state["last"] = ts
     if state.get("open"):
         state["occurrences"] += count
-        if ts - state["notified"] >= state["cooldown"]:
+        state["acked"] = state.get("acked", False) or acked
+        if not state["acked"] and ts - state["notified"] >= state["cooldown"]:
             state["notified"] = ts
             out.append(("renotify", ts))
         return out
@@ -100,7 +101,7 @@ def step_episode(state: dict, ts: int, count: int, confirm: int, confirm_span: i
     state["pending"] = pending[-confirm:]
     if len(pending) >= confirm:
         flapping = sum(ts - t <= 600 for t in state.get("clears", [])) >= 3
-        state.update(open=True, occurrences=len(pending), notified=ts, cooldown=cooldown * (4 if flapping else 1), pending=[])
+        state.update(open=True, acked=False, occurrences=len(pending), notified=ts, cooldown=cooldown * (4 if flapping else 1), pending=[])
         out.append(("open", ts))
     return out
 
@@ -110,9 +111,10 @@ def end_episode(state: dict, now: int, clear_after: int) -> list[tuple[str, int]
     return [("clear", state["last"] + clear_after)] if state.get("open") and now - state["last"] > clear_after else []
 
 
-def episodes(matches: DataFrame, confirm: int = 1, confirm_span: int = 3600, cooldown: int = 3600, clear_after: int = 1800, now: int | None = None) -> DataFrame:
+def episodes(matches: DataFrame, confirm: int = 1, confirm_span: int = 3600, cooldown: int = 3600, clear_after: int = 1800, now: int | None = None, acks: DataFrame | None = None) -> DataFrame:
     """matches: (key, ts, count), with ``id`` where ingest order isn't that of ts. The episodes' events (key, kind, ts), keys
-    folded as they stream by; those quiet for long enough at ``now`` are cleared."""
+    folded as they stream by; those quiet for long enough at ``now`` are cleared. acks: (key, ts); one silences the episode that
+    is open at the next match at or after it."""
     order = ["id"] if "id" in matches.columns else ["ts"]
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -124,10 +126,18 @@ def episodes(matches: DataFrame, confirm: int = 1, confirm_span: int = 3600, coo
                 if r.key != key:
                     out += ended()
                     key, state = r.key, {}
-                out += [(key, *e) for e in step_episode(state, r.ts, r.n, confirm, confirm_span, cooldown, clear_after)]
+                out += [(key, *e) for e in step_episode(state, r.ts, r.n, confirm, confirm_span, cooldown, clear_after, r.acked)]
             yield pd.DataFrame(out, columns=["key", "kind", "ts"])
         if last := ended():
             yield pd.DataFrame(last, columns=["key", "kind", "ts"])
 
-    dealt = matches.select("key", "ts", F.col("count").alias("n"), *(c for c in order if c != "ts")).repartition("key").sortWithinPartitions("key", *order)
+    rows = matches.select("key", "ts", F.col("count").alias("n"), *(c for c in order if c != "ts")).withColumn("acked", F.lit(False))
+    if acks is not None:
+        given = acks.select("key", "ts").withColumn("acked", F.lit(True))
+        by_time = W.partitionBy("key").orderBy("ts", F.col("n").isNotNull(), *(c for c in order if c != "ts"))
+        both = rows.unionByName(given, allowMissingColumns=True)
+        both = both.withColumn("_acks", F.count_if("acked").over(by_time.rowsBetween(W.unboundedPreceding, 0)))
+        ticks = both.where("n is not null")
+        rows = ticks.withColumn("acked", F.col("_acks") > F.coalesce(F.lag("_acks").over(by_time), F.lit(0))).drop("_acks")
+    dealt = rows.repartition("key").sortWithinPartitions("key", *order)
     return dealt.mapInPandas(work, "key string, kind string, ts long")
