@@ -739,7 +739,22 @@ def envelope(spark, sf_dir):
     return store.envelope(hours.select("entity_id", "ts", "min", "max"), hours.join(shown, ["entity_id", "ts"], "left_semi"))
 
 
-@query()
+#: The points that a line of 20 keeps, as CTE q: bucket by bucket the one of the largest triangle with the last kept and the mean of the next bucket.
+_SHOWN = _SU + """,
+p AS MATERIALIZED (SELECT entity_id, ts, value, row_number() OVER (PARTITION BY entity_id ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY entity_id) AS size FROM s),
+g AS (SELECT entity_id, any_value(size) AS size, (any_value(size) - 2) / 18.0::DOUBLE AS step FROM p GROUP BY entity_id HAVING any_value(size) > 20),
+b AS (SELECT entity_id, size, k, floor(k * step)::BIGINT + 1 AS lo, floor((k + 1) * step)::BIGINT + 1 AS hi, least(floor((k + 2) * step)::BIGINT + 1, size) AS nx FROM g, range(18) AS t(k)),
+n AS MATERIALIZED (SELECT b.entity_id, k, lo, hi, avg(p.ts) AS mx, avg(p.value) AS my FROM b JOIN p ON p.entity_id = b.entity_id AND p.i >= least(hi, b.size - 1) AND p.i < CASE WHEN hi < b.size - 1 THEN nx ELSE b.size END GROUP BY ALL),
+r AS (
+  SELECT entity_id, -1::BIGINT AS k, ts, value FROM p WHERE i = 0 AND size > 20
+  UNION ALL
+  SELECT entity_id, k, best.t, best.v FROM (
+    SELECT r.entity_id, n.k, arg_max({'t': p.ts, 'v': p.value}, abs((r.ts - mx) * (p.value - r.value) - (r.ts - p.ts) * (my - r.value))) AS best
+    FROM r JOIN n ON n.entity_id = r.entity_id AND n.k = r.k + 1 JOIN p ON p.entity_id = n.entity_id AND p.i >= lo AND p.i < hi GROUP BY r.entity_id, n.k)),
+q AS (SELECT entity_id, ts, value FROM r UNION ALL SELECT entity_id, ts, value FROM p WHERE size <= 20 OR i = size - 1)"""
+
+
+@query(f"WITH RECURSIVE {_SHOWN} SELECT entity_id, ts, value FROM q")
 def lttb(spark, sf_dir):
     return store.downsample(points(spark, sf_dir, "user_id"), 20)
 
@@ -1378,9 +1393,9 @@ def history_details(spark, sf_dir):
     return desk.details(table(spark, sf_dir, "events").select("event_id", detail.alias("detail")))
 
 
-@query()
+@query(f"WITH RECURSIVE {_SHOWN} SELECT entity_id, round(avg(value) + 1e-7, 4) AS avg, min(value) AS min, max(value) AS max, arg_max(value, ts) AS last FROM q GROUP BY entity_id")
 def shown_summary(spark, sf_dir):
-    return desk.shown_summary(store.downsample(points(spark, sf_dir, "user_id"), 20))
+    return desk.shown_summary(store.downsample(points(spark, sf_dir, "user_id"), 20)).withColumn("avg", r4("avg"))
 
 
 # ---- raw inputs
