@@ -187,6 +187,18 @@ def test_each_vector_has_filters_and_near_ones_share_some():
         assert sum(len(np.intersect1d(x, y)) > 0 for x, y in zip(own, other, strict=True)) >= 0.998 * len(a)
 
 
+def test_near_vectors_of_few_dimensions_and_at_the_threshold(spark):
+    rng = np.random.Generator(np.random.PCG64(23))
+    angle = rng.permutation(1500) * (2 * np.pi / 1500)  # each is near those of 11.48 degrees on both sides
+    flat = np.stack([np.cos(angle), np.sin(angle)], 1)
+    ties = [(90_000, [1.0, 0.0, 0.0, 0.0], 2), (90_001, [49.0, 9.0, 3.0, 3.0], 2), (90_002, [49.0, 9.0, 3.0, 3.01], 2), (90_003, [0.0, 7.0, 0.0, 0.0], 3), (90_004, [3.0, 49.0, 9.0, 3.0], 3)]
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(flat)] + ties
+    got = {r.vec_id: r.n_links for r in capfilter.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert {got[i] for i in range(1500)} == {94}
+    assert [got[i] for i, _, _ in ties] == [1, 2, 1, 1, 1]
+    assert capfilter._shared(capfilter.code_for(8, 10**6), 8, 0.98, 99).min() > 0
+
+
 def test_columns_of_any_name_stay(spark):
     from gaugeloom.llm import lines
 
