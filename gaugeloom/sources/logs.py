@@ -40,15 +40,21 @@ def parse_unified_log(lines: DataFrame, value: str = "value") -> DataFrame:
     )
 
 
+_XML = "System struct<Provider: array<struct<_Name: string>>, EventID: array<struct<_VALUE: string>>, Level: array<struct<_VALUE: string>>, TimeCreated: array<struct<_SystemTime: string>>>, EventData struct<Data: array<struct<_Name: string, _VALUE: string>>>"
+
+
 def parse_event_xml(rows: DataFrame, value: str = "value") -> DataFrame:
-    """Event XML: (ts, severity, provider, event_id, message); the message joins the data fields as name=value."""
-    plain = F.regexp_replace(F.col(value), r"\sxmlns=(\"[^\"]*\"|'[^']*')", "")
-    text = lambda path: F.xpath_string(F.col("_x"), F.lit(path))
-    names, values = (F.expr(f"xpath(_x, '/Event/EventData/Data/{p}')") for p in ("@Name", "text()"))
-    joined = F.array_join(F.zip_with(names, values, lambda n, x: F.concat(n, F.lit("="), x)), "; ")
-    return rows.withColumn("_x", plain).select(
-        F.unix_seconds(F.to_timestamp(text("/Event/System/TimeCreated/@SystemTime"))).alias("ts"), F.coalesce(scalar.from_map(text("/Event/System/Level").try_cast("int"), scalar.EVENT_LEVEL), F.lit(0)).alias("severity"),
-        text("/Event/System/Provider/@Name").alias("provider"), text("/Event/System/EventID").alias("event_id"), F.substring(joined, 1, 2048).alias("message"),
+    """Event XML: (ts, severity, provider, event_id, message); the message joins the data fields as name=value.
+
+    A text is parsed once. One that is no XML has no ts, severity 0 and empty texts.
+    """
+    made = F.from_xml(F.col(value), _XML, {"ignoreSurroundingSpaces": "false"})
+    text = lambda element, field: F.coalesce(F.get(F.col(f"_e.System.{element}"), F.lit(0))[field], F.lit(""))
+    fields = F.filter("_e.EventData.Data", lambda d: d["_Name"].isNotNull())
+    joined = F.array_join(F.transform(fields, lambda d: F.concat(d["_Name"], F.lit("="), F.coalesce(d["_VALUE"], F.lit("")))), "; ")
+    return rows.select(made.alias("_e")).select(
+        F.unix_seconds(F.try_to_timestamp(text("TimeCreated", "_SystemTime"))).alias("ts"), F.coalesce(scalar.from_map(text("Level", "_VALUE").try_cast("int"), scalar.EVENT_LEVEL), F.lit(0)).alias("severity"),
+        text("Provider", "_Name").alias("provider"), text("EventID", "_VALUE").alias("event_id"), F.substring(F.coalesce(joined, F.lit("")), 1, 2048).alias("message"),
     )
 
 

@@ -28,6 +28,13 @@ def test_event_xml(spark):
     assert tuple(got) == (1704067200, 3, "P", "7", "a=1; b=2")
 
 
+def test_event_xml_with_gaps(spark):
+    data = lambda inner: f"<Event><System><EventID>5</EventID><EventID>6</EventID></System><EventData>{inner}</EventData></Event>"
+    rows = [data("<Data Name='a'/><Data Name='b'> x </Data>"), data(""), "<Event/>", "<bad"]
+    got = logs.parse_event_xml(spark.createDataFrame([(r,) for r in rows], "value string")).collect()
+    assert [tuple(r) for r in got] == [(None, 0, "", "5", "a=; b= x "), (None, 0, "", "5", ""), (None, 0, "", "", ""), (None, 0, "", "", "")]
+
+
 def test_perfdata(spark):
     rows = [(1, "OK|'a b'=1.5s;2;3;0;9 c=7KB"), (2, "no data"), (3, "OK|x=1 x=2 y=3"), (4, "OK|z=1;;;9;2")]
     got = logs.parse_perfdata(spark.createDataFrame(rows, "id int, output string"), keys=("id",)).collect()
