@@ -170,13 +170,12 @@ def win_capacity(spark, sf_dir):
     f"SELECT entity_id, ts, CASE WHEN count(*) OVER w >= 2 THEN round((sum(up) OVER w - first(up) OVER w) / (count(*) OVER w - 1)::DOUBLE + 1e-7, 4) END AS monot FROM u {_W6}"
 )
 def win_monot(spark, sf_dir):
-    rows = points(spark, sf_dir).withColumn("_up", series.rises(F.col("value")))
-    return rows.select("entity_id", "ts", r4(series.monot(F.col("_up"), F.col("value"), series.trailing(SIX_H))).alias("monot"))
+    return running.with_window(points(spark, sf_dir), SIX_H).select("entity_id", "ts", r4(running.monot()).alias("monot"))
 
 
 @query(f"WITH {_S} SELECT entity_id, ts, CASE WHEN count(*) OVER w >= 2 THEN round(least(greatest((max(ts) OVER w - min(ts) OVER w) / 21600.0::DOUBLE, 0), 1) + 1e-7, 4) END AS coverage FROM s {_W6}")
 def win_coverage(spark, sf_dir):
-    return points(spark, sf_dir).select("entity_id", "ts", r4(series.coverage(F.col("value"), series.trailing(SIX_H), F.col("ts"), SIX_H)).alias("coverage"))
+    return running.with_window(points(spark, sf_dir), SIX_H).select("entity_id", "ts", r4(running.coverage(SIX_H)).alias("coverage"))
 
 
 @query(f"WITH {_S}, g AS (SELECT *, CASE WHEN ts % 3 > 0 THEN value END AS v FROM s) SELECT entity_id, ts, greatest(ts - max(CASE WHEN v IS NOT NULL THEN ts END) OVER w, 0) AS age, last(v IGNORE NULLS) OVER w AS latest FROM g WINDOW w AS (PARTITION BY entity_id ORDER BY ts)")

@@ -51,3 +51,10 @@ def test_other_queries_give_rows(spark, name):
 def test_every_sql_has_a_query(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert __spark_entry__.entry(spark).count() > 0
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+@pytest.mark.parametrize("name", ["win_monot", "win_coverage", "win_delta_rate", "win_slope"])
+def test_windows_of_whole_series_have_no_time_frames(spark, name):
+    plan = catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().analyzed().toString()
+    assert "_block" in plan and "specifiedwindowframe(RangeFrame, -" not in plan
