@@ -106,43 +106,54 @@ def incident_samples(incidents: DataFrame, samples: DataFrame, now: int) -> Data
 
 #: Seconds around an opening whose events belong to it, and how many are shown; metrics of an entity and points of each.
 AROUND, SHOWN_EVENTS, SHOWN_METRICS, SHOWN_POINTS = 600, 50, 8, 300
-#: Incidents that are explained by sending them to the tasks that hold events.
-FEW_INCIDENTS = 1000
+EVENT_DETAILS = ("provider", "severity", "message")
 
 
-def explain(chosen: DataFrame, history: DataFrame, log: DataFrame, samples: DataFrame, now: int) -> DataFrame:
+def with_newest(rows: DataFrame, log: DataFrame, at: str, details: Sequence[str] = EVENT_DETAILS, span: int = AROUND, most: int = SHOWN_EVENTS) -> DataFrame:
+    """``rows`` with ``related_events``: of the events within ``span`` seconds of ``at`` the newest ``most`` (ts, id, details), newest first.
+
+    Time is cut into blocks of a window's width and events are numbered in a block and the one before, so a row knows the number of the
+    newest event of its window. Events lie in chunks of ``most`` numbers, each with the chunk before it: a row meets one chunk,
+    however many events are near.
+    """
+    width = 2 * span
+    row, event = F.struct(*(F.col(f"`{c}`") for c in rows.columns)), F.struct("ts", "id", *details)
+    events = log.where("ts is not null").select("ts", "id", *details).select(event.alias("e"))
+    asks = rows.select(row.alias("row"), (F.col(f"`{at}`") + span).alias("end"))
+    none = F.lit(None)
+    block = F.floor(F.col("e.ts") / width)
+    both = events.select(F.explode(F.array(block, block + 1)).alias("block"), F.col("e.ts").alias("end"), "e", none.cast(asks.schema["row"].dataType).alias("row"))
+    both = both.unionByName(asks.select(F.floor(F.col("end") / width).alias("block"), "end", none.cast(events.schema["e"].dataType).alias("e"), "row"))
+    order = W.partitionBy("block").orderBy("end", F.col("row").isNotNull(), "e.id").rowsBetween(W.unboundedPreceding, 0)
+    both = both.withColumn("n", F.count("e").over(order)).withColumn("chunk", F.floor((F.col("n") - 1) / most))
+    held = both.where("e is not null").select("block", F.explode(F.array("chunk", F.col("chunk") + 1)).alias("chunk"), F.struct("n", "e").alias("e"))
+    chunks = held.groupBy("block", "chunk").agg(F.collect_list("e").alias("events"))
+    met = both.where("row is not null").select("block", "chunk", "n", "end", "row").join(chunks, ["block", "chunk"], "left")
+    own = F.filter("events", lambda x: (x["n"] > F.col("n") - most) & (x["n"] <= F.col("n")) & (x["e"]["ts"] >= F.col("end") - width))
+    found = F.transform(F.sort_array(own, asc=False), lambda x: x["e"])
+    return met.select("row.*", F.coalesce(found, F.array().cast(held.select(F.array("e.e").alias("a")).schema["a"].dataType)).alias("related_events"))
+
+
+def explain(chosen: DataFrame, history: DataFrame, log: DataFrame, samples: DataFrame, now: int, details: Sequence[str] = EVENT_DETAILS) -> DataFrame:
     """All that explains each chosen incident in one row: its columns, and
     history: array of (seq, ts, kind) in order; related_events: the newest events around its opening; series: the
     first metrics of its entity by name, each with its points (ts, value) from half an hour before it to half an hour behind it.
 
     chosen and history share monitor, entity_id, grp and incident; chosen has opened_ts and cleared_ts. Lists that are longer than
-    what is shown are cut as a page is; a longer series is downsampled.
+    what is shown are cut as a page is; a longer series is downsampled. Events come with their ``details``.
     """
     key = ["monitor", "entity_id", "grp", "incident"]
     own = history.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("seq", "ts", "kind"))).alias("history"))
-    at = chosen.select(*key, "opened_ts")
-    events = log.select("id", "ts", "provider", "severity", "message")
-    near = F.abs(F.col("ts") - F.col("opened_ts")) <= AROUND
-    if chosen.count() <= FEW_INCIDENTS:
-        met = events.join(F.broadcast(at), near)
-    else:  # the bucket of the opening and its neighbours
-        cut = at.withColumn("_b", F.explode(F.array(*(F.floor(F.col("opened_ts") / AROUND) + d for d in (-1, 0, 1)))))
-        met = events.withColumn("_b", F.floor(F.col("ts") / AROUND)).join(cut, "_b").where(near)
-    newest = W.partitionBy(*key).orderBy(F.desc("ts"), F.desc("id"))
-    event = F.struct("ts", "id", "provider", "severity", "message")
-    around = met.withColumn("_nth", F.row_number().over(newest)).where(F.col("_nth") <= SHOWN_EVENTS)
-    around = around.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_nth", event.alias("e")))), lambda x: x["e"]).alias("related_events"))
     points = incident_samples(chosen.select(*key, "opened_ts", "cleared_ts"), samples, now)
-    of_metric = points.groupBy(*key, "metric").agg(F.count("*").alias("_n"))
-    first = of_metric.withColumn("_nth", F.row_number().over(W.partitionBy(*key).orderBy("metric"))).where(F.col("_nth") <= SHOWN_METRICS)
-    kept = points.join(first.select(*key, "metric", "_n"), [*key, "metric"])
+    counted = points.withColumn("_n", F.count("*").over(W.partitionBy(*key, "metric")))
+    kept = counted.withColumn("_nth", F.dense_rank().over(W.partitionBy(*key).orderBy("metric"))).where(F.col("_nth") <= SHOWN_METRICS)
     long = downsample(kept.where(F.col("_n") > SHOWN_POINTS).select(*key, "metric", "ts", "value"), SHOWN_POINTS, [*key, "metric"])
     shown = kept.where(F.col("_n") <= SHOWN_POINTS).select(*key, "metric", "ts", "value").unionByName(long)
     lines = shown.groupBy(*key, "metric").agg(F.array_sort(F.collect_list(F.struct("ts", "value"))).alias("points"))
     lines = lines.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("metric", "points"))).alias("series"))
-    rows = chosen.join(own, key, "left").join(around, key, "left").join(lines, key, "left")
-    empty = {c: F.coalesce(F.col(c), F.array().cast(rows.schema[c].dataType)) for c in ("history", "related_events", "series")}
-    return rows.withColumns(empty)
+    rows = chosen.join(own, key, "left").join(lines, key, "left")
+    rows = rows.withColumns({c: F.coalesce(F.col(c), F.array().cast(rows.schema[c].dataType)) for c in ("history", "series")})
+    return with_newest(rows, log, "opened_ts", details).select(*chosen.columns, "history", "related_events", "series")
 
 
 def plugin_results(samples: DataFrame, entities: DataFrame, now: int) -> DataFrame:

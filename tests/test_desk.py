@@ -1,6 +1,7 @@
 """Acknowledgements, ends of lives, filters, evidence, integrity."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -174,3 +175,15 @@ def test_a_tight_budget_leaves_young_raw_rows_and_events(spark):
     dropped = lambda budget: sorted((r.step, r.day) for r in upkeep.degrade(days, budget, 10 * 86400).where("dropped").collect())
     assert dropped(60) == [] and dropped(45) == [(1, 0), (2, 1)]
     assert dropped(0) == [(1, 0), (2, 1), (3, 9), (4, 9)]
+
+
+def test_newest_events_without_listing_the_others(spark):
+    rng = random.Random(3)
+    events = [(i, rng.randrange(0, 6000) if i % 3 else 3000 + i % 2, "p") for i in range(1500)] + [(9000, None, "p"), (9001, -500, "p"), (9002, 601, "p")]
+    opened = [-1200, -1100, -1, 0, 1, 599, 600, 1200, 2400, 2999, 3000, 3601, 6600, 6601, 9000, None]
+    log = spark.createDataFrame(events, "id long, ts long, provider string")
+    rows = desk.with_newest(spark.createDataFrame([(t,) for t in opened], "opened_ts long"), log, "opened_ts", ["provider"])
+    got = {r.opened_ts: [(e.ts, e.id) for e in r.related_events] for r in rows.collect()}
+    near = lambda t: sorted(((ts, i) for i, ts, _ in events if t is not None and ts is not None and abs(ts - t) <= 600), reverse=True)[:50]
+    assert got == {t: near(t) for t in opened}
+    assert "abs((ts" not in rows._jdf.queryExecution().optimizedPlan().toString()
