@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -17,21 +17,25 @@ FLAP_SPAN, FLAP_CLEARS, GONE_AFTER = 600, 3, 300
 SUPERSEDED = "superseded"
 
 
-def confirmed(outcomes: DataFrame, keys: Sequence[str] = RULE) -> DataFrame:
+def confirmed(outcomes: DataFrame, keys: Sequence[str] = RULE, ended: Column | None = None) -> DataFrame:
     """Adds ``confirmed``: whether the rule has been true for ``confirm`` ticks and not since false for ``clear``.
 
     Unknown ticks freeze both counts. True and false ones fall into runs; from the confirm-th of a true run on the
-    rule is confirmed, from the clear-th of a false run on it isn't, and other ticks keep what was.
+    rule is confirmed, from the clear-th of a false run on it isn't, and other ticks keep what was. A row that is ``ended``
+    resets both counts and what was; it comes before a tick of its second.
     """
-    order = W.partitionBy(*keys).orderBy("ts")
+    # every window has the keys and the order, so one sort serves them all
+    order = W.partitionBy(*keys).orderBy("ts", *([] if ended is None else [ended.desc()]))
     known = F.when(F.col("outcome") != "unknown", F.col("outcome"))
+    if ended is not None:
+        known = F.when(ended, "ended").otherwise(known)
     before = F.last(known, ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1))
-    starts = F.when(known.isNotNull() & (before.isNull() | (before != known)), 1).otherwise(0)
-    rows = outcomes.withColumn("_starts", starts).withColumn("_run", F.sum("_starts").over(order))
-    run = F.count(known).over(W.partitionBy(*keys, "_run").orderBy("ts"))
-    mark = F.when((known == "true") & (run >= F.col("confirm")), True).when((known == "false") & (run >= F.col("clear")), False)
+    rows = outcomes.withColumn("_starts", known.isNotNull() & (before.isNull() | (before != known))).withColumn("_n", F.count(known).over(order))
+    run = F.col("_n") - F.last(F.when(F.col("_starts"), F.col("_n") - 1), ignorenulls=True).over(order)
+    rows = rows.withColumn("_run", run)
+    mark = F.when((known == "true") & (F.col("_run") >= F.col("confirm")), True).when((known == "false") & (F.col("_run") >= F.col("clear")), False).when(known == "ended", False)
     rows = rows.withColumn("_mark", mark)
-    return rows.withColumn("confirmed", F.coalesce(F.last("_mark", ignorenulls=True).over(order), F.lit(False))).drop("_starts", "_run", "_mark")
+    return rows.withColumn("confirmed", F.coalesce(F.last("_mark", ignorenulls=True).over(order), F.lit(False))).drop("_starts", "_n", "_run", "_mark")
 
 
 def with_ends(outcomes: DataFrame, ends: DataFrame) -> DataFrame:
@@ -42,13 +46,10 @@ def with_ends(outcomes: DataFrame, ends: DataFrame) -> DataFrame:
     before it, and takes the tick's place where the rule isn't true again at once.
     """
     held = [c for c in ("grp", "severity", "confirm", "clear", "notify_recovery") if c in outcomes.columns]
-    kinds = outcomes.groupBy(*RULE).agg(*(F.first(c).alias(c) for c in held))
+    kinds = outcomes.select(*RULE, *held).distinct().dropDuplicates(RULE)  # the first takes most away without a sort
     rows = kinds.join(ends.select("monitor", "entity_id", "ts", "reason"), ["monitor", "entity_id"]).withColumn("outcome", F.lit("unknown"))
     both = outcomes.withColumn("reason", F.lit(None).cast("string")).unionByName(rows)
-    ended = F.col("reason").isNotNull()
-    life = F.count("reason").over(W.partitionBy(*RULE).orderBy("ts", ended.desc()).rowsBetween(W.unboundedPreceding, 0))
-    lives = both.withColumn("_life", life)
-    return confirmed(lives.where(~ended), [*RULE, "_life"]).unionByName(lives.where(ended).withColumn("confirmed", F.lit(False))).drop("_life")
+    return confirmed(both, ended=F.col("reason").isNotNull())
 
 
 def gone_ends(samples: DataFrame, now: int, grace: int = GONE_AFTER) -> DataFrame:
@@ -95,12 +96,19 @@ def acknowledged(transitions: DataFrame, acks: DataFrame) -> DataFrame:
     return rows.withColumn("_first", first).where(~is_ack | (F.col("_first") & F.col("_state").isNotNull() & (F.col("_state") != "clear"))).drop("_stage", "_state", "_first")
 
 
+def _a_row_a_tick(states: DataFrame, **aggs: Column) -> DataFrame:
+    """The aggregates of a group's rows of each ts, sorted as the windows that follow need it: one sort and no table of all ticks in a task's memory."""
+    order = W.partitionBy(*GROUP).orderBy("ts")
+    rows = states.withColumns({f"_{k}": a.over(order.rangeBetween(0, 0)) for k, a in aggs.items()} | {"_nth": F.row_number().over(order), "_till": F.count(F.lit(1)).over(order)})
+    return rows.where("_nth = _till").select(*GROUP, "ts", *(F.col(f"_{k}").alias(k) for k in aggs))
+
+
 def ladder(states: DataFrame) -> DataFrame:
     """Rows (group, ts, kind, severity, incident) where a group's greatest confirmed severity changes.
 
     kind is open, escalate, downgrade or clear; incident counts a group's opens.
     """
-    level = states.groupBy(*GROUP, "ts").agg(F.coalesce(F.max(F.when(F.col("confirmed"), F.col("severity"))), F.lit(-1)).alias("severity"))
+    level = _a_row_a_tick(states, severity=F.max(F.when(F.col("confirmed"), F.col("severity")))).withColumn("severity", F.coalesce("severity", F.lit(-1)))
     order = W.partitionBy(*GROUP).orderBy("ts")
     rows = level.withColumn("was", F.coalesce(F.lag("severity").over(order), F.lit(-1)))
     kind = F.when((F.col("was") < 0) & (F.col("severity") >= 0), "open").when((F.col("was") >= 0) & (F.col("severity") < 0), "clear").when(F.col("severity") > F.col("was"), "escalate").when(F.col("severity") < F.col("was"), "downgrade")
@@ -201,9 +209,9 @@ def levels(states: DataFrame) -> DataFrame:
     """The tick-wise greatest confirmed severity of each group, whether a rule of that severity is true now, why the group ended
     there (the reason of :func:`with_ends`, else null) and whether its rule tells of a recovery (column notify_recovery, else true)."""
     tells = F.col("notify_recovery") if "notify_recovery" in states.columns else F.lit(True)
-    reason = F.max("reason") if "reason" in states.columns else F.lit(None).cast("string")
     top = F.max(F.when(F.col("confirmed"), F.struct("severity", (F.col("outcome") == "true").alias("true"), tells.alias("tells"))))
-    rows = states.groupBy(*GROUP, "ts").agg(top.alias("t"), reason.alias("reason"))
+    rows = _a_row_a_tick(states, t=top, **({"reason": F.max("reason")} if "reason" in states.columns else {}))
+    rows = rows if "reason" in rows.columns else rows.withColumn("reason", F.lit(None).cast("string"))
     return rows.select(*GROUP, "ts", F.coalesce("t.severity", F.lit(-1)).alias("severity"), F.coalesce("t.true", F.lit(False)).alias("owner_true"), "reason", F.coalesce("t.tells", F.lit(True)).alias("tells"))
 
 

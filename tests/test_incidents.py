@@ -153,3 +153,8 @@ def test_episodes_in_ingest_order_end_with_the_data(spark):
 def test_arrival_rate_counts_repeats(spark):
     df = spark.createDataFrame([("p", 0, 30), ("p", 30, None), ("p", 70, 5)], "provider string, ts long, repeat_count long")
     assert [round(r.rate_per_s * 60, 6) for r in episodes.arrival_rate(df).orderBy("ts").collect()] == [30, 31, 6]
+
+
+def test_confirmation_and_ladder_need_one_sort_each(spark):
+    plan = incidents.ladder(incidents.confirmed(outcomes(spark, ["ttff"], 1, 1)))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("+- Sort [") == 2 and "HashAggregate" not in plan
