@@ -293,8 +293,8 @@ severity = "notice"
 
 def _evaluated(spark: SparkSession, sf_dir: str, text: str = _DEFINITION) -> tuple[DataFrame, object]:
     definition = load(text)
-    ticks = points(spark, sf_dir, "user_id").select("monitor", "entity_id", "ts", F.col("value").alias("used_pct"))
-    return rules.evaluate(rules.dealt(ticks), definition), definition
+    ticks = samples.samples_from_events(table(spark, sf_dir, "events"), "user_id", dealt=True)
+    return rules.evaluate(ticks.select("monitor", "entity_id", "ts", F.col("value").alias("used_pct")), definition), definition
 
 
 _U = _SU + """,

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gaugeloom.sources.samples import deal
+
 RULE = ["monitor", "entity_id", "rule"]
 GROUP = ["monitor", "entity_id", "grp"]
 #: Seconds between notifications of an open incident; the last repeats.
@@ -195,7 +197,7 @@ def notifications(levels: DataFrame, acks: DataFrame | None = None) -> DataFrame
         both = rows.unionByName(given).withColumn("_acks", F.count_if("acked").over(order.rowsBetween(W.unboundedPreceding, 0)))
         ticks = both.where("severity is not null")
         rows = ticks.withColumn("acked", F.col("_acks") > F.coalesce(F.lag("_acks").over(order), F.lit(0))).drop("_acks")
-    dealt = rows.repartition(*GROUP).sortWithinPartitions(*GROUP, "ts")
+    dealt = deal(rows, *GROUP).sortWithinPartitions(*GROUP, "ts")
     return dealt.mapInPandas(work, "monitor string, entity_id string, grp string, ts long, kind string, severity int")
 
 

@@ -32,12 +32,6 @@ def with_baselines(ticks: DataFrame, history: DataFrame, metrics: Iterable[str])
     return ticks
 
 
-def dealt(ticks: DataFrame) -> DataFrame:
-    """``ticks`` by entity over all shuffle partitions. Each tick becomes a row a rule later; left to itself, Spark joins partitions by their
-    size before that, so that a task's memory grows with the input."""
-    return ticks.repartition(int(ticks.sparkSession.conf.get("spark.sql.shuffle.partitions")), "entity_id")
-
-
 def evaluate(ticks: DataFrame, definition: Definition, history: DataFrame | None = None) -> DataFrame:
     """``ticks`` (wide) with the derived metrics, ``exempt`` and a column ``rule:NAME`` for each rule.
 

@@ -53,12 +53,22 @@ def epoch(ts: Column) -> Column:
     return F.unix_seconds(ts.cast("timestamp"))
 
 
-def samples_from_events(events: DataFrame, entity: str = "event_type") -> DataFrame:
-    """Event values as samples of monitor 'events', an entity for each ``entity``; values that aren't finite are left out."""
+def deal(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` by ``keys`` over all shuffle partitions. Left to itself, Spark joins partitions by their packed size, and what a task
+    then sorts or groups in memory is many times that."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def samples_from_events(events: DataFrame, entity: str = "event_type", dealt: bool = False) -> DataFrame:
+    """Event values as samples of monitor 'events', an entity for each ``entity``; values that aren't finite are left out.
+
+    dealt: rows go by entity to all shuffle partitions first and stay there, so that windows by entity need no further shuffle, and no task
+    groups more than its part. For many entities.
+    """
     rows = events.where(finite(F.col("value"))).select(
         F.lit("events").alias("monitor"), F.col(entity).cast("string").alias("entity_id"), F.lit("value").alias("metric"), epoch(F.col("ts")).alias("ts"), F.col("value"), F.col("event_id").alias("seq")
     )
-    return last_write(rows, "seq")
+    return last_write(deal(rows, "entity_id") if dealt else rows, "seq")
 
 
 def log_from_events(events: DataFrame) -> DataFrame:

@@ -158,3 +158,13 @@ def test_arrival_rate_counts_repeats(spark):
 def test_confirmation_and_ladder_need_one_sort_each(spark):
     plan = incidents.ladder(incidents.confirmed(outcomes(spark, ["ttff"], 1, 1)))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("+- Sort [") == 2 and "HashAggregate" not in plan
+
+
+def test_a_tasks_share_of_ticks_is_fixed_and_no_map_groups_them(spark):
+    from gaugeloom import catalogue
+
+    plan = catalogue.QUERIES["incident_fold"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    moved = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
+    assert len(moved) == 2 and all("REPARTITION_BY_NUM" in x for x in moved), moved  # Spark joins no partitions of these by size
+    below = plan[plan.rindex("Exchange hashpartitioning") :]
+    assert "Aggregate" not in below and "Aggregate" in plan, plan
