@@ -90,3 +90,13 @@ def test_clashing_ids_at_random(spark):
     rng = random.Random(9)
     rows = [(rng.randrange(40), t) for t in texts()[:110]] + [(rng.randrange(40), None), (7, "")]
     assert rows_of(spark, rows) == brute(rows)
+
+
+def test_a_task_hashes_few_texts_at_a_time():
+    import pyarrow as pa
+
+    texts = ["ab cd " * 50_000, None, "é ", "x " * 150_000, "", "y " * 150_000]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    out = list(minhash._signatures(iter([batch])))
+    assert [b.column(0).to_pylist() for b in out] == [[0, 1, 2], [3, 4], [5]]
+    assert [n for b in out for n in b.column(1).to_pylist()] == [2, 0, 1, 1, 0, 1]
