@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from gaugeloom.llm import minhash
 
 
@@ -63,6 +65,39 @@ def test_one_hot_bucket_of_unequal_copies(spark):
     assert got == brute(rows)
 
 
+def test_odd_sketches_bound_the_difference():
+    rng = np.random.default_rng(2)
+    for n, other in ((10, 3), (150, 20), (4000, 900)):
+        a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        b = np.append(a[other:], rng.integers(0, 2**63, other, dtype=np.uint64))
+        apart = sum(int(x).bit_count() for x in minhash.odd_sketch(a) ^ minhash.odd_sketch(b))
+        assert apart <= len(np.setxor1d(a, b)) and (n > 200 or apart >= 0.9 * len(np.setxor1d(a, b)))
+
+
+def test_few_pairs_of_unlinked_copies_are_compared(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = []
+    for i in range(240):
+        w = [f"b{j}" for j in range(140)]
+        for j in rng.sample(range(0, 140, 10), rng.choice([1, 2, 2, 2])):
+            w[j] = f"r{rng.random()}"
+        rows.append((i, " ".join(w)))
+    made, real = [], minhash.link
+
+    def link(rows, nodes, near, verify, refine):
+        def counted(pairs):
+            good = verify(pairs)
+            made.append((pairs.count(), good.count()))
+            return good
+
+        return real(rows, nodes, near, counted, refine)
+
+    monkeypatch.setattr(minhash, "link", link)
+    got = sorted(tuple(r) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == brute(rows)
+    assert len(made) > 1 and all(pairs <= 1.3 * good + 5 for pairs, good in made[1:]), made
+
+
 def test_empty_and_repeated_rows(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert minhash.near_duplicates(empty).count() == 0
