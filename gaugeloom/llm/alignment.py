@@ -22,11 +22,18 @@ from gaugeloom.llm.scratch import drop, save
 BROADCAST_PAIRS = 1_500_000
 #: Characters of a run of one kind from which a text is encoded by the slower library, as the pattern of the other takes time with the square of a run.
 LONG_RUN = 1000
-_RUN = re.compile(r"\s{%d}|[^\W\d_]{%d}|\d{%d}|(?:[^\w\s]|_){%d}" % ((LONG_RUN,) * 4))
+#: Every so many characters one is looked at first: a long run holds LONG_RUN // LOOK of them in a row.
+LOOK = 20
+_RUN, _LOOK = (re.compile(r"\s{%d}|[^\W\d_]{%d}|\d{%d}|(?:[^\w\s]|_){%d}" % ((n,) * 4)) for n in (LONG_RUN, LONG_RUN // LOOK))
 #: Tokens that a task holds before it hands them on.
 HELD_TOKENS = 1_000_000
 
 
+def long_run(text: str) -> bool:
+    """Whether LONG_RUN characters of one kind stand together."""
+    return len(text) >= LONG_RUN and bool(_LOOK.search(text[::LOOK])) and bool(_RUN.search(text))
+
+
 @lru_cache(maxsize=2)
 def byte_tokenizer(ranks_path: str):
     """Text to ids by a .tiktoken file of ranks, special strings as plain text, and the bytes of each id."""
@@ -46,7 +53,7 @@ def byte_tokenizer(ranks_path: str):
         token[i] = t
 
     def encode(text: str) -> np.ndarray:
-        if _RUN.search(text):
+        if long_run(text):
             return np.array(whole.encode(text, add_special_tokens=False).ids, np.int32)
         return fast.encode_to_numpy(text, disallowed_special=()).astype(np.int32)
 

@@ -100,3 +100,20 @@ def test_long_texts_take_time_in_proportion(spark):
     r = found[1]
     assert r["n_links"] == r["n_a"] + r["n_b"] - r["n_groups"] and r["n_a"] > 200_000
     assert all(found[i]["n_a"] > 0 for i in (2, 3, 4))
+
+
+def test_long_runs_are_found_without_reading_every_character():
+    rng = random.Random(8)
+    kinds = ["ab\u00e9\u4e2d", " \n\t", "0189", ".,_-"]
+    for _ in range(3000):
+        text = "".join("".join(rng.choices(rng.choice(kinds), k=rng.choice([1, 7, 19, 40]))) for _ in range(rng.randrange(20)))
+        run = "".join(rng.choices(rng.choice(kinds), k=alignment.LONG_RUN + rng.randrange(-25, 25)))
+        text = text + run + text[::-1]
+        assert alignment.long_run(text) == bool(alignment._RUN.search(text))
+    plain = " ".join(rng.choices(["word", "and", "numbers 12,"], k=200_000))
+    began = time.process_time()
+    assert not alignment.long_run(plain)
+    fast = time.process_time() - began
+    began = time.process_time()
+    assert not alignment._RUN.search(plain)
+    assert fast < 0.5 * (time.process_time() - began)
