@@ -173,6 +173,38 @@ def test_vectors(spark):
     assert sorted((r.vec_id or 0, r.n_links) for r in capfilter.near_vectors(twice).collect()) == [(0, 0), (3, 2), (3, 2), (4, 2)]
 
 
+def test_chains_of_near_vectors_are_one_component(spark):
+    # each is near the next one only; of two large ids side by side neither is the other's least neighbour
+    ids = [1, 10, 11, 2, 12, 13, 3, 14, 15, 4]
+    rows = [(i, [float(np.cos(0.19 * k)), float(np.sin(0.19 * k))], 1) for k, i in enumerate(ids)]
+    rows += [(i + 1000, x, 2) for i, x, _ in rows]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in capfilter.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    for k, i in enumerate(ids):
+        n = 1 if k in (0, len(ids) - 1) else 2
+        assert got[i] == (n, 1, i == 1) and got[i + 1000] == (n, 1001, i == 1)
+
+
+def test_components_of_a_cell():
+    rng = np.random.Generator(np.random.PCG64(3))
+    for n, share in ((1, 0.5), (2, 0.5), (40, 0.02), (40, 0.05), (300, 0.003)):
+        linked = np.triu(rng.random((n, n)) < share, 1)
+        linked |= linked.T
+        want = np.arange(n)
+        for _ in range(n):
+            want = np.where(linked | np.eye(n, dtype=bool), want, n).min(1)
+        assert np.array_equal(capfilter._first_reached(linked), want)
+    place = rng.permutation(500)  # a chain in any order
+    linked = np.zeros((500, 500), bool)
+    linked[place[1:], place[:-1]] = linked[place[:-1], place[1:]] = True
+    assert not capfilter._first_reached(linked).any()
+
+
+def test_unequal_vectors_of_one_id_count_each(spark):
+    rows = [(1, [1.0, 0.0, 0.0], 1), (1, [0.0, 1.0, 0.0], 1), (2, [1.0, 0.01, 0.0], 1), (3, [1.0, 0.0, 0.01], 1), (4, [0.0, 1.0, 0.01], 1)]
+    got = sorted((r.vec_id, r.n_links) for r in capfilter.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
+    assert got == [(1, 1), (1, 2), (2, 2), (3, 2), (4, 1)]
+
+
 def test_each_vector_has_filters_and_near_ones_share_some():
     rng = np.random.Generator(np.random.PCG64(17))
     a = rng.standard_normal((2000, 64))
