@@ -27,42 +27,51 @@ def shard_transform(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return text[order - 1], order
 
 
-def merge(a: np.ndarray, b: np.ndarray, depth: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The interleave of transforms ``a`` and ``b``: 1 where a row of the merged order is b's; and where blocks begin.
+def _pairs(transform: np.ndarray) -> np.ndarray:
+    """For each row the two symbols before its suffix, as one number that orders by the first of them."""
+    longer = np.empty(len(transform), np.int64)  # where the suffix that is longer by one symbol stands
+    longer[np.argsort(transform, kind="stable")] = np.arange(len(transform))
+    return (transform[longer].astype(np.uint16) << np.uint16(8)) | transform
 
-    After k rounds the interleave has the rows in the order of their first k symbols: a round deals them by the
-    symbol before each, keeping their order, which sorts them by one symbol more. No suffix is compared or
-    sorted again. Without ``depth`` it goes on until nothing moves. With it, after that many rounds a block is
+
+def merge(*transforms: np.ndarray, depth: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The interleave of some transforms: for each row of the merged order the number of its transform; and where blocks begin.
+
+    After rounds over k symbols the interleave has the rows in the order of their first k symbols: a round deals them by the
+    symbols before each, two at a time, keeping their order, which sorts them by two symbols more. No suffix is compared or
+    sorted again. Without ``depth`` it goes on until nothing moves. With it, after rounds over that many symbols a block is
     a set of suffixes with a common prefix of ``depth`` symbols: what began no block has that LCP or more.
     """
-    of_b = np.concatenate((np.zeros(len(a), bool), np.ones(len(b), bool)))
-    block = np.zeros(len(of_b), np.int32)
-    starts = np.zeros(len(of_b), bool)
-    rounds = 0
-    while len(of_b):
-        symbol = np.empty(len(of_b), np.uint8)
-        symbol[~of_b], symbol[of_b] = a, b
+    of = np.repeat(np.arange(len(transforms), dtype=np.uint8 if len(transforms) < 256 else np.uint16), [len(t) for t in transforms])
+    block = np.zeros(len(of), np.int32)
+    starts = np.zeros(len(of), bool)
+    single, double = np.concatenate(transforms), np.concatenate([_pairs(t) for t in transforms])
+    done = 0
+    while len(of):
+        own = single if depth is not None and (depth - done) % 2 else double
+        symbol = np.empty(len(of), own.dtype)
+        symbol[np.argsort(of, kind="stable")] = own
         deal = np.argsort(symbol, kind="stable")
-        was, of_b = of_b, of_b[deal]
-        rounds += 1
+        was, of = of, of[deal]
+        done += 1 if own is single else 2
         if depth is None:
-            if np.array_equal(was, of_b):
+            if np.array_equal(was, of):
                 break
             continue
         symbol, block = symbol[deal], block[deal]
         starts[0] = True
         np.not_equal(symbol[1:], symbol[:-1], out=starts[1:])
         starts[1:] |= block[1:] != block[:-1]
-        block = np.cumsum(starts, dtype=np.int32)
-        if rounds == depth:
+        if done >= depth:
             break
-    return of_b, starts
+        block = np.cumsum(starts, dtype=np.int32)
+    return of, starts
 
 
-def weave(of_b: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Rows of a and b in merged order."""
-    out = np.empty(len(of_b), a.dtype)
-    out[~of_b], out[of_b] = a, b
+def weave(of: np.ndarray, *rows: np.ndarray) -> np.ndarray:
+    """Rows of all transforms in merged order."""
+    out = np.empty(len(of), rows[0].dtype)
+    out[np.argsort(of, kind="stable")] = np.concatenate(rows)
     return out
 
 
@@ -83,10 +92,6 @@ def repeated(strings: list[bytes], width: int, shard_bytes: int = 1_000_000) ->
         string = np.repeat(np.array(shard, np.int64), sizes)
         place = np.arange(len(string)) - np.repeat(begin, sizes)
         done.append((transform, string[suffixes], place[suffixes]))
-    while len(done) > 2:
-        a, b = done.pop(0), done.pop(0)
-        of_b, _ = merge(a[0], b[0])
-        done.append(tuple(weave(of_b, x, y) for x, y in zip(a, b, strict=True)))
-    a, b = done
-    of_b, starts = merge(a[0], b[0], width)
-    return weave(of_b, a[1], b[1]), weave(of_b, a[2], b[2]), starts
+    # all shards at once: a merge of merged ones would go over most rows several times, and to the end of their suffixes
+    of, starts = merge(*(d[0] for d in done), depth=width)
+    return weave(of, *(d[1] for d in done)), weave(of, *(d[2] for d in done)), starts

@@ -223,12 +223,16 @@ def may_share(strings: list[bytes]) -> np.ndarray:
         for p in range(0, len(s) - cut + 1, 8):
             on_grid.setdefault(s[p : p + cut], set()).add(i)
     out = np.zeros(len(strings), bool)
+    met: set[bytes] = set()  # a part that very many have is looked through once
     for i, s in enumerate(strings):
         for p in range(len(s) - cut + 1):
-            other = on_grid.get(s[p : p + cut])
+            part = s[p : p + cut]
+            other = on_grid.get(part)
             if other is not None and (len(other) > 1 or i not in other):
                 out[i] = True
-                out[list(other)] = True
+                met.add(part)
+    for part in met:
+        out[list(on_grid[part])] = True
     return out
 
 

@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 
@@ -78,3 +79,19 @@ def test_same_bytes_go_as_by_all_windows(spark, monkeypatch):
     monkeypatch.setattr(substrings, "PART_BYTES", 5000)
     assert got() == want
     assert substrings.remove_repeats(df.limit(0)).count() == 0
+
+
+def test_strings_that_may_share_a_window():
+    rng = random.Random(11)
+    some = lambda n: bytes(rng.choices(b"ab", k=n))
+    common = [some(60), some(49)]
+    strings = list({some(rng.randrange(14)) + rng.choice(common)[rng.randrange(8) :] + some(rng.randrange(14)) for _ in range(300)} | {some(70) for _ in range(50)})
+    windows = [{s[p : p + 50] for p in range(len(s) - 49)} for s in strings]
+    keep = substrings.may_share(strings)
+    for i, w in enumerate(windows):
+        assert keep[i] or not any(w & x for j, x in enumerate(windows) if j != i)
+    # the time grows with the strings, not with the square of those that share a part
+    many = [some(15) + common[0] + i.to_bytes(3, "big") for i in range(12_000)]
+    began = time.process_time()
+    assert substrings.may_share(many).all()
+    assert time.process_time() - began < 10
